@@ -162,16 +162,31 @@ def replace_entities(c: Column, token: str = L.ENTITY_TOKEN, variants: Sequence[
     return F.when(has_entity(c, variants), out).otherwise(c)
 
 
-def entity_occurrences(c: Column, variants: Sequence[str] | None = None) -> Column:
-    """Array of (start, end, variant) over all variants, overlapping ones included.
+def with_entity_positions(df, text: str = "body", out: str = "positions", variants: Sequence[str] | None = None):
+    """Adds an array of (start, end, variant) over all variants, overlapping ones included.
 
-    Only variants found by a plain substring test are searched for with their pattern.
+    Only variants found by a plain substring test are searched for with their pattern.  The folded text
+    is a column of its own: inside the lambdas it would be computed again for every variant.
     """
+    return (
+        df.withColumn("_low", fold(F.lower(F.col(text)))).withColumn(out, _occurrences(F.col("_low"), variants)).drop("_low")
+    )
+
+
+def exploded(df, array: str, out: str, *keep: str):
+    """One row per element.
+
+    ``explode`` makes the planner derive a non-empty test that computes the array a second time; the outer
+    form followed by a null test does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(out)).where(F.col(out).isNotNull())
+
+
+def _occurrences(low: Column, variants: Sequence[str] | None) -> Column:
     names = L.ENTITY_VARIANTS if variants is None else variants
     known = F.array(
         *[F.struct(F.lit(v).alias("v"), F.lit(rf"(?<!\w){_quoted(v)}(?!\w)").alias("p")) for v in names]
     )
-    low = fold(F.lower(c))
     zero = F.struct(
         F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,variant:string>>").alias("spans")
     )

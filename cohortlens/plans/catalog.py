@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from cohortlens.plans import text  # noqa: F401
+from cohortlens.plans import rollup, text  # noqa: F401
 from cohortlens.plans.registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "comments_cleaned"

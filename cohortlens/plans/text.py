@@ -198,8 +198,8 @@ _VARIANTS = "variants AS (SELECT unnest([" + ", ".join(Q.lit(v) for v in L.ENTIT
     FROM ks"""
 )
 def entity_positions(spark, sf):
-    df = roles.comments(spark, sf)
-    return df.select("id", F.explode(T.entity_occurrences(F.col("body"))).alias("o")).select("id", "o.*")
+    df = T.with_entity_positions(roles.comments(spark, sf).select("id", "body"))
+    return T.exploded(df, "positions", "o", "id").select("id", "o.*")
 
 
 @query(
@@ -209,7 +209,8 @@ def entity_positions(spark, sf):
     SELECT id, {_entities_sql('sentence', L.MASK_TOKEN)} AS sentence FROM s WHERE {Q.matches('sentence', _ANY)}"""
 )
 def masked_sentences(spark, sf):
-    return roles.comments(spark, sf).select("id", F.explode(T.masked_sentences(F.col("body"))).alias("sentence"))
+    df = roles.comments(spark, sf).withColumn("s", T.masked_sentences(F.col("body")))
+    return T.exploded(df, "s", "sentence", "id")
 
 
 # ---- n-grams --------------------------------------------------------------------------------
@@ -254,7 +255,8 @@ def ngram_features(spark, sf):
 )
 def top_bigrams(spark, sf):
     """Report of the most frequent bigrams; counts are combined map-side before the top-k."""
-    df = roles.comments(spark, sf).select("lang", F.explode(T.bigrams(T.tokens(F.col("body")))).alias("gram"))
+    df = roles.comments(spark, sf).withColumn("tok", T.tokens(F.col("body"))).withColumn("b", T.bigrams(F.col("tok")))
+    df = T.exploded(df, "b", "gram", "lang")
     return df.groupBy("lang", "gram").count().withColumnRenamed("count", "n").orderBy(
         F.desc("n"), "lang", "gram"
     ).limit(100)
@@ -454,7 +456,7 @@ def date_parts(spark, sf):
     SELECT author, {Q.rnd('ln(1 + score_count)')} AS log_count,
       {Q.rnd('ln((emotion_joy + 1e-6) / (emotion_neutral + 1e-6))')} AS alr_joy,
       {Q.rnd('atanh(least(0.999999, greatest(-0.999999, balance / 10000)))')} AS z,
-      {Q.rnd('exp(score_std)')} AS e, {Q.rnd('greatest(1, least(5, score_mean))', 8)} AS clipped,
+      {Q.rnd('exp(score_std)')} AS e, {Q.rnd('greatest(1, least(5, score_mean))', 12)} AS clipped,
       {Q.rnd('ln((age_conf + 1e-10) / (gender_conf + 1e-10))')} AS log_odds FROM users"""
 )
 def scalar_math(spark, sf):
@@ -468,7 +470,7 @@ def scalar_math(spark, sf):
             S.clipped(F.col("score_mean"), 1.0, 5.0).alias("clipped"),
             S.log_odds(F.col("age_conf"), F.col("gender_conf")).alias("log_odds"),
         ),
-        clipped=8,
+        clipped=12,
     )
 
 

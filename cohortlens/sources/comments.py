@@ -31,21 +31,29 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], keep_corrupt: boo
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .json(path)
-        .select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+        .select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_folder"), F.col("_metadata.file_block_start").alias("_block"))
         .withColumn("_pos", F.struct("_block", F.monotonically_increasing_id().alias("_row")))
         .drop("_block")
     )
     return df if keep_corrupt else df.where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 
-def corrupt_counts(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Parsed and malformed lines per file."""
-    return read_jsonl(spark, path, keep_corrupt=True).groupBy("_file").agg(
-        F.count_if(F.col("_corrupt").isNull()).alias("parsed"),
-        F.count_if(F.col("_corrupt").isNotNull()).alias("malformed"),
+def line_counts(lines: DataFrame, file: Column) -> DataFrame:
+    """Parsed and malformed lines per file (``lines`` read with ``keep_corrupt``).
+
+    A field besides the corrupt one has to be read, or the scan is refused.
+    """
+    field = F.hash("id")
+    return lines.groupBy(file.alias("_file")).agg(
+        F.count(F.when(F.col("_corrupt").isNull(), field)).alias("parsed"),
+        F.count(F.when(F.col("_corrupt").isNotNull(), field)).alias("malformed"),
     )
 
 
+def corrupt_counts(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    return line_counts(read_jsonl(spark, path, keep_corrupt=True), F.col("_file"))
+
+
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df

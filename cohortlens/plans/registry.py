@@ -22,7 +22,7 @@ def query(sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6, only: Sequence[str] | None = None, **special: int) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, only: Sequence[str] | None = None, /, **special: int) -> DataFrame:
     """Doubles rounded for comparison, -0.0 folded into 0.0; ``special`` sets digits per column."""
     cols = []
     for name, kind in df.dtypes:

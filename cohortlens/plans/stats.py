@@ -26,10 +26,10 @@ def _two_sql(name: str, source: str, group: str, a: str, b: str, value: str, by:
     return f"""{name}0 AS (SELECT {sel}{parts} FROM {source} WHERE {group} IN ({a}, {b}) {grp}),
     {name}1 AS (SELECT *, sqrt(var_a) AS sd_a, sqrt(var_b) AS sd_b, mean_a - mean_b AS diff, var_a / n_a AS sa, var_b / n_b AS sb,
       ((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2) AS pooled FROM {name}0),
-    {name} AS (SELECT *, diff / sqrt(sa + sb) AS welch_t, (sa + sb) * (sa + sb) / (sa * sa / (n_a - 1) + sb * sb / (n_b - 1)) AS welch_df,
-      diff / sqrt(pooled * (1.0::DOUBLE / n_a + 1.0::DOUBLE / n_b)) AS student_t, CAST(n_a + n_b - 2 AS DOUBLE) AS student_df,
+    {name} AS (SELECT *, diff / nullif(sqrt(sa + sb), 0) AS welch_t, (sa + sb) * (sa + sb) / nullif(sa * sa / (n_a - 1) + sb * sb / (n_b - 1), 0) AS welch_df,
+      diff / nullif(sqrt(pooled * (1.0::DOUBLE / n_a + 1.0::DOUBLE / n_b)), 0) AS student_t, CAST(n_a + n_b - 2 AS DOUBLE) AS student_df,
       CASE WHEN pooled = 0 THEN 0 ELSE diff / sqrt(pooled) * (1 - 3.0::DOUBLE / (4 * (n_a + n_b) - 9)) END AS d,
-      diff / sqrt((var_a + var_b) / 2) AS d_plain FROM {name}1)"""
+      diff / nullif(sqrt((var_a + var_b) / 2), 0) AS d_plain FROM {name}1)"""
 
 
 _LABEL = "CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END"

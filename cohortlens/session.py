@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the stack capture behind every column call costs more than planning does
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

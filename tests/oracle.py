@@ -101,7 +101,7 @@ def main() -> None:
         try:
             status, n, took = compare(spark, con, sf_dir, query, oracles.get(name))
         except Exception as e:  # noqa: BLE001 - report and go on
-            status, n, took = f"ERROR {type(e).__name__}: {str(e)[:400]}", 0, 0.0
+            status, n, took = f"ERROR {type(e).__name__}: {" ".join(str(e).split())[:400]}", 0, 0.0
         bad += status not in ("ok", "rows-only")
         print(f"{name:42s} {n:7d} {took:6.2f}s  {status}", flush=True)
     print("bad:", bad)

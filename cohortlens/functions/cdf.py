@@ -147,6 +147,10 @@ def noncentral_f_sf(f: float, d1: float, d2: float, nc: float) -> float:
     """Poisson mixture of central F tails, summed outwards from the Poisson mode."""
     x = d1 * f / (d1 * f + d2)
     half = nc / 2.0
+    if nc > 2000.0 and d2 > 4:  # far tail: two moments of the noncentral F
+        mean = d2 * (d1 + nc) / (d1 * (d2 - 2))
+        var = 2 * (d2 / d1) ** 2 * ((d1 + nc) ** 2 + (d1 + 2 * nc) * (d2 - 2)) / ((d2 - 2) ** 2 * (d2 - 4))
+        return norm_sf((f - mean) / math.sqrt(var))
 
     def term(j: int) -> float:
         w = -half + (j * math.log(half) if half > 0 else (0.0 if j == 0 else -math.inf)) - math.lgamma(j + 1)

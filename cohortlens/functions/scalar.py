@@ -67,9 +67,13 @@ def significance(p: Column, alpha: float = 0.05) -> Column:
 # ---- age and gender -------------------------------------------------------------------------
 
 
-def declared_age(text: Column, strict: bool = False) -> Column:
+def declaration_text(text: Column) -> Column:
+    """Folded lower-case text the declaration patterns run on; keep it in a column of its own."""
+    return fold(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def declared_age(low: Column, strict: bool = False) -> Column:
     """First pattern whose first match is 13–80; strict mode skips statements about the past."""
-    low = fold(F.lower(F.coalesce(text, F.lit(""))))
     tries = []
     for p in L.AGE_PATTERNS:
         if strict and p in L.AGE_PATTERNS_PAST:
@@ -79,8 +83,7 @@ def declared_age(text: Column, strict: bool = False) -> Column:
     return F.coalesce(*tries)
 
 
-def declared_gender(text: Column, strict: bool = False) -> Column:
-    low = fold(F.lower(F.coalesce(text, F.lit(""))))
+def declared_gender(low: Column, strict: bool = False) -> Column:
     table = L.GENDER_PATTERNS_STRICT if strict else L.GENDER_PATTERNS
     out = F
     for gender, patterns in table.items():

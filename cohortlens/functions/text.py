@@ -44,6 +44,16 @@ def hits(c: Column, patterns: Iterable[str], ignore_case: bool = True) -> Column
     return total
 
 
+def merged(patterns: Sequence[str]) -> list[str]:
+    """One alternation for the single-word patterns and one for the phrases: two passes instead of many.
+
+    Counts stay sums over the patterns as long as no two patterns can match at overlapping places.
+    """
+    phrases = [p for p in patterns if " " in p or r"\s" in p]
+    single = [p for p in patterns if p not in phrases]
+    return ["|".join(g) for g in (single, phrases) if g]
+
+
 def keyword_hits(lower: Column, keywords: Iterable[str]) -> Column:
     """Number of distinct keywords that occur as substrings of already lower-cased text."""
     total = F.lit(0)
@@ -236,9 +246,10 @@ def bigrams(toks: Column) -> Column:
     return _joined(F.slice(toks, F.lit(1), n), F.slice(toks, F.lit(2), n))
 
 
-def trigrams(toks: Column) -> Column:
+def trigrams(toks: Column, pairs: Column | None = None) -> Column:
+    """``pairs`` are the bigrams, where a column already holds them."""
     n = F.greatest(F.size(toks) - 2, F.lit(0))
-    return _joined(F.slice(bigrams(toks), F.lit(1), n), F.slice(toks, F.lit(3), n))
+    return _joined(F.slice(bigrams(toks) if pairs is None else pairs, F.lit(1), n), F.slice(toks, F.lit(3), n))
 
 
 def _known(grams: Column, side: int) -> Column:
@@ -250,8 +261,8 @@ def _known(grams: Column, side: int) -> Column:
 def with_ngram_features(df, text: str = "body"):
     """Adds the twelve ``ngram_*`` columns; null and empty text give zeros."""
     toks = tokens(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_tok", toks)
-    df = df.withColumn("_bi", _known(bigrams(F.col("_tok")), 0)).withColumn("_tri", _known(trigrams(F.col("_tok")), 1))
+    df = df.withColumn("_tok", toks).withColumn("_pairs", bigrams(F.col("_tok")))
+    df = df.withColumns({"_bi": _known(F.col("_pairs"), 0), "_tri": _known(trigrams(F.col("_tok"), F.col("_pairs")), 1)})
 
     def count(pair) -> Column:
         bi, tri = pair
@@ -280,7 +291,7 @@ def with_ngram_features(df, text: str = "body"):
                 ),
             }
         )
-        .drop("_tok", "_bi", "_tri")
+        .drop("_tok", "_pairs", "_bi", "_tri")
     )
 
 
@@ -337,7 +348,7 @@ def linguistic_features(text: str = "body") -> dict[str, Column]:
     f = fold(c)
     n = word_count(c)
     low = F.lower(f)
-    letters = F.aggregate(words(c), F.lit(0), lambda a, w: a + F.length(w))
+    letters = F.length(F.regexp_replace(c, r"\s+", ""))
     parts = F.size(F.filter(F.split(c, r"[.!?]+"), lambda s: F.length(strip(s)) > 0))
     n_sent = F.greatest(F.lit(1), parts)
     per = F.greatest(F.lit(1), n)
@@ -377,10 +388,10 @@ def marker_counts(text: str = "body") -> dict[str, Column]:
     low = fold(F.lower(F.col(text)))
     c = F.lower(F.col(text))
     return {
-        "female_count": hits(low, L.FEMALE_MARKERS),
-        "male_count": hits(low, L.MALE_MARKERS),
+        "female_count": hits(low, merged(L.FEMALE_MARKERS), ignore_case=False),
+        "male_count": hits(low, merged(L.MALE_MARKERS), ignore_case=False),
         "words": word_count(c),
-        "letters": F.aggregate(words(c), F.lit(0), lambda a, w: a + F.length(w)),
+        "letters": F.length(F.regexp_replace(c, r"\s+", "")),
         "exclaims": F.regexp_count(c, F.lit("!")),
         "asks": F.regexp_count(c, F.lit(r"\?")),
         "emoticons": F.regexp_count(c, F.lit(L.MARKER_EMOTICON)),
@@ -395,23 +406,28 @@ def vocabulary_signals(text: str = "body") -> dict[str, Column]:
 # ---- prefilter ------------------------------------------------------------------------------
 
 
-def prefilter(text: str = "body") -> Column:
-    """struct(skip, score, reason): cheap decisions before any scorer is called."""
-    c = strip(F.coalesce(F.col(text), F.lit("")))
-    technical = (~fold(c).rlike("(?i)" + L.AI_REFERENCE)) & (keyword_hits(F.lower(c), L.TECHNICAL_TERMS) >= 2)
-    raw_empty = F.col(text).isNull() | (F.length(text) == 0)
+def with_prefilter(df, text: str = "body", out: str = "prefilter"):
+    """Adds struct(skip, score, reason): cheap decisions before any scorer is called.
+
+    Stripped text and reason are columns of their own, so that each is computed once per row.
+    """
+    c = F.col("_c")
+    lower = F.lower(c)
+    technical = (keyword_hits(lower, L.TECHNICAL_TERMS) >= 2) & ~F.lower(fold(c)).rlike(L.AI_REFERENCE)
     reason = (
-        F.when(raw_empty, "empty")
+        F.when(F.col("_empty"), "empty")
         .when(F.length(c) < L.PREFILTER_MIN_CHARS, "too_short")
         .when(word_count(c) < L.PREFILTER_MIN_WORDS, "too_few_words")
         .when(technical, "technical_only")
         .otherwise("needs_scoring")
     )
-    return F.struct(
-        (reason != "needs_scoring").alias("skip"),
-        F.when(reason != "needs_scoring", 1).otherwise(0).alias("score"),
-        reason.alias("reason"),
-    )
+    empty = F.col(text).isNull() | (F.length(text) == 0)
+    df = df.withColumns({"_c": strip(F.coalesce(F.col(text), F.lit(""))), "_empty": empty}).withColumn("_reason", reason)
+    skip = F.col("_reason") != "needs_scoring"
+    return df.withColumn(
+        out,
+        F.struct(skip.alias("skip"), F.when(skip, 1).otherwise(0).alias("score"), F.col("_reason").alias("reason")),
+    ).drop("_c", "_empty", "_reason")
 
 
 def annotation_eligible(text: str = "body", min_length: int = 30, max_brackets: int = 3) -> Column:

@@ -12,11 +12,14 @@ from cohortlens.operators import ranks
 
 def declarations(df: DataFrame, text: str = "body", flair: str = "author_flair_text", strict: bool = False) -> DataFrame:
     """Age and gender per comment; the flair wins over the body."""
-    age, gender = S.declared_age(F.col(text), strict), S.declared_gender(F.col(text), strict)
-    if flair in df.columns:
-        age = F.coalesce(S.declared_age(F.col(flair), strict), age)
-        gender = F.coalesce(S.declared_gender(F.col(flair), strict), gender)
-    df = df.withColumns({"age_self_declared": age, "gender_self_declared": gender})
+    sources = [c for c in (flair, text) if c in df.columns]
+    df = df.withColumns({f"_t_{c}": S.declaration_text(F.col(c)) for c in sources})
+    df = df.withColumns(
+        {
+            "age_self_declared": F.coalesce(*[S.declared_age(F.col(f"_t_{c}"), strict) for c in sources]),
+            "gender_self_declared": F.coalesce(*[S.declared_gender(F.col(f"_t_{c}"), strict) for c in sources]),
+        }
+    ).drop(*[f"_t_{c}" for c in sources])
     bucket = F.when(F.col("age_self_declared").isNotNull(), S.age_bucket(F.col("age_self_declared")))
     return df.withColumn("age_bucket_self_declared", bucket)
 

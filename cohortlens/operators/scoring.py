@@ -32,38 +32,47 @@ def score_with(df: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], key:
     ``scorer`` maps a batch of texts to ``score`` and ``reasoning``; a batch that keeps failing gets
     score 0 and source ``error``, so that a later run picks it up again.
     """
-    pre = df.select(key, text, T.prefilter(text).alias("p"))
-    done = pre.where("p.skip").select(
-        key, F.col("p.score").alias("score"), F.concat(F.lit("prefilter:"), "p.reason").alias("reasoning"),
-        F.lit("prefilter").alias("source"), F.lit(0.0).alias("processing_time_ms"),
+    pre = T.with_prefilter(df.select(key, text), text, "p").select(
+        key, F.when(~F.col("p.skip"), F.col(text)).alias(text), F.when(F.col("p.skip"), F.col("p.reason")).alias("reason")
     )
     kind = dict(df.dtypes)[key]
 
+    def attempt(texts: pd.Series) -> tuple[pd.DataFrame | None, str]:
+        reason = ""
+        for _ in range(retries):
+            try:
+                return scorer(texts).reset_index(drop=True), ""
+            except Exception as e:  # noqa: BLE001 - a failed batch is recorded, not raised
+                reason = str(e)[:200]
+        return None, reason
+
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
         for batch in it:
-            start, out, reason = time.time(), None, ""
-            for _ in range(retries):
-                try:
-                    out = scorer(batch[text]).reset_index(drop=True)
-                    break
-                except Exception as e:  # noqa: BLE001 - a failed batch is recorded, not raised
-                    reason = str(e)[:200]
-            n = len(batch)
+            skip = batch["reason"].notna()
+            done, todo = batch[skip], batch[~skip]
+            yield pd.DataFrame(
+                {key: done[key], "score": 1, "reasoning": "prefilter:" + done["reason"].astype(str), "source": "prefilter", "processing_time_ms": 0.0}
+            )
+            n = len(todo)
+            if not n:
+                continue
+            start = time.time()
+            out, why = attempt(todo[text].reset_index(drop=True))
+            spent = (time.time() - start) * 1000 / n
+            failed = out is None
             yield pd.DataFrame(
                 {
-                    key: batch[key].to_numpy(),
-                    "score": out["score"].clip(1, 5).astype("int32") if out is not None else pd.Series([0] * n, dtype="int32"),
-                    "reasoning": out["reasoning"] if out is not None else [reason] * n,
-                    "source": ["model" if out is not None else "error"] * n,
-                    "processing_time_ms": [(time.time() - start) * 1000 / max(n, 1)] * n,
+                    key: todo[key].to_numpy(),
+                    "score": [0] * n if failed else out["score"].clip(1, 5).astype("int32").to_numpy(),
+                    "reasoning": [why] * n if failed else out["reasoning"].to_numpy(),
+                    "source": "error" if failed else "model",
+                    "processing_time_ms": spent,
                 }
             )
 
-    todo = pre.where(~F.col("p.skip")).select(key, text)
-    scored = todo.mapInPandas(batches, f"{key} {kind}, {SCORED_SCHEMA}")
-    return done.unionByName(scored)
+    return pre.mapInPandas(batches, f"{key} {kind}, {SCORED_SCHEMA}")
 
 
 def run_statistics(scored: DataFrame, input_cost: float = 0.10, output_cost: float = 0.40) -> DataFrame:

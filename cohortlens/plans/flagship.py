@@ -16,7 +16,7 @@ rnd = Q.rnd
 
 def _features(spark, sf):
     docs = roles.comments(spark, sf).where(C.has_quality_text())
-    docs = T.with_attribution(T.with_ngram_features(docs.withColumn("pre", T.prefilter())))
+    docs = T.with_attribution(T.with_ngram_features(T.with_prefilter(docs, out="pre")))
     docs = docs.select(
         "id", "subreddit", "lang", F.col("pre.skip").alias("skip"), "ngram_anthro_total", "ngram_net_signal",
         "bot_attribution_score", "attribution_type", T.word_count(F.col("body")).alias("words"),

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.functions.lexicons import EMOTIONS
+from cohortlens.sources.comments import spread
 
 EPOCH = 1704067200  # 2024-01-01 UTC, first second of the event table
 
@@ -38,7 +39,7 @@ RAW_SQL = f"""raw AS (
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("conv_id")
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations"), "conv_id").select(
         F.concat(F.lit("c"), (c * 100 + F.col("turn")).cast("string")).alias("id"),
         F.when(F.col("role") == "system", "AutoModerator")
         .when(F.col("role") == "assistant", F.concat(F.lit(" HelperBot"), (c % 3).cast("string")))
@@ -62,7 +63,7 @@ COMMENTS_SQL = """comments AS (
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("body"),
         F.col("source").alias("subreddit"),

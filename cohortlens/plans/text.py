@@ -97,7 +97,7 @@ _PRE = f"""pre AS (
     FROM pre"""
 )
 def scoring_prefilter(spark, sf):
-    return roles.comments(spark, sf).select("id", T.prefilter().alias("p")).select("id", "p.*")
+    return T.with_prefilter(roles.comments(spark, sf).select("id", "body"), out="p").select("id", "p.*")
 
 
 @query(

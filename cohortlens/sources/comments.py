@@ -59,6 +59,15 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan with fewer splits than cores, spread by key before costly text work.
+
+    A scan with enough splits, as any large table has, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_text_table(spark: SparkSession, path: str, text: str = "body", fmt: str | None = None) -> DataFrame:
     """CSV or JSON table of texts without the null ones."""
     fmt = fmt or ("json" if path.rstrip("/").endswith((".json", ".jsonl")) else "csv")

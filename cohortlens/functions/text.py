@@ -92,7 +92,7 @@ def remove_emoji(c: Column) -> Column:
 _WORD = r"[\p{L}\p{N}_]"
 # "w/x" keeps x as it is when x is a slang word that is only looked at after "w/" was expanded.
 _SLANG_TOKEN = (
-    rf"[wW]/[oO](?!{_WORD})|[wW]/(?:(?i:bf|gf|ya|u|r|w)(?!{_WORD}))|[wW]/(?={_WORD})|{_WORD}+|(?:(?!{_WORD})[\s\S])+"
+    rf"[wW]/[oO](?!{_WORD})|[wW]/(?:(?i:bf|gf|ya|u|r|w(?!/{_WORD}))(?!{_WORD}))|[wW]/(?={_WORD})|{_WORD}+|(?:(?!{_WORD})[\s\S])+"
 )
 
 

@@ -35,7 +35,9 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], keep_corrupt: boo
         .withColumn("_pos", F.struct("_block", F.monotonically_increasing_id().alias("_row")))
         .drop("_block")
     )
-    return df if keep_corrupt else df.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    # the test also reads a field: a scan that needs the corrupt column alone is refused
+    ok = F.concat_ws("", F.substring("id", 1, 0), "_corrupt") == ""
+    return df if keep_corrupt else df.where(ok).drop("_corrupt")
 
 
 def line_counts(lines: DataFrame, file: Column) -> DataFrame:

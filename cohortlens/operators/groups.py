@@ -366,10 +366,14 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
         *by, (F.col(x).cast("double") + 0.0).alias("_x"), (F.col(y).cast("double") + 0.0).alias("_y")
     )
     pairs = rows.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
-    rx = ranks.midranks(rows, "_x", by, "_rx").drop("n")
-    ry = ranks.midranks(rows, "_y", by, "_ry").drop("n")
-    j = pairs.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
-    total = rows.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+
+    def ranked(c: str, out: str) -> DataFrame:
+        # both margins come from the joint histogram, whose shuffle the branches share
+        ran = ranks.running(pairs.groupBy(*by, c).agg(F.sum("_w").alias("n")), c, ["n"], by)
+        return ran.select(*by, c, (F.col("before_n") + (F.col("n") + 1) / 2).alias(out))
+
+    j = pairs.join(ranked("_x", "_rx"), [*by, "_x"]).join(ranked("_y", "_ry"), [*by, "_y"])
+    total = pairs.groupBy(*by).agg(F.sum("_w").cast("double").alias("_n"))
     j = j.join(F.broadcast(total), list(by)) if by else j.join(F.broadcast(total))  # one row per group
     cx, cy = F.col("_rx") - (F.col("_n") + 1) / 2, F.col("_ry") - (F.col("_n") + 1) / 2
     s = j.groupBy(*by).agg(

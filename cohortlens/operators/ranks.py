@@ -43,23 +43,22 @@ def running(
 ) -> DataFrame:
     """Adds ``before_<c>`` (total of smaller values) and ``all_<c>`` (total) for every count column."""
     h = hist.withColumn("_s", value_slice(F.col(value), centre, scale))
-    inside = Window.partitionBy(*by, "_s").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    parts = h.groupBy(*by, "_s").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts])
-    one = [F.lit(0)] if not by else [F.col(b) for b in by]
-    across = Window.partitionBy(*one)
+    keys = ["_s"]
+    if by:
+        # a struct is never null and equal when its fields are, so null groups join on plain equality
+        h, keys = h.withColumn("_g", F.struct(*by)), ["_g", "_s"]
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    parts = h.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in counts])
+    across = Window.partitionBy("_g" if by else F.lit(0))  # one row per slice
     ahead = across.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(
-        *[F.col(b).alias(f"_k_{b}") for b in by],
-        F.col("_s").alias("_k__s"),
+        *keys,
         *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_o_{c}") for c in counts],
         *[F.sum(f"_t_{c}").over(across).alias(f"all_{c}") for c in counts],
     )
-    on = F.lit(True)
-    for b in [*by, "_s"]:
-        on = on & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
-    out = h.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{c}") for c in counts]).join(parts, on)
+    out = h.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{c}") for c in counts]).join(parts, keys)
     out = out.withColumns({f"before_{c}": F.col(f"_i_{c}") + F.col(f"_o_{c}") for c in counts})
-    return out.drop("_s", "_k__s", *[f"_k_{b}" for b in by], *[f"_{x}_{c}" for x in "io" for c in counts])
+    return out.drop(*keys, *[f"_{x}_{c}" for x in "io" for c in counts])
 
 
 def midranks(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:

@@ -9,31 +9,25 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortlens.functions.hashing import stable_key
 from cohortlens.operators.rollup import first_n
 
-SLICE_HEX = 3  # 4096 slices of the digest space
+SLICE_HEX = 4  # 65536 slices of the digest space
 
 
 def hash_rank(df: DataFrame, key: str, by: Sequence[str] = (), seed: int = 42, out: str = "rank") -> DataFrame:
     """Exact 1-based rank by digest within every group.
 
     Ranked in slices of the digest space with slice totals added, so a group of any size is spread over
-    4096 tasks' worth of slices instead of being sorted in one.
+    65536 slices instead of being sorted in one.
     """
     h = df.withColumn("_h", stable_key(key, seed=seed)).withColumn("_s", F.substring("_h", 1, SLICE_HEX))
-    inside = Window.partitionBy(*by, "_s").orderBy("_h", key)
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    totals = h.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    totals = totals.select(
-        *[F.col(b).alias(f"_k_{b}") for b in by],
-        F.col("_s").alias("_k__s"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-    )
-    on = F.lit(True)
-    for b in [*by, "_s"]:
-        on = on & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
-    ranked = h.withColumn("_rn", F.row_number().over(inside)).join(totals, on)
-    return ranked.withColumn(out, F.col("_rn") + F.col("_before")).drop(
-        "_h", "_s", "_rn", "_before", "_k__s", *[f"_k_{b}" for b in by]
-    )
+    keys = ["_s"]
+    if by:
+        h, keys = h.withColumn("_g", F.struct(*by)), ["_g", "_s"]
+    inside = Window.partitionBy(*keys).orderBy("_h", key)
+    before = Window.partitionBy("_g" if by else F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    totals = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # one row per slice
+    totals = totals.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = h.withColumn("_rn", F.row_number().over(inside)).join(totals, keys)
+    return ranked.withColumn(out, F.col("_rn") + F.col("_before")).drop("_h", "_rn", "_before", *keys)
 
 
 def simple_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -129,7 +129,10 @@ def labelled(spark, sf):
     return design(spark, sf).withColumn("label", F.col("is_teen"))
 
 
-@query()
+@query(
+    """WITH mem AS (SELECT DISTINCT o_custkey AS author, l_suppkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT CAST(c AS VARCHAR) AS community, 16 AS size FROM mem GROUP BY c HAVING count(*) >= 3"""
+)
 def community_word_vectors(spark, sf):
     lists = R.participation(_memberships(spark, sf).withColumn("c", F.col("community").cast("string")), community="c", min_count=1)
     v = K.community_vectors(lists, "communities", size=16, epochs=2)

@@ -102,14 +102,14 @@ def comment_dominant_emotions(spark, sf):
     f"""WITH {_EMO}, w AS (SELECT *, {', '.join(f'emotion_{e} * bot_attribution_score AS bot_emotion_{e}' for e in L.EMOTIONS)} FROM emo),
     u AS (SELECT author, {', '.join(f'avg({p}{e}) AS {p}{e}' for p in ('emotion_', 'bot_emotion_') for e in L.EMOTIONS)},
           avg(bot_attribution_score) AS bot_attribution_score FROM w GROUP BY author)
-    SELECT author, {', '.join(f'{rnd(p + e)} AS {p}{e}' for p in ('emotion_', 'bot_emotion_') for e in L.EMOTIONS)},
-      {rnd('bot_attribution_score')} AS bot_attribution_score, {_argmax_sql('emotion_')} AS dominant_emotion,
-      {rnd('greatest(' + ', '.join('emotion_' + e for e in L.EMOTIONS) + ')')} AS dominant_emotion_score,
+    SELECT author, {', '.join(f'{rnd(p + e, 12)} AS {p}{e}' for p in ('emotion_', 'bot_emotion_') for e in L.EMOTIONS)},
+      {rnd('bot_attribution_score', 12)} AS bot_attribution_score, {_argmax_sql('emotion_')} AS dominant_emotion,
+      {rnd('greatest(' + ', '.join('emotion_' + e for e in L.EMOTIONS) + ')', 12)} AS dominant_emotion_score,
       {_argmax_sql('bot_emotion_', '')} AS bot_dominant_emotion FROM u"""
 )
 def user_emotions(spark, sf):
     df = _emotion_rows(spark, sf)
-    return rounded(R.user_emotions(df.select("*", *[c.alias(k) for k, c in T.weighted_emotions().items()])))
+    return rounded(R.user_emotions(df.select("*", *[c.alias(k) for k, c in T.weighted_emotions().items()])), 12)
 
 
 @query(
@@ -568,3 +568,42 @@ def pruned_parquet_scan(spark, sf):
     return IO.read_parquet(spark, f"{sf}/documents.parquet", ["doc_id", "n_chars", "lang"]).where("lang = 'en'").select(
         F.col("doc_id").alias("id"), "n_chars"
     )
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 5 > 0 THEN text END AS body FROM documents WHERE doc_id % 5 > 0")
+def text_table_round_trip(spark, sf):
+    """A JSON table of whole texts, some missing, read back without the missing ones."""
+    path = _scratch(spark) + "/texts"
+    docs = roles.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("body")
+    )
+    IO.write(docs, path, "json")
+    return IO.read_text_table(spark, path, fmt="json").select("id", "body")
+
+
+@query(
+    """SELECT user_id AS author, event_type AS subreddit, CAST(count(*) AS INTEGER) AS count FROM events WHERE user_id % 2 = 0 GROUP BY ALL
+    UNION ALL SELECT user_id AS author, 'merged', 1 FROM events GROUP BY user_id"""
+)
+def merge_saved_interactions(spark, sf):
+    """Existing interactions written, merged with new and repeated ones, and read from the new folder."""
+    base = _scratch(spark)
+    events = roles.table(spark, sf, "events").select(F.col("user_id").alias("author"), F.col("event_type").alias("subreddit"))
+    old = events.where("author % 2 = 0").groupBy("author", "subreddit").agg(F.count(F.lit(1)).cast("int").alias("count"))
+    IO.write(old, f"{base}/interactions")
+    new = events.select("author").distinct().select("author", F.lit("merged").alias("subreddit"), F.lit(1).alias("count"))
+    again = old.withColumn("count", F.lit(-1))
+    return spark.read.parquet(IO.merge_save(spark, f"{base}/interactions", new.unionByName(again)))
+
+
+@query(f"WITH {roles.USERS_SQL} SELECT author, score_mean > 1.5 AS conditional FROM users WHERE gender_conf >= 0.6 AND age_conf >= 0.6 AND score_mean > 1")
+def confident_users(spark, sf):
+    """The conditional sample: both confidences at the threshold and a mean above the floor."""
+    df = C.confident(roles.users(spark, sf))
+    return df.select("author", (F.col("score_mean") > 1.5).alias("conditional"))
+
+
+@query("SELECT d.doc_id AS id, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL")
+def complete_case_documents(spark, sf):
+    d = roles.table(spark, sf, "documents").select("doc_id").join(roles.table(spark, sf, "labels"), "doc_id", "left")
+    return C.complete_cases(d, ["quality", "toxic"]).select(F.col("doc_id").alias("id"), "quality", "toxic")

@@ -141,16 +141,20 @@ def slang_expanded(spark, sf):
     return roles.raw(spark, sf).select("id", T.expand_slang(F.col("body")).alias("body"))
 
 
-@query()
+_EMOJI_SQL = Q.strip(r"regexp_replace(regexp_replace(body, '[\p{So}\x{1F3FB}-\x{1F3FF}\x{200D}\x{FE0F}]', '', 'g'), '\s+', ' ', 'g')")
+
+
+@query(
+    f"""WITH {roles.COMMENTS_SQL}, c AS (SELECT id, string_split(body, '') AS ch FROM comments), e AS (SELECT id, array_to_string({_RUNS}, '') AS body FROM c),
+    s AS (SELECT id, {_SLANG_SQL.format(text='body')} AS body FROM e) SELECT id, {_EMOJI_SQL} AS body FROM s"""
+)
 def text_normalised(spark, sf):
     """Elongation, slang and emoji in one go, over all documents."""
     return roles.comments(spark, sf).select("id", T.normalise(F.col("body")).alias("body"))
 
 
 @query(
-    f"""WITH {roles.COMMENTS_SQL} SELECT id,
-      {Q.strip(r"regexp_replace(regexp_replace(body, '[\p{So}\x{1F3FB}-\x{1F3FF}\x{200D}\x{FE0F}]', '', 'g'), '\s+', ' ', 'g')")} AS body
-    FROM comments"""
+    f"WITH {roles.COMMENTS_SQL} SELECT id, {_EMOJI_SQL} AS body FROM comments"
 )
 def emoji_removed(spark, sf):
     return roles.comments(spark, sf).select("id", T.remove_emoji(F.col("body")).alias("body"))

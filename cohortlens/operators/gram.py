@@ -388,6 +388,8 @@ def variance_explained(df: DataFrame, y: str, xs: Sequence[str], group: str, min
         for batch in it:
             out = []
             for r in batch.itertuples(index=False):
+                if r.n is None or r.n != r.n:  # no group is large enough
+                    continue
                 tc, wc = _matrix(list(r.tc), q), _matrix(list(r.wc), q)
                 zero = np.zeros(q)
                 demo = _Moments(r.n, zero, tc, names).solve(cols)["r2"]

@@ -203,7 +203,7 @@ def one_way(df: DataFrame, group: str, value: str, min_n: int = 2) -> DataFrame:
             "f": F.try_divide(F.col("ss_between") / d1, F.col("ss_within") / d2),
             "df_between": d1,
             "df_within": d2,
-            "eta_squared": F.coalesce(F.try_divide("ss_between", "ss_total"), F.lit(0.0)),
+            "eta_squared": F.when(F.col("ss_total") == 0, 0.0).otherwise(F.try_divide("ss_between", "ss_total")),
         }
     ).withColumn("p", cdf.p_f("f", "df_between", "df_within"))
 

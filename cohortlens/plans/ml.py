@@ -60,14 +60,19 @@ def _cut_sql(s: str, cuts) -> str:
 
 
 @query(
-    f"""WITH {_VEC}, q AS (SELECT {', '.join(f'quantile_cont(score, {i / 5}) AS q{i}' for i in range(1, 5))}, quantile_cont(abs(score), 0.7) AS t FROM us)
+    f"""WITH {_VEC}, ur AS (SELECT author, round(score, 12) AS score FROM us),
+    q AS (SELECT {', '.join(f'quantile_cont(score, {i / 5}) AS q{i}' for i in range(1, 5))}, quantile_cont(abs(score), 0.7) AS t FROM ur)
     SELECT author, {_cut_sql('score', ['q1', 'q2', 'q3', 'q4'])} AS age_quintile, CASE WHEN abs(score) < t THEN 'unknown' WHEN score < 0 THEN 'female' ELSE 'male' END AS gender_strong,
       {_cut_sql('score', L.AGE_CUTS_CALIBRATED)} AS age_calibrated, CASE WHEN abs(score - {L.GENDER_CENTRE}) < 0.05 THEN 'unknown' WHEN score - {L.GENDER_CENTRE} > 0 THEN 'male' ELSE 'female' END AS gender_calibrated
-    FROM us, q"""
+    FROM ur, q"""
 )
 def score_classes(spark, sf):
-    """Buckets from projection scores: quintiles, strong signs, calibrated cut-offs."""
-    s = D.gender_from_score(D.age_from_score(_user_scores(spark, sf), out="age_quintile"), out="gender_strong")
+    """Buckets from projection scores: quintiles, strong signs, calibrated cut-offs.
+
+    Users of the same communities tie up to the order of their sums; rounding makes the ties exact.
+    """
+    scores = _user_scores(spark, sf).withColumn("score", F.round("score", 12))
+    s = D.gender_from_score(D.age_from_score(scores, out="age_quintile"), out="gender_strong")
     return s.select(
         "author", "age_quintile", "gender_strong", D.age_calibrated(F.col("score")).alias("age_calibrated"),
         D.gender_calibrated(F.col("score")).alias("gender_calibrated"),

@@ -389,6 +389,7 @@ def variance_explained(df: DataFrame, y: str, xs: Sequence[str], group: str, min
             out = []
             for r in batch.itertuples(index=False):
                 if r.n is None or r.n != r.n:  # no group is large enough
+                    out.append((0, 0, *[None] * 6))
                     continue
                 tc, wc = _matrix(list(r.tc), q), _matrix(list(r.wc), q)
                 zero = np.zeros(q)
@@ -397,7 +398,8 @@ def variance_explained(df: DataFrame, y: str, xs: Sequence[str], group: str, min
                 within_fit = _Moments(r.n, zero, wc, names).solve(cols)
                 community, both = 1 - wc[-1, -1] / tss, 1 - within_fit["rss"] / tss
                 out.append((int(r.n), int(r.k), demo, community, both, community / demo if demo > 0 else None, both - community, both - demo))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in fields.split(", ")])
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in fields.split(", ")])
+            yield frame.astype({c: "float64" for c in frame.columns[2:]})
 
     fields = (
         "n long, n_groups long, r2_predictors double, r2_group double, r2_both double, ratio double, "

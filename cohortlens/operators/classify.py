@@ -101,7 +101,7 @@ def _tree(n_classes: int, seed: int, iterations: int, depth: int, label: str, fe
 
 def _probabilities(model, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     p = vector_to_array("probability")
-    return model.transform(df).select(key, *[p[i].alias(f"{name}_p{i}") for i in range(1 if n > 2 else 1, n)])
+    return model.transform(df).select(key, *[p[i].alias(f"{name}_p{i}") for i in range(1, n)])
 
 
 def out_of_fold(df: DataFrame, name: str, cols: Sequence[str], key: str, label: str, n_classes: int, k: int,

@@ -525,11 +525,3 @@ def missing_outcome(df: DataFrame, present: Mapping[str, Column], value: str, mi
     out = student(two_groups(long, "_present", 1, 0, value, ["variable"]))
     out = out.where((F.col("n_a") > min_n) & (F.col("n_b") > min_n))
     return out.withColumn("mnar", F.col("p") < alpha)
-
-
-def wide_interval(k: Column, n: Column) -> Column:
-    """Wilson interval as a struct."""
-    from cohortlens.operators.rollup import wilson
-
-    lo, hi = wilson(k, n)
-    return F.struct(lo.alias("low"), hi.alias("high"))

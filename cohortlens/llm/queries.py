@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import language, licences, mixing, repetition
-from cohortlens.llm.shared import table
+from cohortlens.llm import decontaminate, language, licences, mixing, nearduplicates, repetition, tokens
+from cohortlens.llm.shared import new_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,11 +60,33 @@ LEFT JOIN taken n ON s.source IS NOT DISTINCT FROM n.source AND s.doc_id IS NOT
 """
 
 
+@query()
+def op1_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(MIXED_SQL)
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query()
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
+    return tokens.document_checksums(spark, path)
+
+
+@query()
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearduplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 @query()
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))

@@ -19,6 +19,8 @@ LONG_WORD = 512
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For words of letters and digits only: every other ASCII character separates.
+_PUNCTUATION = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [0xFFFFFFFFFFFFFFFF], dtype=np.uint64)
@@ -80,8 +82,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return out
 
 
-def of_texts(column: pa.Array, lower: bool = False) -> Words:
-    """Words of an Arrow string column; a null text is empty."""
+def of_texts(column: pa.Array, lower: bool = False, plain: bool = False) -> Words:
+    """Words of an Arrow string column; a null text is empty.  ``plain`` words have no ASCII punctuation."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -95,7 +97,7 @@ def of_texts(column: pa.Array, lower: bool = False) -> Words:
     if lower:
         data = _LOWER[data]
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~(_PUNCTUATION if plain else _SPACE)[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
@@ -103,7 +105,7 @@ def of_texts(column: pa.Array, lower: bool = False) -> Words:
     return Words(data, bounds, starts, ends, np.searchsorted(starts, bounds))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool = False, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool = False, plain: bool = False, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Slices of the batches with about ``limit`` bytes of text each (a longer text is a slice of its own)."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
@@ -114,7 +116,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool
             before = int(total[at - 1]) if at else 0
             end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
             part = batch.slice(at, end - at)
-            yield part, of_texts(texts.slice(at, end - at), lower)
+            yield part, of_texts(texts.slice(at, end - at), lower, plain)
             at = end
 
 

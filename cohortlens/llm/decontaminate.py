@@ -30,6 +30,8 @@ from cohortlens.llm import words as W
 
 EMBEDDINGS, TABLES, SAMPLES = 8, 4, 3
 STRETCH = 3
+#: Places are sampled where most walks are still inside the window; a walk moves every other step.
+REACH = 2
 _BLOOM_BITS = 22
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,7 +59,7 @@ def sampled_keys(sequences: np.ndarray) -> np.ndarray:
         output = embed(sequences, e)
         for t in range(TABLES):
             key = np.full(rows, W.mix(np.array([n * 4096 + e * TABLES + t], np.uint64))[0])
-            for place in rng.integers(0, STRETCH * n, SAMPLES):
+            for place in rng.integers(0, REACH * n, SAMPLES):
                 key = W.mix(key ^ output[:, place])
             out[:, e * TABLES + t] = key
     return out

@@ -267,7 +267,7 @@ def document_checksums(spark: SparkSession, path: str, id_type: str = "long") ->
     )
 
     @F.udf("long")
-    def joined(rows: list) -> int:
+    def joined(rows):
         out = rows[0]["value"]
         for r in rows[1:]:
             out = crc32_combine(out, r["value"], 4 * r["size"])

@@ -65,13 +65,15 @@ def schedule(units: DataFrame, targets: DataFrame, epochs: int = 3, slices: int
     items = units.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     items = items.withColumn("epoch", F.explode(F.array(*[F.lit(k) for k in range(epochs)])))
     items = items.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("sent")) / F.col("target"))
-    # all targets are met at finish time 1; what ends far beyond it has a slice of its own
-    items = items.withColumn("_slice", F.least(F.floor(F.col("finish") * slices), F.lit(2 * slices)).cast("int"))
+    # all targets are met about finish time 1; from 2 on the slices widen with the time, so there are few
+    late = 2 * slices + F.floor(64 * F.log2("finish"))
+    items = items.withColumn("_slice", F.when(F.col("finish") < 2, F.floor(F.col("finish") * slices)).otherwise(late).cast("int"))
     sums = items.groupBy("_slice").agg(F.sum("size").alias("_sum"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     sums = sums.crossJoin(budget).where("_before < _budget")  # one row
-    items = items.join(sums, "_slice")
+    # at most 2 x slices + 64 x 1024 rows: a double has 11 bits of exponent; slices behind the cut go before the shuffle
+    items = items.join(F.broadcast(sums), "_slice")
     order = Window.partitionBy("_slice").orderBy("finish", "_key", F.col("source").asc_nulls_last(), "doc_id", "epoch")
     items = items.withColumn("_upto", F.col("_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     taken = items.where("_upto <= _budget")

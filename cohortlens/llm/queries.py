@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm import decontaminate, language, licences, mixing, nearduplicates, repetition, tokens
-from cohortlens.llm.shared import new_path, table
+from cohortlens.llm import decontaminate, fixity, language, licences, mixing, nearduplicates, passages, pseudolikelihood, repetition, tokens
+from cohortlens.llm.shared import new_path, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,11 +82,50 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_checksums(spark, path)
 
 
+@query()
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def damaged(store: DataFrame) -> DataFrame:
+    """A replica with damage that the record id decides: bytes changed, records lost, records under another name."""
+    mark = F.substring(F.md5(F.col("record_id").cast("string")), 1, 2)
+    torn = F.concat(F.col("record").substr(F.lit(1), F.length("record") - 5), F.lit("?\r\n\r\n"))
+    renamed = F.regexp_replace("record", "^WARC/1.1", "WARC/1.0")
+    return store.where(~F.coalesce(mark == "01", F.lit(False))).withColumn("record", F.when(mark == "00", torn).when(mark == "02", renamed).otherwise(F.col("record")))
+
+
+FIXITY_SQL = r"""
+WITH records AS (
+    SELECT page_id, md5(CAST(page_id AS VARCHAR))[1:2] AS mark, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Target-URI: ',
+        coalesce(url, '-'), chr(13), chr(10), 'WARC-Record-ID: <urn:page:', coalesce(CAST(page_id AS VARCHAR), '-'), '>', chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+        'Content-Length: ', CAST(strlen(coalesce(html, '')) AS VARCHAR), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS record
+    FROM pages
+)
+SELECT page_id AS record_id, CASE WHEN mark = '01' THEN 'missing' ELSE 'changed' END AS kind, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest,
+    CASE mark WHEN '00' THEN sha256(concat(substr(record, 1, length(record) - 5), '?', chr(13), chr(10), chr(13), chr(10)))
+        WHEN '02' THEN sha256('WARC/1.0' || substr(record, 9)) END AS found_digest
+FROM records WHERE mark IN ('00', '01', '02')
+"""
+
+
+@query(FIXITY_SQL)
+def op5_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = fixity.store(table(spark, sf_dir, "pages"))
+    replica = written(damaged(original), "replica")
+    return fixity.audit(original, replica).select("record_id", "kind", "length", "digest", "found_digest")
+
+
 @query()
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearduplicates.near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
+@query()
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudolikelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))

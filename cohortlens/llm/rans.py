@@ -69,21 +69,29 @@ def encode(blocks: list[np.ndarray], table: Table) -> list[dict]:
     points: list[list[tuple[int, bytes]]] = [[] for _ in blocks]
     lane = np.arange(LANES)
     limit = np.uint64(63 - SCALE_BITS)
+    shortest = int(sizes.min())
+    every = np.repeat(np.arange(len(blocks)), LANES)
     for t in range(longest - 1, -1, -1):
-        live = (t * LANES + lane)[None, :] < sizes[:, None]
-        b, j = np.nonzero(live)
-        symbol = ids[b, t * LANES + j]
-        freq, x = table.freq[symbol], state[b, j]
+        if full := (t + 1) * LANES <= shortest:  # all lanes of all blocks
+            b, symbol, x = every, ids[:, t * LANES : (t + 1) * LANES].ravel(), state.ravel()
+        else:
+            b, j = np.nonzero((t * LANES + lane)[None, :] < sizes[:, None])
+            symbol, x = ids[b, t * LANES + j], state[b, j]
+        freq = table.freq[symbol]
         over = x >= (freq << limit)
-        if over.any():
-            # the decoder reads backwards, so lanes go out from the last to the first
-            at = np.flatnonzero(over)[::-1]
+        # the decoder reads backwards, so lanes go out from the last to the first
+        at = np.flatnonzero(over)[::-1]
+        if len(at):
             words.append((x[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
             owner.append(b[at])
             written += np.bincount(b[at], minlength=len(blocks))
-            x[over] >>= _WORD
-        q, r = np.divmod(x, freq)
-        state[b, j] = (q << np.uint64(SCALE_BITS)) + r + table.start[symbol]
+            x = np.where(over, x >> _WORD, x)
+        q = x // freq
+        x = (q << np.uint64(SCALE_BITS)) + (x - q * freq) + table.start[symbol]
+        if full:
+            state = x.reshape(state.shape)
+        else:
+            state[b, j] = x
         if t % CHECKPOINT == 0 and t:
             for i in np.flatnonzero(steps > t):
                 points[i].append((t, int(written[i]), state[i].tobytes()))
@@ -126,21 +134,30 @@ def decode(coded: list[dict], table: Table, first_step: int = 0) -> list[np.ndar
     out = np.zeros((len(coded), longest * LANES), np.uint32)
     lane = np.arange(LANES)
     mask = np.uint64((1 << SCALE_BITS) - 1)
+    shortest = int(sizes.min())
+    every = np.repeat(np.arange(len(coded)), LANES)
     for t in range(first_step, longest):
-        b, j = np.nonzero((t * LANES + lane)[None, :] < sizes[:, None])
-        x = state[b, j]
+        if full := (t + 1) * LANES <= shortest:
+            b, x = every, state.ravel()
+        else:
+            b, j = np.nonzero((t * LANES + lane)[None, :] < sizes[:, None])
+            x = state[b, j]
         low = x & mask
         symbol = table.slot[low]
-        out[b, t * LANES + j] = table.symbols[symbol]
         x = table.freq[symbol] * (x >> np.uint64(SCALE_BITS)) + low - table.start[symbol]
         need = np.flatnonzero(x < _LOW)
         if len(need):
             of = b[need]
-            heads = np.concatenate([[True], of[1:] != of[:-1]])
-            place = np.arange(len(of)) - np.maximum.accumulate(np.where(heads, np.arange(len(of)), 0))
+            count = np.bincount(of, minlength=len(coded))
+            place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
             x[need] = (x[need] << _WORD) | flat[bounds[of] + left[of] - 1 - place].astype(np.uint64)
-            left -= np.bincount(of, minlength=len(coded))
-        state[b, j] = x
+            left -= count
+        if full:
+            out[:, t * LANES : (t + 1) * LANES] = table.symbols[symbol].reshape(state.shape)
+            state = x.reshape(state.shape)
+        else:
+            out[b, t * LANES + j] = table.symbols[symbol]
+            state[b, j] = x
     found = [out[i, first_step * LANES : n] for i, n in enumerate(sizes)]
     if not first_step and any(crc(ids) != c["ids_crc"] for ids, c in zip(found, coded, strict=True)):
         raise ValueError("ids of a token block do not match their checksum")

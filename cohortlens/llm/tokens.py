@@ -18,6 +18,7 @@ not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,22 +28,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cohortlens.llm import rans, words as W
-from cohortlens.llm.shared import new_path
+from cohortlens.llm.shared import new_path, written
 
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 400_000
+_OTHER, _LETTER, _MARK = 0, 1, 2
+_KIND = np.array([_LETTER if b >= 0x80 or chr(b).isalpha() else _MARK if 0x20 < b < 0x7F and not chr(b).isdigit() else _OTHER for b in range(256)], np.int8)
 _workers: dict[str, WordEncoder] = {}
 
 
+class Memory:
+    """Recent entries: two generations, the older one is dropped when the younger has ``size`` entries."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, keys: list) -> list:
+        young, old = self.young, self.old
+        return [young.get(k) or old.get(k) for k in keys]
+
+    def put(self, keys: list, values: list) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+
+
 class WordEncoder:
-    """Token ids of words; remembers up to two generations of ``MEMORY_WORDS`` words."""
+    """Token ids of words, with a bounded memory.
+
+    A word of ASCII letters and other bytes from 0x80 on, perhaps with ASCII punctuation behind them, is two pieces if
+    all its letters are below U+0250: the tokenizer splits there, and its normalisation of such letters is lower case.
+    New runs of letters go to the tokenizer in one text with blanks between; each ends where a token ends a word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            settings = json.load(f)
+        suffix = settings["model"].get("end_of_word_suffix")
+        # without word ends in the vocabulary every word goes to the tokenizer by itself
+        self.letters = Tokenizer.from_str(json.dumps(settings | {"normalizer": None})) if suffix else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.runs, self.words = Memory(MEMORY_WORDS), Memory(MEMORY_WORDS // 4)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -50,34 +84,80 @@ class WordEncoder:
             _workers[path] = cls(path)
         return _workers[path]
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
+    def whole(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
-        young, old = self.young, self.old
-        found = [young.get(w) or old.get(w) for w in words]
+        found = self.words.get(words)
         missing = [i for i, x in enumerate(found) if x is None]
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             texts = [words[i].decode("utf-8", "replace") for i in part]
             for i, x in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 found[i] = np.array(x.ids, "<u4").tobytes()
-        young.update(zip(words, found, strict=True))
-        if len(young) > MEMORY_WORDS:
-            self.young, self.old = {}, young
+        self.words.put([words[i] for i in missing], [found[i] for i in missing])
         return found
 
+    def letter_runs(self, runs: list[bytes]) -> list[bytes | None]:
+        """Ids of each run of letters in lower case; None for what is not letters below U+0250."""
+        found = self.runs.get(runs)
+        missing, texts = [], []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            text = runs[i].decode("utf-8", "replace")
+            if not text.isascii():
+                text = text.lower()
+                if max(text) >= "\u0250" or not text.isalpha():
+                    continue
+            missing.append(i)
+            texts.append(text)
+        if not missing:
+            return found
+        ids = np.array(self.letters.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(missing):
+            raise ValueError("the tokenizer does not end each run of letters with a word end")
+        raw = ids.tobytes()
+        for i, a, b in zip(missing, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            found[i] = raw[4 * a : 4 * b]
+        self.runs.put([runs[i] for i in missing], [found[i] for i in missing])
+        return found
+
+    def pieces(self, block: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct pieces, their bounds, and the two pieces of each word."""
+        data, starts, ends = block.data, block.starts, block.ends
+        kind = _KIND[data]
+        size = W.sums_between_pairs(kind == _LETTER, starts, ends)
+        back = np.concatenate([[False], (kind[1:] == _LETTER) & (kind[:-1] != _LETTER)])[: len(data)]
+        # letters, then punctuation: no other byte, and letters begin at the first byte only
+        turns = W.sums_between_pairs(back, np.minimum(starts + 1, ends), ends)
+        simple = (size > 0) & (turns == 0) & (W.sums_between_pairs(kind == _OTHER, starts, ends) == 0) & (kind[starts] == _LETTER)
+        if self.letters is None:
+            simple[:] = False
+        split = np.where(simple, starts + size, ends)
+        coded: list[bytes] = [b""]
+        first, second = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at = np.flatnonzero(simple)
+        _, one, where = np.unique(W.span_hashes(block.lower(), starts[at], split[at]), return_index=True, return_inverse=True)
+        raw = block.lower().tobytes()
+        runs = self.letter_runs([raw[s:e] for s, e in zip(starts[at][one].tolist(), split[at][one].tolist(), strict=True)])
+        unfit = np.array([x is None for x in runs], bool)[where] if len(at) else np.zeros(0, bool)
+        first[at] = where + len(coded)
+        coded += [x or b"" for x in runs]
+        split[at[unfit]] = ends[at[unfit]]
+        simple[at[unfit]] = False
+        raw = data.tobytes()
+        for which, target, lo, hi in ((np.flatnonzero(~simple), first, starts, ends), (np.flatnonzero(split < ends), second, split, ends)):
+            _, one, where = np.unique(W.span_hashes(data, lo[which], hi[which], 1), return_index=True, return_inverse=True)
+            target[which] = where + len(coded)
+            coded += self.whole([raw[s:e] for s, e in zip(lo[which][one].tolist(), hi[which][one].tolist(), strict=True)])
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)])
+        return np.frombuffer(b"".join(coded), "<u4"), bounds, np.stack([first, second], axis=1).ravel()
+
     def texts(self, block: W.Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a block, each with the end id, and the bounds of each text's."""
-        _, first, back = np.unique(block.hashes(), return_index=True, return_inverse=True)
-        raw = block.data.tobytes()
-        distinct = [raw[s:e] for s, e in zip(block.starts[first].tolist(), block.ends[first].tolist(), strict=True)]
-        coded = self.encode(distinct)
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        place = np.concatenate([[0], np.cumsum(size)])
-        of_word = size[back]
-        ends = np.cumsum(of_word)
-        ids = flat[np.repeat(place[:-1][back] - (ends - of_word), of_word) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], np.cumsum(W.sums_between(of_word, block.first) + 1)])
+        flat, place, piece = self.pieces(block)
+        size = np.diff(place)[piece]
+        ends = np.cumsum(size)
+        ids = flat[np.repeat(place[:-1][piece] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], np.cumsum(W.sums_between(size, 2 * block.first) + 1)])
         out = np.full(bounds[-1], end_id, np.uint32)
         is_end = np.zeros(bounds[-1], bool)
         is_end[bounds[1:] - 1] = True
@@ -258,7 +338,7 @@ def crc32_combine(first: int, second: int, length: int) -> int:
 
 def document_checksums(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of a file set."""
-    pieces = decoded(spark, path, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "long", id_type)
+    pieces = written(decoded(spark, path, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "long", id_type), "pieces")
     parts = spark.read.schema("part int, base long").parquet(f"{path}/parts")
     columns = ["doc_id", "part", "doc_offset", "n_tokens"]
     whole = pieces.where("size = n_tokens").select(*columns, F.col("value").alias("ids_crc32"))

@@ -57,6 +57,10 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self), dtype=np.int64), self.counts)
 
+    def lower(self) -> np.ndarray:
+        """``data`` with A-Z in lower case."""
+        return _LOWER[self.data]
+
     def hashes(self, seed: int = 0) -> np.ndarray:
         return span_hashes(self.data, self.starts, self.ends, seed)
 
@@ -133,6 +137,13 @@ def sums_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def sums_between_pairs(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Number of set flags in each span."""
+    total = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
+    np.cumsum(flags, out=total[1:])
+    return (total[ends] - total[starts]).astype(np.int64)
+
+
 def max_between(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Largest of ``values[bounds[i]:bounds[i+1]]`` for each i; empty ranges give 0."""
     out = np.zeros(len(bounds) - 1, values.dtype)

@@ -6,8 +6,8 @@ pointer, and a random bit of (step, word) moves the pointer on; two sequences at
 agree in most places.  Repeated bit sampling then looks up windows: each of ``EMBEDDINGS`` x ``TABLES`` tables holds the
 items by ``SAMPLES`` random places of their output.  What collides is verified by exact word edit distance.
 
-A window is embedded only if it can hold an item: within ``share`` x n edits an occurrence keeps n - 1 - 2 x edits of the
-item's word pairs, so a window with fewer pairs of the benchmark is out (no occurrence is lost by this).
+A window is embedded only if it can hold an item: within e = ``share`` x n edits an occurrence keeps n - 2 - 3 e of the
+item's word triples, so a window with fewer triples of items of its size is out (no occurrence is lost by this).
 
 The benchmark is cut into slices of at most ``slice_words`` words, the documents are read once per slice; one slice is what
 a task holds.
@@ -78,19 +78,24 @@ def edit_distances(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray,
     return row[np.arange(len(items)), end], end
 
 
+def _triples(words: np.ndarray) -> np.ndarray:
+    return W.mix((words[:-2] * _STEP + words[1:-1]) * _STEP + words[2:])
+
+
 @dataclass
 class Benchmark:
-    """One slice of the benchmark: word hashes by item, the pairs of words in it, and the tables."""
+    """One slice of the benchmark: word hashes by item, the word triples in it, and the tables."""
 
     item: list
     sequence: list[np.ndarray]
     share: float
 
     def __post_init__(self) -> None:
-        pairs = [W.mix(s[:-1] * _STEP + s[1:]) for s in self.sequence]
-        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+        # distinct (triple, size of an item that holds it), ordered by triple
+        held = sorted({(t, len(s)) for s in self.sequence for t in _triples(s).tolist()})
+        self.triples, self.sizes = np.array([t for t, _ in held], np.uint64), np.array([n for _, n in held], np.int64)
         self.bloom = np.zeros(1 << _BLOOM_BITS, bool)
-        self.bloom[self.pairs >> np.uint64(64 - _BLOOM_BITS)] = True
+        self.bloom[self.triples >> np.uint64(64 - _BLOOM_BITS)] = True
         self.by_size: dict[int, np.ndarray] = {}
         for n in sorted({len(s) for s in self.sequence}):
             self.by_size[n] = np.array([i for i, s in enumerate(self.sequence) if len(s) == n])
@@ -105,39 +110,37 @@ class Benchmark:
     def edits(self, n: int) -> int:
         return int(self.share * n)
 
-    def _candidates(self, hashes: np.ndarray, text: np.ndarray, n: int, hits: np.ndarray, total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Starts of windows of n words that may hold an item of n words."""
-        reach = np.minimum(hits + n + self.edits(n) - 1, end[hits] - 1)
-        enough = total[reach] - total[hits] >= n - 1 - 2 * self.edits(n)
+    def _candidates(self, n: int, hits: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Starts of windows of n words that may hold an item of n words; ``hits``: where triples of such items are."""
+        reach = np.minimum(hits + n + self.edits(n) - 2, end[hits] - 2)
+        enough = np.searchsorted(hits, reach) - np.arange(len(hits)) >= max(1, n - 2 - 3 * self.edits(n))
         starts = hits[enough]
         if not len(starts):
             return starts
-        # an edit at the start of the passage moves the first known pair on
-        moved = (starts[:, None] - np.arange(4)[None, :]).ravel()
-        moved = np.maximum(moved, np.repeat(begin[starts], 4))
+        # an edit at the start of the passage moves the first known triple on
+        moved = (starts[:, None] - np.arange(6)[None, :]).ravel()
+        moved = np.maximum(moved, np.repeat(begin[starts], 6))
         return np.unique(moved)
 
     def matches(self, block: W.Words) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, distance): the closest occurrence of each item in each text."""
         h, n_words = block.hashes(), len(block.starts)
-        if n_words < 2 or not self.item:
+        if n_words < 3 or not self.item:
             return []
-        pair = W.mix(h[:-1] * _STEP + h[1:])
+        triple = _triples(h)
         text = block.text_of_word()
-        hit = self.bloom[pair >> np.uint64(64 - _BLOOM_BITS)] & (text[:-1] == text[1:])
+        hit = self.bloom[triple >> np.uint64(64 - _BLOOM_BITS)] & (text[:-2] == text[2:])
         at = np.flatnonzero(hit)
-        known = pair[at]
-        place = np.minimum(np.searchsorted(self.pairs, known), len(self.pairs) - 1)
-        hits = at[self.pairs[place] == known]
-        if not len(hits):
-            return []
-        flags = np.zeros(n_words + 1, np.int64)
-        flags[hits + 1] = 1
-        total = np.cumsum(flags)
+        low, high = np.searchsorted(self.triples, triple[at], "left"), np.searchsorted(self.triples, triple[at], "right")
+        count = high - low
+        entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        place, size = np.repeat(at, count), self.sizes[entry]
+        order = np.argsort(size, kind="stable")
+        place, size = place[order], size[order]
         begin, end = block.first[:-1][text], block.first[1:][text]
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n in self.by_size:
-            starts = self._candidates(h, text, n, hits, total, begin, end)
+            starts = self._candidates(n, place[np.searchsorted(size, n) : np.searchsorted(size, n, "right")], begin, end)
             for low in range(0, len(starts), 20_000):
                 for key, value in self._verified(h, text, begin, end, n, starts[low : low + 20_000]):
                     if key not in found or value < found[key]:
@@ -198,7 +201,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, min_words
 
     def finder(index: Benchmark):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, block in W.blocks(batches, "text", plain=True):
+            for batch, block in W.blocks(batches, "text", plain=True, limit=3 * W.BLOCK_BYTES):
                 found = sorted(index.matches(block))
                 ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
                 columns = [pa.array([index.item[x[1]] for x in found]), *[pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4)]]
@@ -223,7 +226,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, m
 
     def flagger(index: Benchmark):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, block in W.blocks(batches, "_lower", plain=True):
+            for batch, block in W.blocks(batches, "_lower", plain=True, limit=3 * W.BLOCK_BYTES):
                 found = np.zeros(batch.num_rows, bool)
                 found[[x[0] for x in index.matches(block)]] = True
                 yield batch.select(batch.schema.names[:-1]).filter(pa.array(~found))

@@ -299,7 +299,7 @@ def with_ngram_features(df, text: str = "body"):
 
 
 def with_attribution(df, text: str = "body"):
-    """Who is said to feel: counts of hits, type, score and the first five matches."""
+    """Who is said to feel: counts of hits, type, score and all matches."""
     body = strip(fold(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn("_b", body)
     found = F.concat(*[F.regexp_extract_all("_b", F.lit("(?i)" + p), F.lit(0)) for p in L.BOT_EMOTION_PATTERNS])
@@ -315,7 +315,7 @@ def with_attribution(df, text: str = "body"):
         .when(bot, F.least(F.lit(1.0), F.col("n_bot") * F.lit(0.4)))
         .otherwise(F.lit(0.0))
         .alias("bot_attribution_score"),
-        F.slice("_found", 1, 5).alias("matched_patterns"),
+        F.col("_found").alias("matched_patterns"),
     ).drop("_b", "_found")
 
 
@@ -443,10 +443,7 @@ def parse_reply(reply: Column) -> Column:
     raw = F.get_json_object(reply, "$.score")
     number = raw.try_cast("double")
     quoted = reply.rlike(r'"score"\s*:\s*"')
-    score = F.when(
-        number.isNotNull() & ~quoted,
-        F.greatest(F.lit(1), F.least(F.lit(5), F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("int"))),
-    ).otherwise(0)
+    score = F.when(number.isNotNull() & ~quoted, F.floor(F.greatest(F.lit(1.0), F.least(F.lit(5.0), number)))).otherwise(0)
     return F.struct(
         score.cast("int").alias("score"),
         F.coalesce(F.get_json_object(reply, "$.r"), F.get_json_object(reply, "$.reasoning"), F.lit("")).alias("reasoning"),

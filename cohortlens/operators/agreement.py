@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortlens.operators import ranks
 from cohortlens.operators.rollup import first_n
 
 
@@ -176,7 +177,7 @@ def version_comparison(df: DataFrame, old: str, new: str) -> DataFrame:
     s = ok.agg(
         F.count(F.lit(1)).alias("n"),
         *[f(c).alias(f"{name}_{k}") for k, c in (("old", old), ("new", new))
-          for name, f in (("mean", F.avg), ("median", F.median), ("sd", F.stddev_samp))],
+          for name, f in (("mean", F.avg), ("sd", F.stddev_samp))],
         F.avg((d == 0).cast("double")).alias("exact"),
         F.avg((F.abs(d) <= 1).cast("double")).alias("within_1"),
         F.count_if(d > 0).alias("raised"),
@@ -184,6 +185,8 @@ def version_comparison(df: DataFrame, old: str, new: str) -> DataFrame:
         F.count_if(d == 0).alias("same"),
         F.try_divide(F.avg(d), F.stddev_samp(d)).alias("d_paired"),
     )
+    for k, c in (("old", old), ("new", new)):
+        s = s.join(F.broadcast(ranks.medians(ok, c, out=f"median_{k}")), how="left")  # one row
     return s.withColumns(
         {f"pct_{k}": F.try_divide(F.col(k) * 100, F.col("n")) for k in ("raised", "lowered")}
     )

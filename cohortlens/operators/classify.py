@@ -32,9 +32,17 @@ def assembled(df: DataFrame, cols: Sequence[str], out: str = "features") -> Data
 
 
 def community_vectors(lists: DataFrame, column: str = "communities", size: int = 100, window: int = 5, min_count: int = 3,
-                      epochs: int = 10, seed: int = 42) -> DataFrame:
-    """Skip-gram vectors of communities from every user's list."""
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, inputCol=column, outputCol="_o").fit(lists)
+                      epochs: int = 10, seed: int = 42, users_per_partition: int = 20000) -> DataFrame:
+    """Skip-gram vectors of communities from every user's list.
+
+    Training runs in as many partitions as there are ``users_per_partition`` users; their vectors are averaged after
+    each epoch.
+    """
+    lists = training_set(lists.select(column))
+    partitions = -(-lists.count() // users_per_partition) or 1
+    model = Word2Vec(
+        vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions, inputCol=column, outputCol="_o"
+    ).fit(lists)
     return model.getVectors().select(F.col("word").alias("community"), vector_to_array("vector").alias("vector"))
 
 
@@ -215,7 +223,7 @@ def permutation_importance(df: DataFrame, cols: Sequence[str], key: str, label:
 
 def topics(df: DataFrame, vector: str, k: int = 10, components: int = 5, min_size: int = 10, seed: int = 42) -> DataFrame:
     """Clusters of embeddings after reduction; members of clusters below ``min_size`` become −1."""
-    data = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    data = training_set(df).withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     reduced = PCA(k=components, inputCol="_v", outputCol="_r").fit(data).transform(data)
     out = BisectingKMeans(k=k, seed=seed, featuresCol="_r", predictionCol="topic", minDivisibleClusterSize=float(min_size)).fit(reduced).transform(reduced)
     sizes = out.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))

@@ -66,9 +66,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*keys).agg(best).select(*[c if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
-def dedupe(df: DataFrame, key: str = "id", order: Sequence[str] | None = None) -> DataFrame:
-    """First copy per id; without an order any copy serves."""
-    return first_per_key(df, [key], order) if order else df.dropDuplicates([key])
+def dedupe(df: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame:
+    """First copy per id in ``order``."""
+    return first_per_key(df, [key], order)
 
 
 def clean(df: DataFrame, file: str | None = "_file", order: Sequence[str] = ("_pos",)) -> DataFrame:
@@ -79,8 +79,8 @@ def clean(df: DataFrame, file: str | None = "_file", order: Sequence[str] = ("_p
     keep = [c for c in ([file] if file else []) + list(order) if c in df.columns]
     std = standardise(df, keep)
     ok = is_person() & has_quality_text()
-    if not keep:
-        return dedupe(std).where(ok)
+    if not [c for c in order if c in df.columns]:
+        raise ValueError(f"clean needs a row order; none of {list(order)} is a column")
     if file:
         rest = [c for c in keep if c != file]
         std = first_per_key(std, [file, "id"], rest)
@@ -108,7 +108,7 @@ def funnel(df: DataFrame, file: str = "_file", order: Sequence[str] = ("_pos",))
 
 
 def exclude_ids(df: DataFrame, main: DataFrame, key: str = "id") -> DataFrame:
-    return df.join(main.select(key).distinct(), key, "left_anti")
+    return df.join(main.select(key), key, "left_anti")
 
 
 def complete_cases(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -32,7 +32,7 @@ def chi2_test(df: DataFrame, a: str, b: str) -> DataFrame:
 
     A 2×2 table gets the continuity correction (each |O − E| is lowered by at most one half).
     """
-    counts = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))  # products of counts leave 64 bits
     whole = Window.partitionBy(F.lit(0))  # levels × levels rows
     c = counts.withColumns(
         {
@@ -44,7 +44,7 @@ def chi2_test(df: DataFrame, a: str, b: str) -> DataFrame:
     e = F.col("_r") * F.col("_c") / F.col("_n")
     # absent cells have O = 0: their expectations add what the present ones leave of the total
     s = c.agg(
-        F.max("_n").cast("double").alias("n"),
+        F.max("_n").alias("n"),
         F.count_distinct(a).alias("rows"),
         F.count_distinct(b).alias("columns"),
         (F.sum(F.col("n") * F.col("n") / e) - F.max("_n")).alias("chi2_uncorrected"),

@@ -91,27 +91,25 @@ def project_users(membership: DataFrame, vectors: DataFrame, axis: DataFrame, au
 _LABELS = [b for b, _, _ in L.AGE_BUCKETS]
 
 
-def age_from_score(df: DataFrame, score: str = "score", out: str = "age_bucket_community", min_users: int = 100) -> DataFrame:
-    """Quintile buckets when more than ``min_users`` scores exist, fixed cut-offs otherwise."""
+def age_from_score(df: DataFrame, score: str = "score", out: str = "age_bucket_community", rule: str = "quantile") -> DataFrame:
+    """Quintile buckets (rule ``quantile``) or fixed cut-offs (rule ``fixed``), whatever the number of users."""
+    if rule == "fixed":
+        return df.withColumn(out, S.cut(F.col(score), L.AGE_CUTS_FALLBACK, _LABELS))
     q = ranks.quantiles(df, score, {f"_q{i}": i / 5 for i in range(1, 5)})
-    n = df.agg(F.count(score).alias("_n"))
-    j = df.join(F.broadcast(q)).join(F.broadcast(n))  # one row each
     by_rank = S.cut(F.col(score), [F.col(f"_q{i}") for i in range(1, 5)], _LABELS)
-    fixed = S.cut(F.col(score), L.AGE_CUTS_FALLBACK, _LABELS)
-    return j.withColumn(out, F.when(F.col("_n") > min_users, by_rank).otherwise(fixed)).drop("_n", *[f"_q{i}" for i in range(1, 5)])
+    return df.join(F.broadcast(q)).withColumn(out, by_rank).drop(*[f"_q{i}" for i in range(1, 5)])  # one row
 
 
 def gender_from_score(df: DataFrame, score: str = "score", out: str = "gender_community", percentile: float = 0.70,
-                      min_users: int = 100) -> DataFrame:
-    """Strong scores only: those whose size reaches the given percentile; the sign picks the pole."""
+                      rule: str = "quantile") -> DataFrame:
+    """Strong scores only, the sign picks the pole: those whose size reaches the percentile (rule ``quantile``) or 0.1 (``fixed``)."""
+    s = F.col(score)
+    if rule == "fixed":
+        return df.withColumn(out, F.when(s < -0.1, "female").when(s > 0.1, "male").otherwise("unknown"))
     d = df.withColumn("_abs", F.abs(score))
     q = ranks.quantiles(d, "_abs", {"_t": percentile})
-    n = df.agg(F.count(score).alias("_n"))
-    j = d.join(F.broadcast(q)).join(F.broadcast(n))  # one row each
-    s = F.col(score)
     strong = F.when(F.col("_abs") < F.col("_t"), "unknown").when(s < 0, "female").otherwise("male")
-    fixed = F.when(s < -0.1, "female").when(s > 0.1, "male").otherwise("unknown")
-    return j.withColumn(out, F.when(F.col("_n") > min_users, strong).otherwise(fixed)).drop("_abs", "_t", "_n")
+    return d.join(F.broadcast(q)).withColumn(out, strong).drop("_abs", "_t")  # one row
 
 
 def age_calibrated(score: Column) -> Column:

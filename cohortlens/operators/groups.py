@@ -208,6 +208,17 @@ def one_way(df: DataFrame, group: str, value: str, min_n: int = 2) -> DataFrame:
     ).withColumn("p", cdf.p_f("f", "df_between", "df_within"))
 
 
+MAX_PAIR_LEVELS = 2000
+
+
+def _bounded_levels(stats: DataFrame, limit: int) -> DataFrame:
+    """``stats`` (a row per level) if it has at most ``limit`` levels; more make all pairs too many to be of use."""
+    n = stats.limit(limit + 1).count()
+    if n > limit:
+        raise ValueError(f"more than {limit} levels to compare in pairs; choose levels or raise the limit")
+    return stats
+
+
 def _ordered_pairs(stats: DataFrame, group: str, by: Sequence[str] = ()) -> DataFrame:
     """Pairs of group summary rows (levels × levels, never data rows)."""
     left = stats.select(*by, *[F.col(c).alias(f"{c}_a") for c in (group, "n", "mean", "variance")])
@@ -218,17 +229,17 @@ def _ordered_pairs(stats: DataFrame, group: str, by: Sequence[str] = ()) -> Data
     return left.join(right, on).drop(*[f"_r_{c}" for c in by])
 
 
-def pairwise(df: DataFrame, group: str, value: str, min_n: int = 2) -> DataFrame:
-    """Student t-test and effect size for every pair of group summaries."""
-    s = moments(df, value, [group]).where(F.col("n") >= min_n)
+def pairwise(df: DataFrame, group: str, value: str, min_n: int = 2, max_levels: int = MAX_PAIR_LEVELS) -> DataFrame:
+    """Student t-test and effect size for every pair of group summaries; too many levels raise an error."""
+    s = _bounded_levels(moments(df, value, [group]).where(F.col("n") >= min_n), max_levels)
     p = _ordered_pairs(s, group).withColumnsRenamed({"variance_a": "var_a", "variance_b": "var_b"})
     p = p.withColumns({"diff": F.col("mean_a") - F.col("mean_b"), "sd_a": F.sqrt("var_a"), "sd_b": F.sqrt("var_b")})
     return effect_size(student(p))
 
 
-def tukey(df: DataFrame, group: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """Tukey–Kramer comparison of all pairs of cells."""
-    s = moments(df, value, [group])
+def tukey(df: DataFrame, group: str, value: str, alpha: float = 0.05, max_levels: int = MAX_PAIR_LEVELS) -> DataFrame:
+    """Tukey–Kramer comparison of all pairs of cells; too many cells raise an error."""
+    s = _bounded_levels(moments(df, value, [group]), max_levels)
     whole = Window.partitionBy(F.lit(0))  # one row per cell
     s = s.withColumns(
         {
@@ -374,7 +385,7 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 
     j = pairs.join(ranked("_x", "_rx"), [*by, "_x"]).join(ranked("_y", "_ry"), [*by, "_y"])
     total = pairs.groupBy(*by).agg(F.sum("_w").cast("double").alias("_n"))
-    j = j.join(F.broadcast(total), list(by)) if by else j.join(F.broadcast(total))  # one row per group
+    j = j.join(total, list(by)) if by else j.join(F.broadcast(total))  # without groups one row
     cx, cy = F.col("_rx") - (F.col("_n") + 1) / 2, F.col("_ry") - (F.col("_n") + 1) / 2
     s = j.groupBy(*by).agg(
         F.max("_n").cast("long").alias("n"),

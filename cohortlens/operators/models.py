@@ -156,25 +156,45 @@ def attenuation_corrected(terms: DataFrame, reliabilities: Mapping[str, float] |
 # ---- power ----------------------------------------------------------------------------------
 
 
-def power_of(n: float, f2: float, reliability: float, alpha: float, k: int) -> float:
-    """Power of the overall F test with ``k`` predictors; the effect shrinks by the squared reliability."""
-    d2 = n - k - 1
-    if d2 <= 0:
-        return 0.0
-    return cdf.noncentral_f_sf(cdf.f_ppf(1 - alpha, k, d2), k, d2, f2 * reliability**2 * n)
-
-
-def detectable(n: float, power: float, reliability: float, alpha: float, k: int) -> float:
-    """Smallest effect found with the given power, by bisection between 0.0001 and 1."""
-    lo, hi = 0.0001, 1.0
-    mid = hi
-    for _ in range(50):
-        mid = (lo + hi) / 2
-        got = power_of(n, mid, reliability, alpha, k)
-        lo, hi = (mid, hi) if got < power else (lo, mid)
-        if abs(got - power) < 0.001:
+def f_test_power(sizes: np.ndarray, effects: np.ndarray, predictors: int, alpha: float) -> np.ndarray:
+    """Power of the overall F test for each (sample size, Cohen's f2); nan where no error degrees of freedom are left."""
+    out = np.full(len(sizes), np.nan)
+    critical: dict[float, float] = {}
+    for i, (n, f2) in enumerate(zip(sizes, effects, strict=True)):
+        error_df = n - predictors - 1
+        if error_df > 0:
+            if n not in critical:
+                critical[n] = cdf.f_ppf(1 - alpha, predictors, error_df)
+            out[i] = cdf.noncentral_f_sf(critical[n], predictors, error_df, n * f2)
+    return out
+
+
+def detectable_effects(sizes: np.ndarray, target: float, predictors: int, alpha: float) -> np.ndarray:
+    """Cohen's f2 at which the F test reaches the target power, for all sizes at once.
+
+    The effect is bracketed by doubling from 1 / n and found by regula falsi (Illinois) on the logarithm of f2.
+    """
+    sizes = np.asarray(sizes, float)
+    miss = lambda x: f_test_power(sizes, np.exp(x), predictors, alpha) - target
+    high = -np.log(sizes)
+    gap_high = miss(high)
+    low, gap_low = high - 30, np.full(len(sizes), alpha - target)
+    while (short := gap_high < 0).any():
+        low, gap_low = np.where(short, high, low), np.where(short, gap_high, gap_low)
+        high = np.where(short, high + np.log(2), high)
+        gap_high = miss(high)
+    for _ in range(200):
+        if np.nanmax(high - low, initial=0) < 1e-10:
             break
-    return mid
+        x = (low * gap_high - high * gap_low) / (gap_high - gap_low)
+        x = np.where((x > low) & (x < high), x, (low + high) / 2)
+        gap = miss(x)
+        up = gap >= 0
+        gap_low, gap_high = np.where(up, gap_low / 2, gap), np.where(up, gap, gap_high / 2)
+        low, high = np.where(up | np.isnan(gap), low, x), np.where(up, x, high)
+        if np.nanmax(np.abs(gap), initial=0) < 1e-12:
+            low = high = x
+    return np.exp(high)
 
 
 def power_table(df: DataFrame, by: Sequence[str], effects: Sequence[float] = (0.02, 0.15, 0.35), reliability: float = 1.0,
@@ -185,13 +205,12 @@ def power_table(df: DataFrame, by: Sequence[str], effects: Sequence[float] = (0.
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
-            out = []
-            for r in batch.itertuples(index=False):
-                mde = detectable(r.n, target, reliability, alpha, predictors)
-                for e in effects:
-                    clean, noisy = power_of(r.n, e, 1.0, alpha, predictors), power_of(r.n, e, reliability, alpha, predictors)
-                    out.append((*[getattr(r, b) for b in by], int(r.n), e, clean, noisy, clean - noisy, mde))
-            yield pd.DataFrame(out, columns=[*by, "n", "f2", "power_no_error", "power", "power_loss", "detectable_f2"])
+            n = batch["n"].to_numpy(float)
+            # measurement error shrinks the effect by the squared reliability
+            smallest = detectable_effects(n, target, predictors, alpha) / reliability**2
+            for e in effects:
+                clean, noisy = (f_test_power(n, np.full(len(n), e * r**2), predictors, alpha) for r in (1.0, reliability))
+                yield batch[[*by, "n"]].assign(f2=e, power_no_error=clean, power=noisy, power_loss=clean - noisy, detectable_f2=smallest)
 
     schema = kinds + "n long, f2 double, power_no_error double, power double, power_loss double, detectable_f2 double"
     return sizes.mapInPandas(run, schema)

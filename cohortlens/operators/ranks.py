@@ -2,8 +2,9 @@
 
 Everything that needs an order works on ``(group, value, count)`` rows instead of the data: equal values
 are combined map-side first, so a hot value costs one row.  The running total over the distinct values is
-computed in slices of the value axis; a slice is a pure function of the value, so no sampling pass is
-needed and a lost task recomputes the same slices.  Only one row per (group, slice) is ordered globally.
+computed in slices of the value axis; a slice is a pure function of the value and the column's range, so no
+sampling pass is needed and a lost task recomputes the same slices.  Only one row per (group, slice) is ordered
+globally.
 """
 
 from __future__ import annotations
@@ -12,16 +13,20 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICES_PER_E_FOLD = 256
+SLICES_PER_E_FOLD, SLICES_OF_RANGE = 256, 4096
 
 
-def value_slice(c: Column, centre: float = 0.0, scale: float = 1.0) -> Column:
-    """Monotone slice number: fine around the centre, logarithmic far from it.
+def value_slice(c: Column, low: Column, high: Column) -> Column:
+    """Monotone slice number: logarithmic around zero plus even steps between ``low`` and ``high``.
 
-    Values that crowd far from zero (years, epoch seconds) pass a centre and a scale.
+    The sum of two monotone step functions separates what either separates: values over many magnitudes as well as
+    values that crowd far from zero (years, epoch seconds).
     """
-    x = (c.cast("double") - centre) / scale
-    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * SLICES_PER_E_FOLD).cast("long")
+    x = c.cast("double")
+    fold = F.floor(F.signum(x) * F.log1p(F.abs(x)) * SLICES_PER_E_FOLD)
+    width = high - low
+    even = F.when((width > 0) & (width < float("inf")), F.floor((x - low) / width * SLICES_OF_RANGE)).otherwise(0)
+    return (fold + even).cast("long")
 
 
 def histogram(df: DataFrame, value: str, by: Sequence[str] = (), weights: Mapping[str, Column] | None = None) -> DataFrame:
@@ -38,11 +43,11 @@ def running(
     value: str,
     counts: Sequence[str],
     by: Sequence[str] = (),
-    centre: float = 0.0,
-    scale: float = 1.0,
 ) -> DataFrame:
     """Adds ``before_<c>`` (total of smaller values) and ``all_<c>`` (total) for every count column."""
-    h = hist.withColumn("_s", value_slice(F.col(value), centre, scale))
+    ends = hist.agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
+    h = hist.join(F.broadcast(ends))  # one row
+    h = h.withColumn("_s", value_slice(F.col(value), F.col("_low"), F.col("_high"))).drop("_low", "_high")
     keys = ["_s"]
     if by:
         # a struct is never null and equal when its fields are, so null groups join on plain equality

@@ -93,7 +93,7 @@ def behaviour(df: DataFrame, author: str = "author", ts: str = "ts", length: Col
         F.floor((F.max(seconds) - F.min(seconds)) / 86400000000).alias("activity_span_days"),
         F.avg(length if length is not None else F.length("body")).alias("avg_comment_length"),
         F.count(F.lit(1)).alias("comment_count"),
-        (F.size(F.collect_set(community)) / F.count(F.lit(1))).alias("subreddit_diversity"),
+        (F.count_distinct(community) / F.count(F.lit(1))).alias("subreddit_diversity"),
     )
 
 
@@ -158,12 +158,13 @@ def first_n(df: DataFrame, n: int, by: Sequence[str], order: Sequence) -> DataFr
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
 
 
-def user_documents(df: DataFrame, n: int = 50, author: str = "author", text: str = "body",
+def user_documents(df: DataFrame, n: int | None = None, author: str = "author", text: str = "body",
                    order: Sequence[str] = ("created_utc", "id"), cut: int | None = None, sep: str = " ") -> DataFrame:
-    """A user's first n comments as one text, each optionally cut to a number of characters."""
+    """A user's comments in order as one text; only the first ``n`` or so many characters of each where asked for."""
     body = F.col(text) if cut is None else F.substring(text, 1, cut)
-    head = first_n(df, n, [author], list(order)).select(author, "_rn", body.alias("_b"))
-    parts = F.array_sort(F.collect_list(F.struct("_rn", "_b")))
+    head = df if n is None else first_n(df, n, [author], list(order))
+    head = head.select(author, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], body.alias("_b"))
+    parts = F.array_sort(F.collect_list(F.struct(*[f"_o{k}" for k in range(len(order))], "_b")))
     return head.groupBy(author).agg(
         F.array_join(F.transform(parts, lambda s: s["_b"]), sep).alias("document"), F.count(F.lit(1)).alias("n_comments")
     )
@@ -238,6 +239,7 @@ def community_profile(df: DataFrame, value: str, community: str = "subreddit", f
 
 
 def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
+    k, n = k.cast("double"), n.cast("double")  # n squared leaves 64 bits
     p = F.try_divide(k, n)
     denom = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / denom

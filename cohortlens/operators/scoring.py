@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.functions import text as T
 
-SCORED_SCHEMA = "score int, reasoning string, source string, processing_time_ms double"
+SCORED_SCHEMA = "score int, reasoning string, source string, processing_time_ms double, input_tokens long, output_tokens long"
 
 
 def lexicon_score(df: DataFrame, text: str = "body") -> DataFrame:
@@ -21,7 +22,7 @@ def lexicon_score(df: DataFrame, text: str = "body") -> DataFrame:
     keep = [c for c in df.columns]
     return d.select(
         *keep, score.cast("int").alias("score"), F.lit("lexicon").alias("reasoning"), F.lit("lexicon").alias("source"),
-        F.lit(0.0).alias("processing_time_ms"),
+        F.lit(0.0).alias("processing_time_ms"), F.lit(0).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"),
     )
 
 
@@ -29,22 +30,37 @@ def score_with(df: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], key:
                retries: int = 3) -> DataFrame:
     """Prefiltered texts score 1 at once, the rest go through ``scorer`` batch by batch.
 
-    ``scorer`` maps a batch of texts to ``score`` and ``reasoning``; a batch that keeps failing gets
-    score 0 and source ``error``, so that a later run picks it up again.
+    ``scorer`` maps a batch of texts to ``score`` and ``reasoning``, perhaps ``input_tokens`` and ``output_tokens``.
+    A batch that fails or whose output is not one finite score per text is tried again, then halved down to single
+    texts; a text that keeps failing gets score 0 and source ``error``, so that a later run picks it up again.
     """
     pre = T.with_prefilter(df.select(key, text), text, "p").select(
         key, F.when(~F.col("p.skip"), F.col(text)).alias(text), F.when(F.col("p.skip"), F.col("p.reason")).alias("reason")
     )
     kind = dict(df.dtypes)[key]
 
-    def attempt(texts: pd.Series) -> tuple[pd.DataFrame | None, str]:
+    def checked(texts: pd.Series) -> pd.DataFrame:
+        out = scorer(texts).reset_index(drop=True)
+        if len(out) != len(texts):
+            raise ValueError(f"{len(out)} scores for {len(texts)} texts")
+        score = pd.to_numeric(out["score"])
+        if not np.isfinite(score.to_numpy(float)).all():
+            raise ValueError("a score is not a number")
+        tokens = {c: out[c].astype("int64") if c in out else 0 for c in ("input_tokens", "output_tokens")}
+        return pd.DataFrame({"score": score.clip(1, 5).astype("int32"), "reasoning": out["reasoning"].astype(str), "source": "model", **tokens})
+
+    def attempt(texts: pd.Series) -> pd.DataFrame:
         reason = ""
         for _ in range(retries):
             try:
-                return scorer(texts).reset_index(drop=True), ""
-            except Exception as e:  # noqa: BLE001 - a failed batch is recorded, not raised
-                reason = str(e)[:200]
-        return None, reason
+                return checked(texts)
+            except Exception as e:  # noqa: BLE001 - a failed text is recorded, not raised
+                reason = str(e)
+        if len(texts) > 1:
+            half = len(texts) // 2
+            parts = [attempt(t.reset_index(drop=True)) for t in (texts.iloc[:half], texts.iloc[half:])]
+            return pd.concat(parts, ignore_index=True)
+        return pd.DataFrame({"score": np.zeros(1, "int32"), "reasoning": [reason], "source": ["error"], "input_tokens": [0], "output_tokens": [0]})
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -53,24 +69,14 @@ def score_with(df: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], key:
             skip = batch["reason"].notna()
             done, todo = batch[skip], batch[~skip]
             yield pd.DataFrame(
-                {key: done[key], "score": 1, "reasoning": "prefilter:" + done["reason"].astype(str), "source": "prefilter", "processing_time_ms": 0.0}
-            )
-            n = len(todo)
-            if not n:
-                continue
-            start = time.time()
-            out, why = attempt(todo[text].reset_index(drop=True))
-            spent = (time.time() - start) * 1000 / n
-            failed = out is None
-            yield pd.DataFrame(
-                {
-                    key: todo[key].to_numpy(),
-                    "score": [0] * n if failed else out["score"].clip(1, 5).astype("int32").to_numpy(),
-                    "reasoning": [why] * n if failed else out["reasoning"].to_numpy(),
-                    "source": "error" if failed else "model",
-                    "processing_time_ms": spent,
-                }
+                {key: done[key], "score": 1, "reasoning": "prefilter:" + done["reason"].astype(str), "source": "prefilter",
+                 "processing_time_ms": 0.0, "input_tokens": 0, "output_tokens": 0}
             )
+            if len(todo):
+                start = time.time()
+                out = attempt(todo[text].reset_index(drop=True))
+                out.insert(0, key, todo[key].to_numpy())
+                yield out.assign(processing_time_ms=(time.time() - start) * 1000 / len(todo))
 
     return pre.mapInPandas(batches, f"{key} {kind}, {SCORED_SCHEMA}")
 

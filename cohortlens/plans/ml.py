@@ -136,36 +136,40 @@ def labelled(spark, sf):
 
 @query(
     """WITH mem AS (SELECT DISTINCT o_custkey AS author, l_suppkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-    SELECT CAST(c AS VARCHAR) AS community, 16 AS size FROM mem GROUP BY c HAVING count(*) >= 3"""
+    SELECT CAST(c AS VARCHAR) AS community, 100 AS size FROM mem GROUP BY c HAVING count(*) >= 3"""
 )
 def community_word_vectors(spark, sf):
     lists = R.participation(_memberships(spark, sf).withColumn("c", F.col("community").cast("string")), community="c", min_count=1)
-    v = K.community_vectors(lists, "communities", size=16, epochs=2)
+    v = K.community_vectors(lists, "communities")
     return v.select("community", F.size("vector").alias("size"))
 
 
-@query()
+@query(
+    """WITH mem AS (SELECT DISTINCT o_custkey AS author, l_suppkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    known AS (SELECT c FROM mem GROUP BY c HAVING count(*) >= 10 ORDER BY count(*) DESC, c LIMIT 500)
+    SELECT author, CAST(count(known.c) AS INTEGER) AS n_known FROM mem LEFT JOIN known USING (c) GROUP BY author"""
+)
 def community_count_vectors(spark, sf):
     lists = R.participation(_memberships(spark, sf).withColumn("c", F.col("community").cast("string")), community="c", min_count=1)
-    out = K.membership_vectors(lists, size=50)
+    out = K.membership_vectors(lists)
     return out.select("author", F.size(F.filter(K.vector_to_array("features"), lambda x: x > 0)).alias("n_known"))
 
 
 @query()
 def stacked_classifier(spark, sf):
     signals = {"scores": ["score_mean", "score_std", "score_count"], "emotions": roles.USER_EMOTIONS[:4]}
-    out = K.stacked(labelled(spark, sf), signals, "author", "label", k=2, iterations=3, depth=3)
+    out = K.stacked(labelled(spark, sf), signals, "author", "label", k=5)
     return K.with_confidence(out, ["adult", "teen"], 0.6).select("author", "label", "predicted", "confidence", "prob_teen")
 
 
 @query()
 def class_weight_search(spark, sf):
-    return rounded(K.weight_search(labelled(spark, sf), FEATURES, "author", "label", [1.0, 1.25, 1.5], k=2))
+    return rounded(K.weight_search(labelled(spark, sf), FEATURES, "author", "label", [1.0, 1.1, 1.2, 1.3, 1.4, 1.5], k=5))
 
 
 @query()
 def regularisation_grid(spark, sf):
-    return rounded(K.grid_search(labelled(spark, sf), FEATURES, "author", "label", [0.0, 0.01, 0.1], k=2))
+    return rounded(K.grid_search(labelled(spark, sf), FEATURES, "author", "label", [0.0, 0.01, 0.1], k=5))
 
 
 _SCALED = ["score_mean", "balance"]
@@ -187,12 +191,12 @@ def quantile_normal_transform(spark, sf):
 
 @query()
 def permutation_importance(spark, sf):
-    return rounded(K.permutation_importance(labelled(spark, sf), ["score_mean", "score_std"], "author", "label", repeats=2))
+    return rounded(K.permutation_importance(labelled(spark, sf), FEATURES, "author", "label"))
 
 
 @query()
 def tree_importance(spark, sf):
-    return rounded(K.tree_importances(labelled(spark, sf), FEATURES, "label", iterations=3, depth=3))
+    return rounded(K.tree_importances(labelled(spark, sf), FEATURES, "label"))
 
 
 @query()
@@ -251,12 +255,9 @@ def daily_scores(spark, sf):
     return rounded(ST.period_scores(roles.scored(spark, sf)))
 
 
-@query(
-    f"""WITH {roles.SCORED_SQL} SELECT date_trunc('day', ts) AS period, subreddit, count(*) AS n, {rnd('avg(score)')} AS mean, max(score) AS max FROM scored WHERE score > 0
-      AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM scored WHERE score > 0) - INTERVAL 1 HOUR GROUP BY ALL"""
-)
+@query(SQL["daily_scores"])
 def streamed_daily_scores(spark, sf):
-    """The same periods from a stream of the event file: those closed by the watermark."""
+    """The same periods from a stream of the event file: those the watermark closed and those open at its end."""
     base = _scratch(spark)
     schema = roles.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -271,4 +272,5 @@ def streamed_daily_scores(spark, sf):
         .option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return rounded(spark.read.parquet(f"{base}/out").withColumn("period", F.col("period").cast("timestamp_ntz")))
+    every = ST.with_open_periods(spark.read.parquet(f"{base}/out"), f"{base}/checkpoint")
+    return rounded(every.withColumn("period", F.col("period").cast("timestamp_ntz")))

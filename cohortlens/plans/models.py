@@ -337,7 +337,7 @@ def power_analysis(spark, sf):
 
 # ---- resampling -----------------------------------------------------------------------------
 
-REPS, BLOCKS = 400, 512
+REPS, BLOCKS = 2000, 4096
 
 
 def _ladder(u: str) -> str:
@@ -393,12 +393,12 @@ def bootstrap_coefficients(spark, sf):
 
 
 @query(
-    f"""WITH {U}, b AS (SELECT {_block('author')} AS block, score_std AS x, score_mean AS y FROM users), c AS (SELECT run, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM b, range(0, 100) t(run) WHERE {Q.uniform(_BKEY)} < 0.8 GROUP BY run),
+    f"""WITH {U}, b AS (SELECT {_block('author')} AS block, score_std AS x, score_mean AS y FROM users), c AS (SELECT run, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM b, range(0, 500) t(run) WHERE {Q.uniform(_BKEY)} < 0.8 GROUP BY run),
     t AS (SELECT 'score_std' AS term, b1 AS b FROM c UNION ALL SELECT 'Intercept', b0 FROM c)
     SELECT term, count(*) AS runs, {rnd('avg(b)')} AS mean, {rnd('stddev_samp(b)')} AS sd, {rnd('abs(stddev_samp(b) / avg(b))', 4)} AS cv, {rnd('quantile_cont(b, 0.025)')} AS ci_low, {rnd('quantile_cont(b, 0.975)')} AS ci_high FROM t GROUP BY term"""
 )
 def subsample_stability(spark, sf):
-    runs = M.resampled_coefficients(roles.users(spark, sf), "score_mean", ["score_std"], "author", 100, BLOCKS, 0.8)
+    runs = M.resampled_coefficients(roles.users(spark, sf), "score_mean", ["score_std"], "author", 500, BLOCKS, 0.8)
     return rounded(M.summarise_runs(runs), cv=4)
 
 

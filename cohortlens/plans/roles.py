@@ -37,9 +37,15 @@ RAW_SQL = f"""raw AS (
   FROM conversations)"""
 
 
+def _splits(spark: SparkSession) -> int | None:
+    """Partitions for text work, if the session asks for them (one-file test tables): ``spark.cohortlens.textPartitions``."""
+    asked = spark.conf.get("spark.cohortlens.textPartitions", None)
+    return int(asked) if asked else None
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("conv_id")
-    return spread(table(spark, sf_dir, "conversations"), "conv_id").select(
+    return spread(table(spark, sf_dir, "conversations"), "conv_id", _splits(spark)).select(
         F.concat(F.lit("c"), (c * 100 + F.col("turn")).cast("string")).alias("id"),
         F.when(F.col("role") == "system", "AutoModerator")
         .when(F.col("role") == "assistant", F.concat(F.lit(" HelperBot"), (c % 3).cast("string")))
@@ -63,7 +69,7 @@ COMMENTS_SQL = """comments AS (
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id", _splits(spark)).select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("body"),
         F.col("source").alias("subreddit"),

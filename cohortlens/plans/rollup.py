@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from cohortlens.functions import lexicons as L, text as T
@@ -11,6 +9,7 @@ from cohortlens.operators import clean as C, joins as J, ranks, rollup as R, sam
 from cohortlens.plans import roles, sqltext as Q
 from cohortlens.plans.registry import query, rounded
 from cohortlens.plans.text import _ATTR
+from cohortlens.session import local_scratch
 from cohortlens.sources import comments as IO
 
 rnd = Q.rnd
@@ -136,7 +135,7 @@ def user_activity(spark, sf):
     SELECT author, string_agg(body, ' ' ORDER BY rn) AS document, count(*) AS n_comments FROM r WHERE rn <= 50 GROUP BY author"""
 )
 def user_documents(spark, sf):
-    return R.user_documents(roles.raw(spark, sf))
+    return R.user_documents(roles.raw(spark, sf), 50)
 
 
 @query(
@@ -525,7 +524,7 @@ def _scratch(spark) -> str:
     import uuid
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/cohortlens-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/cohortlens-{uuid.uuid4().hex}" if shared else local_scratch(spark)
 
 
 @query(
@@ -545,19 +544,19 @@ def jsonl_round_trip(spark, sf):
 @query(
     """SELECT doc_id AS item, text, source AS subreddit,
       CASE WHEN doc_id % 7 BETWEEN 1 AND 5 THEN CAST(doc_id % 7 AS INTEGER) END AS score, lang AS reasoning,
-      CAST(NULL AS VARCHAR) AS confidence FROM documents WHERE NOT contains(text, chr(13))"""
+      CAST(NULL AS VARCHAR) AS confidence FROM documents"""
 )
 def annotation_csv_round_trip(spark, sf):
     """Whole multi-line texts through quoted CSV; scores outside 1–5 become null."""
     path = _scratch(spark) + "/sheet"
-    sheet = roles.table(spark, sf, "documents").where(~F.contains("text", F.lit("\r"))).select(
+    sheet = roles.table(spark, sf, "documents").select(
         F.col("doc_id").alias("Item #"),
         F.col("text").alias("Comment Text"),
         F.col("source").alias("Subreddit"),
         (F.col("doc_id") % 7).cast("string").alias("Your Score (1-5)"),
         F.col("lang").alias("reasoning"),
     )
-    sheet.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+    sheet.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).option("lineSep", "\n").option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False
     ).csv(path)
     return IO.read_annotations(spark, path).withColumn("item", F.col("item").cast("long"))

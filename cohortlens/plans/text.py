@@ -270,7 +270,7 @@ def top_bigrams(spark, sf):
 
 _ATTR = f"""attr AS (
   SELECT id, author, subreddit, {Q.hits('b', L.BOT_EMOTION_PATTERNS)} AS n_bot, {Q.hits('b', L.SELF_EMOTION_PATTERNS)} AS n_self,
-         ({' || '.join(f'regexp_extract_all(b, {Q.lit("(?i)" + p)})' for p in L.BOT_EMOTION_PATTERNS)})[1:5] AS matched_patterns
+         ({' || '.join(f'regexp_extract_all(b, {Q.lit("(?i)" + p)})' for p in L.BOT_EMOTION_PATTERNS)}) AS matched_patterns
   FROM (SELECT *, {Q.strip(Q.fold('body'))} AS b FROM comments)),
 attributed AS (
   SELECT *, n_bot > 0 AS bot_attributed, n_self > 0 AS self_expressed,

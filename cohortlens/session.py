@@ -28,9 +28,17 @@ def build(app: str = "cohortlens", master: str | None = None, **conf: str) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only an unset one (tests) gets a scratch folder."""
+    """Use the shared folder the cluster names; only a local session without one (tests) gets a scratch folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         spark.sparkContext.setCheckpointDir(named)
     elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        spark.sparkContext.setCheckpointDir(local_scratch(spark))
+
+
+def local_scratch(spark: SparkSession) -> str:
+    """A temporary folder of this machine, for sessions whose executors are threads of the driver."""
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; executors of {master} need a folder that all of them see")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")

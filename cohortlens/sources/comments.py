@@ -61,13 +61,12 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a scan with fewer splits than cores, spread by key before costly text work.
+def spread(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Rows of a scan dealt to ``partitions`` by key before costly text work; without a number the scan stays as it is.
 
-    A scan with enough splits, as any large table has, is left as it is.
+    For tables in a few unsplittable files; large tables have splits enough.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(partitions, key) if partitions else df
 
 
 def read_text_table(spark: SparkSession, path: str, text: str = "body", fmt: str | None = None) -> DataFrame:
@@ -81,8 +80,8 @@ def read_text_table(spark: SparkSession, path: str, text: str = "body", fmt: str
 
 def lenient_score(c: Column) -> Column:
     """Whole part of a number between 1 and 5, else null."""
-    n = F.floor(c.try_cast("double")).cast("int")
-    return F.when(n.between(1, 5), n)
+    n = c.try_cast("double")
+    return F.when((n >= 1) & (n < 6), F.floor(n).cast("int"))
 
 
 def read_annotations(
@@ -97,7 +96,7 @@ def read_annotations(
     Headers are matched by their lower-cased beginning; an answer key passes its own two.
     """
     sheet = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("lineSep", "\n").csv(path)
     )
     by_prefix = {c.lower(): c for c in sheet.columns}
 
@@ -106,7 +105,7 @@ def read_annotations(
         return F.col(f"`{name}`") if name else F.lit(None).cast("string")
 
     out = sheet.select(
-        pick("item").try_cast("double").cast("int").alias("item"),
+        pick("item").try_cast("double").try_cast("int").alias("item"),
         pick("comment text").alias("text"),
         pick("subreddit").alias("subreddit"),
         lenient_score(pick(score_header)).alias("score"),
@@ -145,4 +144,4 @@ def merge_save(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[st
 
 def pending(todo: DataFrame, done: DataFrame, key: str = "id", source: str = "source") -> DataFrame:
     """Rows still to be scored; failed ones count as not done."""
-    return todo.join(done.where(F.col(source) != "error").select(key).distinct(), key, "left_anti")
+    return todo.join(done.where(F.col(source) != "error").select(key), key, "left_anti")

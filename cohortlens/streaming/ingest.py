@@ -22,13 +22,13 @@ def comment_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000
 
 
 def cleaned_stream(comments: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Standardised, filtered, and one copy per id within the watermark.
+    """Standardised, one copy per id within the watermark, filtered after that: a dropped first copy lets no later one in.
 
-    State holds the ids of the delay window only, so it does not grow with the stream.
+    State holds the ids of the delay window only, so it does not grow with the stream.  Among copies that arrive in one
+    batch the state keeps any; sort out such copies in the batch clean.
     """
-    df = standardise(comments).where(is_person() & has_quality_text())
-    df = df.withColumn("event_time", F.timestamp_seconds("created_utc"))
-    return df.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["id"])
+    df = standardise(comments).withColumn("event_time", F.timestamp_seconds("created_utc"))
+    return df.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["id"]).where(is_person() & has_quality_text())
 
 
 def ingest(spark: SparkSession, path: str, target: str, checkpoint: str, delay: str = "7 days") -> StreamingQuery:
@@ -44,6 +44,16 @@ def ingest(spark: SparkSession, path: str, target: str, checkpoint: str, delay:
     )
 
 
+def with_open_periods(closed: DataFrame, checkpoint: str) -> DataFrame:
+    """What an appending stream of ``period_scores`` wrote, and the periods its state still held when a bounded run ended."""
+    state = closed.sparkSession.read.format("statestore").load(checkpoint)
+    # the buffers of count, mean (sum and count) and maximum, in the order of the aggregate
+    rows = state.select("key.*", "value.*").toDF("_w", "community", "n", "_sum", "_count", "max")
+    community = closed.columns[1]
+    rows = rows.select(F.col("_w.start").alias("period"), F.col("community").alias(community), "n", (F.col("_sum") / F.col("_count")).alias("mean"), "max")
+    return closed.unionByName(rows)
+
+
 def period_scores(df: DataFrame, ts: str = "ts", score: str = "score", community: str = "subreddit", width: str = "1 day",
                   delay: str | None = None) -> DataFrame:
     """Mean score per period and community; the same code on a stream (give ``delay``) and on a table."""

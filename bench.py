@@ -33,6 +33,7 @@ def main() -> None:
     spark = build(
         "bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
         spark__driver__memory="12g", spark__ui__showConsoleProgress="false",
+        spark__cohortlens__textPartitions=cpus,  # the tables are one file each
     )
     spark.sparkContext.setLogLevel("ERROR")
     from cohortlens.plans import catalog

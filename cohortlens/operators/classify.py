@@ -8,7 +8,9 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
+)
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, CountVectorizer, StringIndexer, StandardScaler, VectorAssembler, Word2Vec
@@ -144,6 +146,48 @@ def stacked(df: DataFrame, signals: Mapping[str, Sequence[str]], key: str, label
     return reduce(DataFrame.unionByName, parts)
 
 
+class Stack:
+    """Signals and meta-learner fitted on all labelled rows; predicts any rows that have the signals' columns."""
+
+    def __init__(self, signals: Mapping[str, Sequence[str]], models: Mapping[str, object], meta: object, n_classes: int):
+        self.signals, self.models, self.meta, self.n_classes = dict(signals), dict(models), meta, n_classes
+
+    def predict(self, df: DataFrame, labels: Sequence[str], threshold: float = 0.0) -> DataFrame:
+        """Per-class probabilities, confidence and label (null below the threshold) of every row."""
+        names, out = df.columns, df
+        feats = []
+        for name, cols in self.signals.items():
+            out = self.models[name].transform(assembled(out, cols, "features"))
+            p = vector_to_array("probability")
+            made = [f"{name}_p{i}" for i in range(1, self.n_classes)]
+            feats += made
+            out = out.withColumns({c: p[i + 1] for i, c in enumerate(made)}).drop("features", "rawPrediction", "probability", "prediction")
+        out = self.meta.transform(assembled(out, feats)).drop("features", "rawPrediction", "prediction", *feats)
+        return with_confidence(out, labels, threshold).drop("probability").select(*names, *[f"prob_{x}" for x in labels], "confidence", "predicted")
+
+    def save(self, path: str) -> None:
+        """All models under ``path``, in MLlib's format."""
+        for name, model in self.models.items():
+            model.write().overwrite().save(f"{path}/{name}")
+        self.meta.write().overwrite().save(f"{path}/meta")
+
+    @classmethod
+    def load(cls, path: str, signals: Mapping[str, Sequence[str]], n_classes: int = 2) -> Stack:
+        kind = GBTClassificationModel if n_classes == 2 else RandomForestClassificationModel
+        return cls(signals, {name: kind.load(f"{path}/{name}") for name in signals}, LogisticRegressionModel.load(f"{path}/meta"), n_classes)
+
+
+def fit_stack(df: DataFrame, signals: Mapping[str, Sequence[str]], key: str, label: str, n_classes: int = 2, k: int = 5,
+              iterations: int = 20, depth: int = 4, seed: int = 42) -> Stack:
+    """Meta-learner on out-of-fold probabilities, signals refitted on all rows of ``df``."""
+    out = stacked(df, signals, key, label, n_classes, k, iterations, depth, seed)
+    feats = [f"{name}_p{i}" for name in signals for i in range(1, n_classes)]
+    meta = LogisticRegression(labelCol=label, featuresCol="features", regParam=0.01).fit(assembled(out.select(label, *feats), feats))
+    rows = training_set(df.select(label, *dict.fromkeys(c for cols in signals.values() for c in cols)))
+    models = {name: _tree(n_classes, seed, iterations, depth, label, "features", None).fit(assembled(rows, cols).select(label, "features")) for name, cols in signals.items()}
+    return Stack(signals, models, meta, n_classes)
+
+
 def weight_search(df: DataFrame, cols: Sequence[str], key: str, label: str, weights: Sequence[float], guarded: float = 0.0,
                   max_accuracy_loss: float = 0.03, max_recall_loss: float = 0.05, k: int = 3, seed: int = 42) -> DataFrame:
     """Class weight that maximises macro F1 without losing too much accuracy or recall of one class.

@@ -15,6 +15,7 @@ from cohortlens.functions import cdf
 from cohortlens.functions.scalar import log_ratio
 from cohortlens.operators import gram as M
 from cohortlens.operators.clean import complete_cases
+from cohortlens.session import ensure_checkpoint_dir
 
 
 def logistic(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 100, tol: float = 1e-10) -> DataFrame:
@@ -42,46 +43,44 @@ def logistic(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 100, tol:
 def huber(df: DataFrame, y: str, xs: Sequence[str], t: float = 1.345, max_iter: int = 50, tol: float = 1e-8) -> DataFrame:
     """Huber M-estimator by iteratively reweighted least squares, scale from the median absolute residual.
 
-    Every iteration is one aggregate over the data: a weighted Gram matrix with the residual's weight in
-    column form.  Only the coefficients travel between iterations.
+    Every iteration is one aggregate over the checkpointed rows: a Gram matrix with the residual's weight in column form,
+    and the median residual that scales the next iteration.  Only the coefficients travel between iterations.
     """
     cols = list(xs)
     k = len(cols) + 1
     x = ["1.0D", *[f"CAST(`{c}` AS DOUBLE)" for c in cols]]
-    rows = complete_cases(df, [*cols, y])
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = complete_cases(df, [*cols, y]).select(*cols, y).checkpoint()
 
     def resid(beta: np.ndarray) -> str:
         return f"(CAST(`{y}` AS DOUBLE) - (" + " + ".join(f"{float(b)!r}D * {c}" for b, c in zip(beta, x)) + "))"
 
-    def weighted(beta: np.ndarray | None, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    def step(beta: np.ndarray | None, scale: float) -> tuple[np.ndarray, np.ndarray, float]:
+        """Gram matrix, moments with y, and the scale of the residuals at ``beta``."""
         w = "1.0D" if beta is None else f"CASE WHEN abs({resid(beta)}) <= {t * scale!r}D THEN 1.0D ELSE {t * scale!r}D / abs({resid(beta)}) END"
+        middle = "0.0D" if beta is None else f"percentile_approx(abs({resid(beta)}), 0.5D, 100000)"
         pairs = M._pairs(k)
         e = [f"sum(w * {x[i]} * {x[j]})" for i, j in pairs] + [f"sum(w * {c} * CAST(`{y}` AS DOUBLE))" for c in x]
-        r = rows.withColumn("w", F.expr(w)).agg(F.expr(f"array({', '.join(e)})")).head()[0]
-        return M._matrix(r[: len(pairs)], k), np.asarray(r[len(pairs):])
+        r, mid = rows.withColumn("w", F.expr(w)).agg(F.expr(f"array({', '.join(e)})"), F.expr(middle)).head()
+        return M._matrix(r[: len(pairs)], k), np.asarray(r[len(pairs):]), mid / 0.6744897501960817
 
-    def scale_of(beta: np.ndarray) -> float:
-        r = rows.agg(F.expr(f"percentile_approx(abs({resid(beta)}), 0.5D, 100000)")).head()[0]
-        return r / 0.6744897501960817
-
-    xx, xy = weighted(None, 1.0)
+    xx, xy, _ = step(None, 1.0)
+    plain = xx
     beta = np.linalg.solve(xx, xy)
-    scale = scale_of(beta)
+    _, _, scale = step(beta, 1.0)
     for _ in range(max_iter):
-        xx, xy = weighted(beta, scale)
+        xx, xy, now = step(beta, scale)
         new = np.linalg.solve(xx, xy)
-        done = np.max(np.abs(new - beta)) < tol
-        beta = new
-        scale = scale_of(beta)
+        done = max(np.max(np.abs(new - beta)), abs(now - scale)) < tol
+        beta, scale = new, now
         if done:
             break
     # covariance: k^2 * [sum psi^2 / (n - p)] s^2 / (mean psi')^2 * (X'X)^-1
     inside = f"(abs({resid(beta)}) <= {t * scale!r}D)"
     psi2 = f"CASE WHEN {inside} THEN pow({resid(beta)} / {scale!r}D, 2) ELSE {t * t!r}D END"
     n, sum_psi2, m = rows.agg(F.expr("count(1)"), F.expr(f"sum({psi2})"), F.expr(f"avg(CAST({inside} AS DOUBLE))")).head()
-    xx, _ = weighted(None, 1.0)
     kfac = 1 + k / n * (1 - m) / m
-    cov = kfac**2 * (sum_psi2 * scale**2 / (n - k)) / m**2 * np.linalg.inv(xx)
+    cov = kfac**2 * (sum_psi2 * scale**2 / (n - k)) / m**2 * np.linalg.inv(plain)
     out = []
     for i, term in enumerate(["Intercept", *cols]):
         se = math.sqrt(cov[i, i])
@@ -153,6 +152,15 @@ def attenuation_corrected(terms: DataFrame, reliabilities: Mapping[str, float] |
     )
 
 
+def corrected_bootstrap(df: DataFrame, y: str, xs: Sequence[str], reliabilities: DataFrame, key: str, reps: int = 1000,
+                        blocks: int = 4096, seed: int = 42) -> DataFrame:
+    """Percentile intervals of the coefficients divided by the reliability of their variable, over bootstrap runs."""
+    runs = M.resampled_coefficients(df, y, xs, key, reps, blocks, seed=seed)
+    rel = reliabilities.select("term", "reliability")
+    out = runs.join(F.broadcast(rel), "term", "left")  # one row per variable of the model
+    return M.summarise_runs(out.withColumn("b_corrected", F.col("b") / F.coalesce("reliability", F.lit(1.0))), "b_corrected")
+
+
 # ---- power ----------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cohortlens.functions import lexicons as L, text as T
+from cohortlens.functions.hashing import stable_key
 from cohortlens.operators import classify as K, clean as C, demographics as D, rollup as R, scoring as SC
 from cohortlens.plans import roles, sqltext as Q
 from cohortlens.plans.models import design
@@ -162,6 +163,21 @@ def stacked_classifier(spark, sf):
     return K.with_confidence(out, ["adult", "teen"], 0.6).select("author", "label", "predicted", "confidence", "prob_teen")
 
 
+_HIDDEN = "substr(md5('42:' || CAST(author AS VARCHAR)), 1, 1) IN ('0', '1', '2')"
+
+
+@query(f"WITH {roles.USERS_SQL} SELECT author, {_HIDDEN} AS unlabelled, true AS sums_to_one, true AS confident_label FROM users")
+def stacked_predictions(spark, sf):
+    """A stack learned from the labelled users predicts all of them, those whose label is hidden too."""
+    signals = {"scores": ["score_mean", "score_std", "score_count"], "emotions": roles.USER_EMOTIONS[:4]}
+    users = labelled(spark, sf).withColumn("unlabelled", F.substring(stable_key("author"), 1, 1).isin("0", "1", "2"))
+    stack = K.fit_stack(users.where(~F.col("unlabelled")), signals, "author", "label", k=3, iterations=10)
+    out = stack.predict(users.select("author", "unlabelled", *signals["scores"], *signals["emotions"]), ["adult", "teen"], 0.6)
+    best = F.when(F.col("prob_teen") > F.col("prob_adult"), "teen").otherwise("adult")
+    right = F.col("predicted").eqNullSafe(F.when(F.col("confidence") >= 0.6, best))
+    return out.select("author", "unlabelled", (F.abs(F.col("prob_adult") + F.col("prob_teen") - 1) < 1e-9).alias("sums_to_one"), right.alias("confident_label"))
+
+
 @query()
 def class_weight_search(spark, sf):
     return rounded(K.weight_search(labelled(spark, sf), FEATURES, "author", "label", [1.0, 1.1, 1.2, 1.3, 1.4, 1.5], k=5))

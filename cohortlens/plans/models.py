@@ -371,11 +371,15 @@ def bootstrap_age_difference(spark, sf):
     )
 
 
-_RUNS = f"""b AS (SELECT {_block('author')} AS block, score_std AS x, score_mean AS y FROM users), wt AS (SELECT block, run, {_ladder(Q.uniform(_BKEY))} AS w FROM range(0, {BLOCKS}) k(block), range(0, {REPS}) t(run)),
+def _runs(x: str) -> str:
+    return f"""b AS (SELECT {_block('author')} AS block, {x} AS x, score_mean AS y FROM users), wt AS (SELECT block, run, {_ladder(Q.uniform(_BKEY))} AS w FROM range(0, {BLOCKS}) k(block), range(0, {REPS}) t(run)),
     m AS (SELECT run, sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM b JOIN wt USING (block) GROUP BY run),
     c AS (SELECT run, max(mx) AS mx, max(my) AS my, sum(w * (x - mx) * (y - my)) AS sxy, sum(w * (x - mx) * (x - mx)) AS sxx, sum(w * (y - my) * (y - my)) AS syy FROM b JOIN wt USING (block) JOIN m USING (run) GROUP BY run)"""
 
 
+_RUNS = _runs("score_std")
+
+
 @query(
     f"""WITH {U}, {_RUNS}, r AS (SELECT sxy / sqrt(sxx * syy) AS r FROM c) SELECT count(*) AS runs, {rnd('avg(r)')} AS mean, {rnd('quantile_cont(r, 0.025)')} AS ci_low, {rnd('quantile_cont(r, 0.975)')} AS ci_high FROM r"""
 )
@@ -392,6 +396,15 @@ def bootstrap_coefficients(spark, sf):
     return rounded(M.summarise_runs(runs), cv=4)
 
 
+@query(
+    f"""WITH {U}, {_REL}, {_runs("CAST(age_predicted = 'teen' AS DOUBLE)")}, t AS (SELECT 'is_teen' AS term, sxy / sxx / teen AS b FROM c, rel UNION ALL SELECT 'Intercept', my - sxy / sxx * mx FROM c)
+    SELECT term, count(*) AS runs, {rnd('avg(b)')} AS mean, {rnd('stddev_samp(b)')} AS sd, {rnd('abs(stddev_samp(b) / avg(b))', 4)} AS cv, {rnd('quantile_cont(b, 0.025)')} AS ci_low, {rnd('quantile_cont(b, 0.975)')} AS ci_high FROM t GROUP BY term"""
+)
+def bootstrap_corrected_coefficients(spark, sf):
+    out = MD.corrected_bootstrap(design(spark, sf), "score_mean", [TEEN], _reliability(spark, sf), "author", REPS, BLOCKS)
+    return rounded(out, cv=4)
+
+
 @query(
     f"""WITH {U}, b AS (SELECT {_block('author')} AS block, score_std AS x, score_mean AS y FROM users), c AS (SELECT run, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM b, range(0, 500) t(run) WHERE {Q.uniform(_BKEY)} < 0.8 GROUP BY run),
     t AS (SELECT 'score_std' AS term, b1 AS b FROM c UNION ALL SELECT 'Intercept', b0 FROM c)

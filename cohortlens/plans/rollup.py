@@ -581,18 +581,19 @@ def text_table_round_trip(spark, sf):
 
 
 @query(
-    """SELECT user_id AS author, event_type AS subreddit, CAST(count(*) AS INTEGER) AS count FROM events WHERE user_id % 2 = 0 GROUP BY ALL
+    """SELECT user_id AS author, event_type AS subreddit, CAST(count(*) AS INTEGER) AS count FROM events GROUP BY ALL
     UNION ALL SELECT user_id AS author, 'merged', 1 FROM events GROUP BY user_id"""
 )
 def merge_saved_interactions(spark, sf):
-    """Existing interactions written, merged with new and repeated ones, and read from the new folder."""
+    """Interactions of one half of the users written, those of the other half merged in, then new and repeated ones."""
     base = _scratch(spark)
     events = roles.table(spark, sf, "events").select(F.col("user_id").alias("author"), F.col("event_type").alias("subreddit"))
-    old = events.where("author % 2 = 0").groupBy("author", "subreddit").agg(F.count(F.lit(1)).cast("int").alias("count"))
-    IO.write(old, f"{base}/interactions")
+    every = events.groupBy("author", "subreddit").agg(F.count(F.lit(1)).cast("int").alias("count"))
+    IO.write(every.where("author % 2 = 0"), f"{base}/interactions")
+    IO.merge_save(spark, f"{base}/interactions", every.where("author % 2 = 1"))
     new = events.select("author").distinct().select("author", F.lit("merged").alias("subreddit"), F.lit(1).alias("count"))
-    again = old.withColumn("count", F.lit(-1))
-    return spark.read.parquet(IO.merge_save(spark, f"{base}/interactions", new.unionByName(again)))
+    IO.merge_save(spark, f"{base}/interactions", new.unionByName(every.withColumn("count", F.lit(-1))))
+    return spark.read.parquet(IO.current(spark, f"{base}/interactions"))
 
 
 @query(f"WITH {roles.USERS_SQL} SELECT author, score_mean > 1.5 AS conditional FROM users WHERE gender_conf >= 0.6 AND age_conf >= 0.6 AND score_mean > 1")

@@ -131,14 +131,31 @@ def merged(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("author",
     return first_per_key(both, list(keys), ["_gen", *rest]).drop("_gen")
 
 
+def _generations(spark: SparkSession, path: str) -> list[str]:
+    """Complete merges of a table, oldest first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__merged")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    paths = [x.getPath() for x in fs.listStatus(folder)]
+    done = [p for p in paths if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(p.toString() for p in done)
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """Folder of the newest complete merge of a table, or the table itself."""
+    return ([path] + _generations(spark, path))[-1]
+
+
 def merge_save(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str] = ("author", "subreddit")) -> str:
-    """Write the merge of an existing table and new rows beside it; returns the written folder.
+    """Merge new rows into a table as a new generation beside it; returns the written folder.
 
-    The input of the merge is never the folder being written: a lost executor can always re-read it.
-    The caller points readers at the returned folder.
+    A generation counts when Spark has marked it complete, so readers of ``current`` never see half a merge, and the
+    input is never the folder being written: a lost executor can always re-read it.  The next call goes on from there.
     """
-    target = f"{path.rstrip('/')}__{uuid.uuid4().hex}"
-    write(merged(spark.read.parquet(path), new, keys), target, mode="errorifexists")
+    number = len(_generations(spark, path)) + 1
+    target = f"{path.rstrip('/')}__merged/{number:08d}-{uuid.uuid4().hex}"
+    write(merged(spark.read.parquet(current(spark, path)), new, keys), target, mode="errorifexists")
     return target
 
 

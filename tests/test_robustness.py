@@ -128,3 +128,29 @@ def test_topics_find_planted_clusters(spark):
     out = K.topics(spark.createDataFrame(rows, "id int, v array<double>"), "v", k=3, components=3)
     sets = out.groupBy("topic").agg(F.count("id").alias("n"), F.count_distinct(F.col("id") % 3).alias("kinds")).collect()
     assert [r.n for r in sets] == [100] * 3 and all(r.kinds == 1 for r in sets)
+
+
+def test_stack_predicts_unlabelled_rows_and_survives_saving(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 500)
+    rows = [(i, float(y[i]), float(y[i] * 3 + rng.normal()), float(y[i] + rng.normal())) for i in range(500)]
+    df = spark.createDataFrame(rows, "author int, label double, a double, b double")
+    signals = {"one": ["a"], "two": ["b"]}
+    stack = K.fit_stack(df.where("author < 300"), signals, "author", "label", k=2, iterations=4)
+    out = stack.predict(df.where("author >= 300").select("author", "a", "b"), ["no", "yes"], 0.6)
+    truth = df.select("author", F.when(F.col("label") == 1, "yes").otherwise("no").alias("truth"))
+    got = out.join(truth, "author").agg(F.count("author").alias("n"), F.avg((F.col("predicted") == F.col("truth")).cast("double")).alias("right"), F.min(F.col("prob_no") + F.col("prob_yes")).alias("low")).first()
+    assert got.n == 200 and got.right > 0.9 and got.low == pytest.approx(1)
+    assert out.where("confidence < 0.6 and predicted is not null").count() == 0
+    stack.save(str(tmp_path / "stack"))
+    again = K.Stack.load(str(tmp_path / "stack"), signals).predict(df.select("author", "a", "b"), ["no", "yes"])
+    assert again.join(out, "author").where(F.abs(again.prob_yes - out.prob_yes) > 1e-12).count() == 0
+
+
+def test_merges_build_on_each_other(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "author int, subreddit string, count int")
+    path = str(tmp_path / "table")
+    IO.write(make([(1, "a", 5)]), path)
+    IO.merge_save(spark, path, make([(1, "a", 9), (2, "b", 1)]))
+    IO.merge_save(spark, path, make([(2, "b", 7), (3, "c", 3)]))
+    assert sorted(spark.read.parquet(IO.current(spark, path)).collect()) == [(1, "a", 5), (2, "b", 1), (3, "c", 3)]

@@ -23,7 +23,8 @@ def strip(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    return F.regexp_replace(c, FOLD, "_")
+    """Letters and digits outside ASCII as ``_``; a text with as many bytes as characters has none."""
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.regexp_replace(c, FOLD, "_"))
 
 
 def words(c: Column) -> Column:
@@ -252,17 +253,21 @@ def trigrams(toks: Column, pairs: Column | None = None) -> Column:
     return _joined(F.slice(bigrams(toks) if pairs is None else pairs, F.lit(1), n), F.slice(toks, F.lit(3), n))
 
 
-def _known(grams: Column, side: int) -> Column:
-    """The few n-grams that are in any category; later counts run over these only."""
+def _known(joined: Column, side: int) -> Column:
+    """The few n-grams that are in any category, later counts run over these only.
+
+    ``joined`` has one blank on either side of each token.  The pattern is empty but for its group, so n-grams that
+    overlap are all found; at most one of a length starts at a token.
+    """
     union = sorted({t for group in (L.HUMANISING_NGRAMS, L.TOOL_NGRAMS) for pair in group.values() for t in pair[side]})
-    return F.filter(grams, lambda g: g.isin(union))
+    return F.regexp_extract_all(joined, F.lit(f"(?<= )(?=({'|'.join(map(_quoted, union))}) )"), F.lit(1))
 
 
 def with_ngram_features(df, text: str = "body"):
     """Adds the twelve ``ngram_*`` columns; null and empty text give zeros."""
     toks = tokens(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_tok", toks).withColumn("_pairs", bigrams(F.col("_tok")))
-    df = df.withColumns({"_bi": _known(F.col("_pairs"), 0), "_tri": _known(trigrams(F.col("_tok"), F.col("_pairs")), 1)})
+    df = df.withColumn("_tok", toks).withColumn("_joined", F.concat(F.lit(" "), F.array_join("_tok", " "), F.lit(" ")))
+    df = df.withColumns({"_bi": _known(F.col("_joined"), 0), "_tri": _known(F.col("_joined"), 1)})
 
     def count(pair) -> Column:
         bi, tri = pair
@@ -291,7 +296,7 @@ def with_ngram_features(df, text: str = "body"):
                 ),
             }
         )
-        .drop("_tok", "_pairs", "_bi", "_tri")
+        .drop("_tok", "_joined", "_bi", "_tri")
     )
 
 
@@ -302,7 +307,13 @@ def with_attribution(df, text: str = "body"):
     """Who is said to feel: counts of hits, type, score and all matches."""
     body = strip(fold(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn("_b", body)
-    found = F.concat(*[F.regexp_extract_all("_b", F.lit("(?i)" + p), F.lit(0)) for p in L.BOT_EMOTION_PATTERNS])
+    # texts without a companion's name before white space skip the patterns that begin with one
+    start = rf"\b{L.COMPANION}\s+"
+    named = F.col("_b").rlike("(?i)" + start)
+    all_of = lambda p: F.regexp_extract_all("_b", F.lit("(?i)" + p), F.lit(0))
+    none = F.array().cast("array<string>")
+    df = df.withColumn("_named", named)
+    found = F.concat(*[F.when(F.col("_named"), all_of(p)).otherwise(none) if p.startswith(start) else all_of(p) for p in L.BOT_EMOTION_PATTERNS])
     df = df.withColumns({"_found": found, "n_self": hits(F.col("_b"), L.SELF_EMOTION_PATTERNS)})
     df = df.withColumn("n_bot", F.size("_found"))
     bot, own = F.col("n_bot") > 0, F.col("n_self") > 0
@@ -316,7 +327,7 @@ def with_attribution(df, text: str = "body"):
         .otherwise(F.lit(0.0))
         .alias("bot_attribution_score"),
         F.col("_found").alias("matched_patterns"),
-    ).drop("_b", "_found")
+    ).drop("_b", "_found", "_named")
 
 
 def weighted_emotions(prefix: str = "emotion_", out: str = "bot_emotion_", weight: str = "bot_attribution_score") -> dict:

@@ -271,10 +271,11 @@ def levene(df: DataFrame, group: str, value: str, levels: Sequence | None = None
     z = F.abs(F.col(value) - F.col("_med"))
     n = F.col("n").cast("double")
     g = hist.join(med, group).groupBy(group).agg(
-        F.sum(n).alias("n"), F.sum(n * z).alias("s"), F.sum(n * z * z).alias("q")
+        F.sum(n).alias("n"), F.sum(n * z).alias("s"), F.sum(n * z * z).alias("q"), F.sum(n * (F.col(value) - F.col("_med"))).alias("_d")
     )
-    v = moments(rows, value, [group]).select(group, F.col("variance"))
-    s = g.join(v, group).agg(
+    # squares about the median, less what the median is off the mean
+    g = g.withColumn("variance", F.try_divide(F.col("q") - F.col("_d") * F.col("_d") / F.col("n"), F.col("n") - 1))
+    s = g.agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).cast("double").alias("k"),
         F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("_within"),

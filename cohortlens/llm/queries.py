@@ -131,7 +131,48 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-@query()
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _normalised(x: str) -> str:
+    return f"regexp_replace(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), {_text(licences.INTRODUCTION)}, 'under ')"
+
+
+def _rules_applied(x: str) -> str:
+    for k, (_, _, parts) in enumerate(licences.RULES):
+        pattern = f" {f'  (?:-  ){{0,{licences.GAP}}}'.join(parts)} "
+        x = f"regexp_replace({x}, {_text(pattern)}, ' @{k} ', 'g')"
+    return x
+
+
+_SENTENCES = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in licences.SENTENCES.items())
+_RULES = ", ".join(f"({k}, {_text(name)}, {_text(kind)})" for k, (name, kind, _) in enumerate(licences.RULES))
+_LINES = "CASE WHEN k.id IS NULL AND contains(s, chr(10)) AND NOT coalesce(copyright, false) THEN string_split(s, chr(10)) ELSE [s] END"
+LICENCE_SQL = f"""
+WITH known(sentence, id) AS (VALUES {_SENTENCES}), rule(k, licence, kind) AS (VALUES {_RULES}),
+docs AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
+cut AS (SELECT r, list_filter(string_split(regexp_replace(text, {_text(licences.SENTENCE_END)}, chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS s
+    FROM docs WHERE regexp_matches(lower(text), {_text(licences.SIGNS)})),
+seg AS (SELECT r, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM cut),
+norm AS (SELECT *, {_normalised('s')} AS n, regexp_matches({_normalised('s')}, {_text(licences.COPYRIGHT)}) AS copyright FROM seg),
+lists AS (SELECT r, i, {_LINES} AS lines FROM norm LEFT JOIN known k ON k.sentence = n),
+lines AS (SELECT r, i, unnest(lines) AS l, generate_subscripts(lines, 1) AS j FROM lists),
+ids AS (SELECT r, i, j, coalesce(k.id, CASE WHEN regexp_matches({_normalised('l')}, {_text(licences.COPYRIGHT)}) THEN 'COPYRIGHT' END, '-') AS id
+    FROM lines LEFT JOIN known k ON k.sentence = {_normalised('l')}),
+seqs AS (SELECT r, list(id ORDER BY i, j) AS ids FROM ids GROUP BY r),
+taken AS (SELECT r, ids, regexp_extract_all({_rules_applied("' ' || array_to_string(ids, '  ') || ' '")}, '@([0-9]+)', 1) AS rules FROM seqs),
+named AS (SELECT r, licence, kind, min(pos) AS pos FROM (SELECT r, unnest(rules) AS k, generate_subscripts(rules, 1) AS pos FROM taken) t
+    JOIN rule ON rule.k = CAST(t.k AS INTEGER) GROUP BY r, licence, kind),
+verdict AS (SELECT r, string_agg(licence, ',' ORDER BY pos) AS licences, min(CASE kind WHEN 'restricted' THEN 1 WHEN 'copyleft' THEN 2 ELSE 3 END) AS strict FROM named GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(list_filter(ids, lambda x: x <> '-')), 0) AS BIGINT) AS n_known, coalesce(licences, '') AS licences,
+    CASE WHEN strict = 1 THEN 'restricted' WHEN strict = 2 THEN 'copyleft' WHEN strict = 3 THEN 'permissive'
+        WHEN len(list_filter(ids, lambda x: x NOT IN ('-', 'COPYRIGHT'))) > 0 THEN 'unclear' ELSE 'none' END AS category
+FROM docs LEFT JOIN taken USING (r) LEFT JOIN verdict USING (r)
+"""
+
+
+@query(LICENCE_SQL)
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 

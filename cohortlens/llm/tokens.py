@@ -135,8 +135,9 @@ class WordEncoder:
         coded: list[bytes] = [b""]
         first, second = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
         at = np.flatnonzero(simple)
-        _, one, where = np.unique(W.span_hashes(block.lower(), starts[at], split[at]), return_index=True, return_inverse=True)
-        raw = block.lower().tobytes()
+        low = block.lower()
+        one, where = W.distinct(W.span_hashes(low, starts[at], split[at]))
+        raw = low.tobytes()
         runs = self.letter_runs([raw[s:e] for s, e in zip(starts[at][one].tolist(), split[at][one].tolist(), strict=True)])
         unfit = np.array([x is None for x in runs], bool)[where] if len(at) else np.zeros(0, bool)
         first[at] = where + len(coded)
@@ -145,7 +146,7 @@ class WordEncoder:
         simple[at[unfit]] = False
         raw = data.tobytes()
         for which, target, lo, hi in ((np.flatnonzero(~simple), first, starts, ends), (np.flatnonzero(split < ends), second, split, ends)):
-            _, one, where = np.unique(W.span_hashes(data, lo[which], hi[which], 1), return_index=True, return_inverse=True)
+            one, where = W.distinct(W.span_hashes(data, lo[which], hi[which], 1))
             target[which] = where + len(coded)
             coded += self.whole([raw[s:e] for s, e in zip(lo[which][one].tolist(), hi[which][one].tolist(), strict=True)])
         bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)])

@@ -125,9 +125,6 @@ def test_mix_meets_targets(frame, prose, rng, odd):
     rows += [(2000 + i, prose(20), None, "tiny") for i in range(3)] + [(*r, None, "odd") for r in odd[:8]]
     out = mixing.mixed_sizes(frame(rows)).collect()
     assert len(out) == len(rows) and all(r.taken <= 3 * r.size for r in out)
-    by = {}
-    for (_, _, _, source), d in [(x, x[0]) for x in rows]:
-        by.setdefault(source, 0)
     size = {r.doc_id: (r.source_size, r.target) for r in out}
     total = sum(r.size for r in out)
     targets = dict(set(size.values()))

@@ -14,13 +14,17 @@ agree.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.llm.shared import written
 
 SPAN, FANOUT, FILE_RECORDS = 1 << 16, 16, 1000
-_ROWS = (1 << 33) - 1  # row part of monotonically_increasing_id
-_FILES = 1 << 23  # files of one partition: rows / FILE_RECORDS
 
 
 def warc_record(page_id: Column, url: Column, html: Column) -> Column:
@@ -34,16 +38,31 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def store(pages: DataFrame) -> DataFrame:
-    """Write pages as records of files with at most ``FILE_RECORDS`` records: file, offset, record_id, record."""
-    number = F.monotonically_increasing_id()
-    rows = pages.select(F.col("page_id").alias("record_id"), warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"), number.alias("_n"))
-    rows = written(rows, "records")
-    row = F.col("_n").bitwiseAND(F.lit(_ROWS))
-    file = F.shiftright("_n", 33) * _FILES + F.floor(row / FILE_RECORDS)
-    sizes = rows.select("_n", F.octet_length("record").cast("long").alias("_size"), file.cast("long").alias("file"))
-    before = Window.partitionBy("file").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_n", "file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("offset"))
-    return written(rows.join(offsets, "_n").select("file", "offset", "record_id", "record"), "store")
+    """Write pages as records of files with at most ``FILE_RECORDS`` records: file, offset, record_id, record.
+
+    A task numbers its own files, so records are written once and never shuffled; file numbers are dense if tasks are
+    alike.
+    """
+    rows = pages.select(F.col("page_id").alias("record_id"), warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    tasks = rows.rdd.getNumPartitions()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen, carry = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = seen + np.arange(batch.num_rows)
+            sizes = np.asarray(pa.compute.binary_length(batch.column(1)), np.int64)
+            before = np.cumsum(sizes) - sizes
+            # bytes of this batch before the file of each record began
+            begun = np.maximum.accumulate(np.where(number % FILE_RECORDS == 0, before, -carry))
+            offset = before - begun
+            seen, carry = seen + batch.num_rows, int(offset[-1] + sizes[-1])
+            file = pa.array(number // FILE_RECORDS * tasks + own)
+            yield pa.RecordBatch.from_arrays([file, pa.array(offset), *batch.columns], names=["file", "offset", "record_id", "record"])
+
+    kind = rows.schema["record_id"].dataType.simpleString()
+    return written(rows.mapInArrow(run, f"file long, offset long, record_id {kind}, record string"), "store")
 
 
 def leaves(records: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ an introduction such as "this work is licensed under the terms of the" becomes "
 licence sentences.  A text is then a sequence of identifiers; the ordered rules turn sub-sequences into licences, each
 identifier counts for the first rule that takes it.  At most two unknown sentences may lie between the parts of a rule.
 
-A text without any of the ``SIGNS`` holds no known sentence (every known sentence has one) and skips the work.
+A text whose normalised form has none of the ``SIGNS`` holds no known sentence (every known sentence has one in this form)
+and skips the work.
 
 Defined results: null and empty texts have no sentence and no licence; rows are judged one by one, so repeated rows give
 repeated results; all other columns stay out of the result, whatever their names.
@@ -128,16 +129,19 @@ CUT = "\x01"
 GAP = 2
 
 
+def plain(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+
+
 def normalised(sentence: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-    return F.regexp_replace(plain, INTRODUCTION, "under ")
+    return F.regexp_replace(plain(sentence), INTRODUCTION, "under ")
 
 
 def identifier(sentence: Column) -> Column:
     """Identifier of one sentence or null."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = normalised(sentence)
-    return F.coalesce(F.try_element_at(known, plain), F.when(plain.rlike(COPYRIGHT), F.lit("COPYRIGHT")))
+    form = normalised(sentence)
+    return F.coalesce(F.try_element_at(known, form), F.when(form.rlike(COPYRIGHT), F.lit("COPYRIGHT")))
 
 
 def identifiers(text: Column) -> Column:
@@ -165,7 +169,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     are known licence sentences which no rule takes (a copyright line alone is none).
     """
     body = F.col(text)
-    signed = F.lower(body).rlike(SIGNS)
+    signed = plain(body).rlike(SIGNS)
     rows = docs.select(F.col(key).alias("doc_id"), F.when(signed, identifiers(body)).alias("_ids"))
     rows = rows.select("doc_id", F.coalesce("_ids", F.array().cast("array<string>")).alias("_ids"))
     rows = rows.withColumn("_found", F.when(F.exists("_ids", lambda x: x != "-"), recognised(F.col("_ids"))).otherwise(""))

@@ -138,3 +138,17 @@ def test_mix_meets_targets(frame, prose, rng, odd):
     mixed = mixing.mixed_documents(frame(rows))
     assert mixed.columns == frame(rows).columns and mixed.where("source = 'tiny'").count() == 9
     assert mixing.mixed_sizes(frame([])).count() == 0
+
+
+def test_signs_over_line_ends_and_hyphens(frame, prose):
+    """Wrapped, widely spaced or hyphenated sentences are found like those on one line."""
+    texts = {
+        "Released under the\nGPLv3.": "GPL-3.0", "Provided under\nCC BY 4.0.": "CC-BY-4.0", "This work is in the public\ndomain.": "Public-Domain",
+        "This work is in the public-domain.": "Public-Domain", "All rights\nreserved.": "Proprietary", "All  rights   reserved.": "Proprietary",
+        "No part of this\npublication may be reproduced, distributed or transmitted in any form without permission.": "Proprietary",
+        "Provided under the terms of" + " " * 60 + "\n the CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    }
+    rows = [(i, f"{prose(12)}. {t} {prose(5)}.") for i, t in enumerate(texts)]
+    out = {r.doc_id: (r.n_known, r.licences) for r in licences.scan(frame(rows)).collect()}
+    assert out == {i: (1, name) for i, name in enumerate(texts.values())}
+    assert all(re.search(licences.SIGNS, s.replace("under ", "provided under ") if s.startswith("under") else s) for s in licences.SENTENCES)

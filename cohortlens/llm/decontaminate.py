@@ -3,11 +3,12 @@
 Items and texts are sequences of lower-case words without punctuation.  A text is looked at through windows as long as an
 item.  The embedding (CGK) walks over a window three times as many steps as it has words: a step copies the word under the
 pointer, and a random bit of (step, word) moves the pointer on; two sequences at small edit distance give outputs that
-agree in most places.  Repeated bit sampling then looks up windows: each of ``EMBEDDINGS`` x ``TABLES`` tables holds the
+agree in most places.  Repeated bit sampling then looks up windows: each of the ``tables`` holds the
 items by ``SAMPLES`` random places of their output.  What collides is verified by exact word edit distance.
 
 A window is embedded only if it can hold an item: within e = ``share`` x n edits an occurrence keeps n - 2 - 3 e of the
-item's word triples, so a window with fewer triples of items of its size is out (no occurrence is lost by this).
+item's word triples, so a window with fewer triples of items of its size is out (no occurrence is lost by this).  Windows
+start up to 3 e words before a known triple, as far as edits at the head of a passage can move the first one.
 
 The benchmark is cut into slices of at most ``slice_words`` words, the documents are read once per slice; one slice is what
 a task holds.
@@ -50,18 +51,24 @@ def embed(sequences: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
+def tables(n: int) -> int:
+    """Tables of items of n words: longer ones need more at the same share of edits."""
+    return EMBEDDINGS * TABLES * (1 + n // 100)
+
+
 def sampled_keys(sequences: np.ndarray) -> np.ndarray:
-    """(rows, EMBEDDINGS x TABLES) keys: table number and the words at its sampled places."""
+    """(rows, ``tables``) keys: table number and the words at its sampled places."""
     rows, n = sequences.shape
     rng = np.random.default_rng(n)
-    out = np.empty((rows, EMBEDDINGS * TABLES), np.uint64)
+    own = tables(n) // EMBEDDINGS
+    out = np.empty((rows, tables(n)), np.uint64)
     for e in range(EMBEDDINGS):
         output = embed(sequences, e)
-        for t in range(TABLES):
-            key = np.full(rows, W.mix(np.array([n * 4096 + e * TABLES + t], np.uint64))[0])
+        for t in range(own):
+            key = np.full(rows, W.mix(np.array([n * 2**32 + e * own + t], np.uint64))[0])
             for place in rng.integers(0, REACH * n, SAMPLES):
                 key = W.mix(key ^ output[:, place])
-            out[:, e * TABLES + t] = key
+            out[:, e * own + t] = key
     return out
 
 
@@ -102,7 +109,7 @@ class Benchmark:
         keys, owners = [], []
         for which in self.by_size.values():
             keys.append(sampled_keys(np.stack([self.sequence[i] for i in which])).ravel())
-            owners.append(np.repeat(which, EMBEDDINGS * TABLES))
+            owners.append(np.repeat(which, tables(len(self.sequence[which[0]]))))
         keys, owners = (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         order = np.argsort(keys, kind="stable")
         self.keys, self.owners = keys[order], owners[order]
@@ -115,12 +122,10 @@ class Benchmark:
         reach = np.minimum(hits + n + self.edits(n) - 2, end[hits] - 2)
         enough = np.searchsorted(hits, reach) - np.arange(len(hits)) >= max(1, n - 2 - 3 * self.edits(n))
         starts = hits[enough]
-        if not len(starts):
-            return starts
-        # an edit at the start of the passage moves the first known triple on
-        moved = (starts[:, None] - np.arange(6)[None, :]).ravel()
-        moved = np.maximum(moved, np.repeat(begin[starts], 6))
-        return np.unique(moved)
+        # each edit at the head takes up to three triples, so the passage starts at most 3 e words before the first known one
+        low = np.maximum(starts - 3 * self.edits(n), begin[starts])
+        size = len(begin) + 1
+        return np.flatnonzero(np.cumsum(np.bincount(low, minlength=size) - np.bincount(starts + 1, minlength=size)) > 0)
 
     def matches(self, block: W.Words) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, distance): the closest occurrence of each item in each text."""
@@ -156,7 +161,7 @@ class Benchmark:
         count = (high - low)[some]
         if not len(some):
             return
-        window = np.repeat(some // (EMBEDDINGS * TABLES), count)
+        window = np.repeat(some // tables(n), count)
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         item = self.owners[np.repeat(low[some], count) + offset]
         pairs = np.unique(window * len(self.item) + item)

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import numpy as np
-from cohortlens.llm import decontaminate as D
+import pyarrow as pa
+import pytest
+from cohortlens.llm import decontaminate as D, words as W
 
 
 def distance(a, b):
@@ -64,3 +66,19 @@ def test_embedding_keeps_close_sequences_close(prose):
     assert same(a, a) == 1 and same(a, b) > 0.7 and same(a, far) < 0.2
     hit = (D.sampled_keys(a) == D.sampled_keys(b)).any(axis=1).mean()
     assert hit == 1.0 and not (D.sampled_keys(a) == D.sampled_keys(far)).any()
+
+
+@pytest.mark.parametrize("n", [8, 20, 50, 100, 200])
+@pytest.mark.parametrize("where", ["head", "tail", "spread"])
+def test_recall_at_the_full_budget(n, where):
+    rng = np.random.default_rng(n)
+    words = lambda k: [f"w{x}" for x in rng.integers(0, 5000, k)]
+    edits, found = int(0.2 * n), 0
+    for _ in range(20):
+        item = words(n)
+        changed = list(item)
+        for at in {"head": range(edits), "tail": range(n - edits, n), "spread": sorted(rng.choice(n, edits, replace=False))}[where]:
+            changed[at] = f"z{at}"
+        item_block, block = (W.of_texts(pa.array([" ".join(t)]), plain=True) for t in (item, words(30) + changed + words(30)))
+        found += bool(D.Benchmark([1], [item_block.hashes()], 0.2).matches(block))
+    assert found >= 18

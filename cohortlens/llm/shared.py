@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cohortlens.session import ensure_checkpoint_dir
@@ -44,3 +48,21 @@ def digest(*cols: Column) -> Column:
 def with_fields(df: DataFrame, ddl: str) -> T.StructType:
     """Schema of ``df`` with the fields of ``ddl`` behind its own."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+SLICE_BYTES = 1 << 20
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], text: str = "text", inside: str | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of the batches with about a megabyte of text each (a longer text is a part of its own), and their texts; a null
+    text is empty.  ``inside`` names the struct column that holds ``text``."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(inside or text))
+        column = pc.fill_null(pc.struct_field(column, text) if inside else column, "")
+        total = np.cumsum(np.asarray(pc.binary_length(column), dtype=np.int64))
+        at = 0
+        while at < len(column):
+            before = int(total[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(total, before + SLICE_BYTES, side="right")))
+            yield batch.slice(at, end - at), column.slice(at, end - at).cast(pa.large_binary()).to_pylist()
+            at = end

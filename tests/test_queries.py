@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF
 from oracle import compare, connect
+from tables import SF
 
 LARGER = SF.replace("sf0.001", "sf0.01")
 QUERIES, SQL = entry.queries(), entry.oracle_sql()

@@ -272,7 +272,9 @@ LEFT JOIN decided ON rule IS NULL AND decided.id = {_url_key('url')}
 
 @query(URL_SQL)
 def op12_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    judged = urls.judge(pages.select("page_id", "url"), urls.rule_table(spark, URL_RULES), urls.page_links(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 SPELLING_SQL = f"""

@@ -20,6 +20,7 @@ from cohortlens.llm.shared import written
 #: Query parameters that do not tell pages apart.
 TRACKING = ("utm_[a-z]+", "fbclid", "gclid")
 RESULTS = ("host", "path", "rule", "verdict")
+PARTS = 32
 TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 
 
@@ -108,10 +109,15 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def with_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``urls`` (host, path, ...) with rule and verdict of the longest rule that fits, else null."""
+    """``urls`` (host, path, ...) with rule and verdict of the longest rule that fits, else null.
+
+    A host may have a third of all URLs, so the URLs of a host are dealt over ``PARTS`` parts by their path, and its row of
+    rules, there for hosts with rules only, is there once a part.
+    """
     best = F.array_max(F.filter("_rules", lambda r: F.col("path").startswith(r["path"])))
-    out = urls.join(host_rules(urls, rules), "host", "left").withColumn("_best", best)
-    return out.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.col("_best.verdict")).drop("_rules", "_best")
+    known = host_rules(urls, rules).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    out = urls.withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int")).join(known, ["host", "_part"], "left").withColumn("_best", best)
+    return out.withColumn("rule", F.col("_best.rule")).withColumn("verdict", F.col("_best.verdict")).drop("_rules", "_best", "_part")
 
 
 def alias_decisions(edges: DataFrame, rules: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.functions import cdf
+from cohortlens.functions import cdf, exact
 from cohortlens.functions.scalar import d_label, fisher_z
 from cohortlens.operators import ranks
 
@@ -87,12 +87,30 @@ def group_test(df: DataFrame, group: str, a, b, value: str, by: Sequence[str] =
     return out.join(wide, list(by)) if by else out.join(F.broadcast(wide))  # one row each
 
 
-def rank_tests(df: DataFrame, group: str, a, b, value: str, by: Sequence[str] = ()) -> DataFrame:
+METHODS = ("limit", "exact")
+
+
+def _tie_lists(n: str, wanted: Column) -> dict[str, Column]:
+    """Doubled midranks and the number of values at each, for groups that are to be counted."""
+    tie = F.struct((2 * F.col(f"before_{n}") + F.col(n) + 1).alias("r"), F.col(n).alias("c"))
+    lists = F.collect_list(F.when(wanted, tie))
+    full = F.max(wanted)
+    return {"_r2": F.when(full, F.transform(lists, lambda t: t["r"])), "_c": F.when(full, F.transform(lists, lambda t: t["c"]))}
+
+
+def rank_tests(df: DataFrame, group: str, a, b, value: str, by: Sequence[str] = (), method: str = "limit", largest: int = 200, largest_ks: int = 10_000) -> DataFrame:
     """Mann–Whitney (ties and continuity corrected), superiority, Brunner–Munzel and Kolmogorov–Smirnov.
 
     All three come from one running total over the distinct values; no pair of rows is ever formed:
     the probability that a draw from ``a`` exceeds one from ``b`` is U / (n_a n_b).
+
+    ``method`` says where ``u_p`` and ``ks_p`` come from: ``limit``, the limiting distributions, or ``exact``, the counted
+    ones: of the rank sum given its ties, and of the lattice paths.  Counting takes lists and time that grow with the
+    group, so a group of more than ``largest`` values (``largest_ks`` in a sample) has a null exact p, never another kind of p.
+    A group in which one of the two is missing has null statistics.
     """
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}, not {method!r}")
     both = df.where(F.col(group).isin(a, b))
     hist = ranks.histogram(
         both, value, by, {"na": F.count_if(F.col(group) == a), "nb": F.count_if(F.col(group) == b), "n": F.count(F.lit(1))}
@@ -112,43 +130,51 @@ def rank_tests(df: DataFrame, group: str, a, b, value: str, by: Sequence[str] =
         F.sum(c["nb"] * db).alias("_sdb"),
         F.sum(c["nb"] * db * db).alias("_qdb"),
         F.max(
-            F.abs((c["before_na"] + c["na"]) / c["all_na"] - (c["before_nb"] + c["nb"]) / c["all_nb"])
+            F.abs(F.try_divide(c["before_na"] + c["na"], c["all_na"]) - F.try_divide(c["before_nb"] + c["nb"], c["all_nb"]))
         ).alias("ks"),
+        *([x.alias(k) for k, x in _tie_lists("n", F.col("all_n") <= largest).items()] if method == "exact" else []),
     )
     n1, n2 = F.col("n_a"), F.col("n_b")
     n = n1 + n2
     s = s.withColumn("u_a", F.col("_ra") - n1 * (n1 + 1) / 2).withColumn("u_b", n1 * n2 - F.col("u_a"))
-    sd_u = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_tie") / (n * (n - 1))))
+    sd_u = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_tie"), n * (n - 1))))
     z = F.try_divide(F.greatest("u_a", "u_b") - n1 * n2 / 2 - 0.5, sd_u)
-    mean_a = F.col("_ra") / n1
-    mean_b = (n * (n + 1) / 2 - F.col("_ra")) / n2
-    va = (F.col("_qda") - F.col("_sda") * F.col("_sda") / n1) / (n1 - 1)
-    vb = (F.col("_qdb") - F.col("_sdb") * F.col("_sdb") / n2) / (n2 - 1)
+    mean_a = F.try_divide(F.col("_ra"), n1)
+    mean_b = F.try_divide(n * (n + 1) / 2 - F.col("_ra"), n2)
+    va = F.try_divide(F.col("_qda") - F.try_divide(F.col("_sda") * F.col("_sda"), n1), n1 - 1)
+    vb = F.try_divide(F.col("_qdb") - F.try_divide(F.col("_sdb") * F.col("_sdb"), n2), n2 - 1)
     s = s.withColumns({"_va": va, "_vb": vb, "_ma": mean_a, "_mb": mean_b})
     w = n1 * F.col("_va") + n2 * F.col("_vb")
     s = s.withColumns(
         {
-            "u_z": F.greatest(z, F.lit(0.0)),
-            "cles": F.col("u_a") / (n1 * n2),
+            "u_z": F.when((n1 > 0) & (n2 > 0), F.greatest(z, F.lit(0.0))),
+            "cles": F.try_divide(F.col("u_a"), n1 * n2),
             "bm": F.try_divide(n1 * n2 * (F.col("_mb") - F.col("_ma")), n * F.sqrt(w)),
             "bm_df": F.try_divide(
                 w * w,
-                (n1 * F.col("_va")) * (n1 * F.col("_va")) / (n1 - 1) + (n2 * F.col("_vb")) * (n2 * F.col("_vb")) / (n2 - 1),
+                F.try_divide((n1 * F.col("_va")) * (n1 * F.col("_va")), n1 - 1) + F.try_divide((n2 * F.col("_vb")) * (n2 * F.col("_vb")), n2 - 1),
             ),
         }
     )
-    s = s.withColumns(
-        {
-            "u_p": cdf.p_norm("u_z"),
-            "bm_p": cdf.p_t("bm", "bm_df"),
-            "ks_p": cdf.p_kolmogorov(F.col("ks") * F.sqrt(n1 * n2 / n)),
+    if method == "exact":
+        counted = (n1 <= largest_ks) & (n2 <= largest_ks)
+        p = {
+            "u_p": exact.p_rank_sum(n1, F.col("_r2"), F.col("_c"), 2 * F.col("_ra")),
+            "ks_p": exact.p_kolmogorov(n1, n2, F.when(counted, F.col("ks"))),
         }
-    )
+    else:
+        p = {"u_p": cdf.p_norm("u_z"), "ks_p": cdf.p_kolmogorov(F.col("ks") * F.sqrt(n1 * n2 / n))}
+    s = s.withColumns({**p, "bm_p": cdf.p_t("bm", "bm_df")})
     return s.select(*by, "n_a", "n_b", "u_a", "u_b", "u_z", "u_p", "cles", "bm", "bm_df", "bm_p", "ks", "ks_p")
 
 
-def signed_rank(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Wilcoxon signed-rank on nonzero differences y − x, and the paired effect size."""
+def signed_rank(df: DataFrame, x: str, y: str, by: Sequence[str] = (), method: str = "limit", largest: int = 500) -> DataFrame:
+    """Wilcoxon signed-rank on nonzero differences y − x, and the paired effect size.
+
+    ``method`` as in ``rank_tests``; an exact p is null above ``largest`` differences.
+    """
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}, not {method!r}")
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_d", (F.col(y) - F.col(x)).cast("double"))
     paired = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"),
@@ -165,11 +191,14 @@ def signed_rank(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
         F.sum(F.col("up") * mid).alias("w_plus"),
         F.sum((F.col("n") - F.col("up")) * mid).alias("w_minus"),
         F.sum(n * n * n - n).alias("_tie"),
+        *([x.alias(k) for k, x in _tie_lists("n", F.col("all_n") <= largest).items()] if method == "exact" else []),
     )
     m = F.col("n_nonzero")
     w = F.least("w_plus", "w_minus")
     se = F.sqrt((m * (m + 1) * (2 * m + 1) - F.col("_tie") / 2) / 24)
-    s = s.withColumns({"w": w, "z": F.try_divide(w - m * (m + 1) / 4, se)}).withColumn("p", cdf.p_norm("z")).drop("_tie")
+    s = s.withColumns({"w": w, "z": F.try_divide(w - m * (m + 1) / 4, se)})
+    p = exact.p_signed_rank(F.col("_r2"), F.col("_c"), 2 * F.col("w_plus")) if method == "exact" else cdf.p_norm("z")
+    s = s.withColumn("p", p).drop("_tie", "_r2", "_c")
     return paired.join(s, list(by), "left") if by else paired.join(F.broadcast(s), how="left")  # one row each
 
 

@@ -121,6 +121,60 @@ def signed_rank_test(spark, sf):
     return rounded(G.signed_rank(_pairs(spark, sf), "x", "y"), w_plus=1, w_minus=1, w=1, p=5)
 
 
+_PEER_SQL = """peer AS (SELECT c_nationkey AS nation, c_mktsegment = 'BUILDING' AS is_a, round(c_acctbal / 100) AS v,
+    CAST(c_custkey % 21 - floor(c_acctbal / 500) AS DOUBLE) AS d FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))"""
+
+
+def _peers(spark, sf):
+    """Customers of two segments by nation: groups small enough to count their rank statistics."""
+    c = roles.table(spark, sf, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return c.select(
+        F.col("c_nationkey").alias("nation"), "c_mktsegment", F.round(F.col("c_acctbal") / 100).alias("v"),
+        F.floor(F.col("c_acctbal") / 500).cast("double").alias("x"), (F.col("c_custkey") % 21).cast("double").alias("y"),
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {_PEER_SQL},
+    item AS (SELECT nation, is_a, CAST(2 * rank() OVER g + count(*) OVER (PARTITION BY nation, v) - 1 AS BIGINT) AS r2,
+        row_number() OVER (PARTITION BY nation ORDER BY v) AS i FROM peer WINDOW g AS (PARTITION BY nation ORDER BY v)),
+    size AS (SELECT nation, count(*) AS n, count(*) FILTER (WHERE is_a) AS n_a, count(*) FILTER (WHERE NOT is_a) AS n_b, sum(r2) FILTER (WHERE is_a) AS w2 FROM item GROUP BY nation),
+    ways(nation, i, k, s, w) AS (SELECT nation, 0::BIGINT, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE FROM size UNION ALL
+        SELECT w.nation, w.i + 1, w.k + t.take, CAST(w.s + t.take * any_value(item.r2) AS BIGINT), sum(w.w) / 2 FROM ways w JOIN size z USING (nation)
+        JOIN item ON item.nation = w.nation AND item.i = w.i + 1, (SELECT unnest([0, 1]) AS take) t WHERE w.k + t.take <= z.n_a GROUP BY w.nation, w.i, w.k, w.s, t.take),
+    last AS (SELECT nation, s, sum(w) AS w FROM ways JOIN size USING (nation) WHERE i = n AND k = n_a GROUP BY nation, s),
+    mw AS (SELECT nation, least(1, 2 * least(sum(w) FILTER (WHERE s <= w2), sum(w) FILTER (WHERE s >= w2)) / sum(w)) AS u_p FROM last JOIN size USING (nation) GROUP BY nation),
+    d AS (SELECT nation, CAST(round(max(abs(fa * n_b - fb * n_a))) AS BIGINT) AS d FROM (SELECT nation, v,
+        sum(sum(CAST(is_a AS INTEGER))) OVER w AS fa, sum(sum(CAST(NOT is_a AS INTEGER))) OVER w AS fb FROM peer GROUP BY nation, v WINDOW w AS (PARTITION BY nation ORDER BY v)) JOIN size USING (nation) GROUP BY nation),
+    touched(nation, s, i, b) AS (SELECT nation, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE FROM size UNION ALL
+        SELECT nation, s, i, CASE WHEN any_value(abs(i * n_b - (s - i) * n_a) >= d) THEN 1.0 ELSE sum(b) END FROM (
+            SELECT t.nation, t.s + 1 AS s, t.i + e.up AS i, t.b * CASE e.up WHEN 1 THEN t.i + 1 ELSE t.s + 1 - t.i END / (t.s + 1) AS b, n_a, n_b, d
+            FROM touched t JOIN size USING (nation) JOIN d USING (nation), (SELECT unnest([0, 1]) AS up) e WHERE t.i + e.up <= n_a AND t.s + 1 - t.i - e.up <= n_b) GROUP BY nation, s, i)
+    SELECT z.nation, CAST(n_a AS DOUBLE) AS n_a, CAST(n_b AS DOUBLE) AS n_b, {rnd('w2 / 2.0::DOUBLE - n_a * (n_a + 1) / 2.0::DOUBLE', 1)} AS u_a, {rnd('u_p')} AS u_p, {rnd('d / CAST(n_a * n_b AS DOUBLE)')} AS ks, {rnd('least(1, b)')} AS ks_p
+    FROM size z JOIN mw USING (nation) JOIN d USING (nation) JOIN touched t ON t.nation = z.nation AND t.s = n AND t.i = n_a WHERE n <= 200"""
+)
+def exact_rank_tests(spark, sf):
+    """Counted p-values, with ties, for every nation of at most 200 customers in the two segments."""
+    out = G.rank_tests(_peers(spark, sf), "c_mktsegment", "BUILDING", "MACHINERY", "v", ["nation"], method="exact").where("n_a > 0 AND n_b > 0 AND n_a + n_b <= 200")
+    return rounded(out.select("nation", "n_a", "n_b", "u_a", "u_p", "ks", "ks_p"), u_a=1)
+
+
+@query(
+    f"""WITH RECURSIVE {_PEER_SQL}, item AS (SELECT nation, d > 0 AS up, CAST(2 * rank() OVER g + count(*) OVER (PARTITION BY nation, abs(d)) - 1 AS BIGINT) AS r2,
+        row_number() OVER (PARTITION BY nation ORDER BY abs(d)) AS i FROM peer WHERE d <> 0 WINDOW g AS (PARTITION BY nation ORDER BY abs(d))),
+    size AS (SELECT nation, count(*) AS n, coalesce(sum(r2) FILTER (WHERE up), 0) AS w2, sum(r2) AS all2 FROM item GROUP BY nation),
+    ways(nation, i, s, w) AS (SELECT nation, 0::BIGINT, 0::BIGINT, 1.0::DOUBLE FROM size UNION ALL
+        SELECT w.nation, w.i + 1, CAST(w.s + t.take * item.r2 AS BIGINT) AS s, sum(w.w) / 2 FROM ways w JOIN item ON item.nation = w.nation AND item.i = w.i + 1,
+        (SELECT unnest([0, 1]) AS take) t GROUP BY w.nation, w.i, w.s + t.take * item.r2)
+    SELECT nation, CAST(n AS DOUBLE) AS n_nonzero, {rnd('w2 / 2.0::DOUBLE', 1)} AS w_plus, {rnd('(all2 - w2) / 2.0::DOUBLE', 1)} AS w_minus,
+        {rnd('least(1, 2 * least(sum(w) FILTER (WHERE s <= w2), sum(w) FILTER (WHERE s >= w2)))')} AS p
+    FROM ways JOIN size USING (nation) WHERE i = n AND n <= 500 GROUP BY ALL"""
+)
+def exact_signed_rank(spark, sf):
+    out = G.signed_rank(_peers(spark, sf), "x", "y", ["nation"], method="exact").where("n_nonzero <= 500")
+    return rounded(out.select("nation", "n_nonzero", "w_plus", "w_minus", "p"), w_plus=1, w_minus=1)
+
+
 _LEV = """m AS (SELECT segment, median(score_mean) AS med, var_samp(score_mean) AS var FROM users GROUP BY segment),
     z AS (SELECT u.segment, abs(score_mean - med) AS z FROM users u JOIN m USING (segment)),
     g AS (SELECT segment, count(*) AS n, avg(z) AS m, var_samp(z) AS v FROM z GROUP BY segment),

@@ -131,3 +131,41 @@ def dummies(c: str, levels: Sequence[str], reference: str, prefix: str) -> dict[
 
 def interactions(left: Sequence[str], right: Sequence[str]) -> dict[str, Column]:
     return {f"{a}_x_{b}": F.col(a) * F.col(b) for a in left for b in right}
+
+
+#: Coefficients of Wichura's rational approximation of the normal quantile (AS 241), lowest power first, for
+#: the middle, the tails and the far tails.
+NORMAL_QUANTILE = (
+    (
+        (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125, 45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+        (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077, 21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610),
+    ),
+    (
+        (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4),
+        (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550, 0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+    ),
+    (
+        (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230, 0.0265321895265761230930, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+        (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+    ),
+)
+
+
+def _polynomial(r: Column, coefficients) -> Column:
+    out = F.lit(coefficients[-1])
+    for c in coefficients[-2::-1]:
+        out = out * r + F.lit(c)
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile of a share inside (0, 1), to about 16 digits; infinite at the ends, null outside."""
+    middle, tail, far = NORMAL_QUANTILE
+    q = p - 0.5
+    r = F.lit(0.180625) - q * q
+    t = F.sqrt(-F.log(F.least(p, 1 - p)))
+    centre = q * _polynomial(r, middle[0]) / _polynomial(r, middle[1])
+    side = F.when(t <= 5, _polynomial(t - 1.6, tail[0]) / _polynomial(t - 1.6, tail[1])).otherwise(_polynomial(t - 5, far[0]) / _polynomial(t - 5, far[1]))
+    ends = F.when(p == 0, float("-inf")).when(p == 1, float("inf"))
+    inside = F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * side)
+    return F.when((p > 0) & (p < 1), inside).otherwise(ends)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
@@ -18,8 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.functions import cdf
-from cohortlens.operators import contingency as CT, sampling as SM
+from cohortlens.operators import contingency as CT, sampling as SM, scaling
 from cohortlens.session import ensure_checkpoint_dir
 
 
@@ -65,20 +62,10 @@ def standardised(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out.withColumns(scaled).drop(*[f"_{k}_{c}" for k in "ms" for c in cols])
 
 
-def normal_scores(df: DataFrame, column: str, out: str, landmarks: int = 1000, accuracy: int = 10000) -> DataFrame:
-    """Quantile-to-normal transform over at most ``landmarks`` quantile marks."""
-    probs = [i / (landmarks - 1) for i in range(landmarks)]
-    marks = np.asarray(df.agg(F.percentile_approx(column, probs, accuracy)).head()[0], dtype=float)
-    grid = np.asarray(probs)
-
-    @F.pandas_udf("double")
-    def transform(x: pd.Series) -> pd.Series:
-        up = np.interp(x, marks, grid)
-        down = -np.interp(-x, -marks[::-1], -grid[::-1])
-        u = np.clip((up + down) / 2, 1e-7, 1 - 1e-7)
-        return pd.Series([cdf.norm_ppf(float(v)) for v in u])
-
-    return df.withColumn(out, transform(F.col(column).cast("double")))
+def normal_scores(df: DataFrame, column: str, out: str, landmarks: int = 1000, fit_on: DataFrame | None = None) -> DataFrame:
+    """Quantile-to-normal transform of one column, fitted on ``fit_on`` (``df`` itself without it)."""
+    marks = scaling.quantile_marks(df if fit_on is None else fit_on, [column], landmarks)
+    return scaling.to_normal(df.withColumn(out, F.col(column)), marks.withColumn("column", F.lit(out)), [out], landmarks=landmarks)
 
 
 # ---- prediction -----------------------------------------------------------------------------
@@ -165,6 +152,12 @@ class Stack:
         out = self.meta.transform(assembled(out, feats)).drop("features", "rawPrediction", "prediction", *feats)
         return with_confidence(out, labels, threshold).drop("probability").select(*names, *[f"prob_{x}" for x in labels], "confidence", "predicted")
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``prediction``, the number of the most probable class, as models of MLlib give it."""
+        labels = [str(i) for i in range(self.n_classes)]
+        kept = [c for c in df.columns if c not in ("confidence", "predicted", "prediction", *[f"prob_{x}" for x in labels])]
+        return self.predict(df.select(*kept), labels).withColumn("prediction", F.col("predicted").cast("double")).select(*kept, "prediction")
+
     def save(self, path: str) -> None:
         """All models under ``path``, in MLlib's format."""
         for name, model in self.models.items():
@@ -241,30 +234,18 @@ def grid_search(df: DataFrame, cols: Sequence[str], key: str, label: str, grid:
     return df.sparkSession.createDataFrame([(g, m, g == best[0]) for g, m in out], f"reg_param double, {metric} double, chosen boolean")
 
 
+def boosted(df: DataFrame, cols: Sequence[str], label: str, n_classes: int = 2, iterations: int = 20, depth: int = 4, seed: int = 42):
+    """Trees fitted on the columns of ``df``, boosted for two classes."""
+    return _tree(n_classes, seed, iterations, depth, label, "features", None).fit(training_set(assembled(df, cols).select(label, "features")))
+
+
 def tree_importances(df: DataFrame, cols: Sequence[str], label: str, iterations: int = 20, depth: int = 4, seed: int = 42) -> DataFrame:
-    model = _tree(2, seed, iterations, depth, label, "features", None).fit(assembled(df, cols).select(label, "features"))
+    model = boosted(df, cols, label, 2, iterations, depth, seed)
     return df.sparkSession.createDataFrame(
         [(c, float(model.featureImportances[i])) for i, c in enumerate(cols)], "feature string, importance double"
     )
 
 
-def permutation_importance(df: DataFrame, cols: Sequence[str], key: str, label: str, repeats: int = 5, seed: int = 42) -> DataFrame:
-    """Loss of macro F1 when one column is shuffled over all rows."""
-    rows = training_set(df.select(key, label, *cols))
-    model = LogisticRegression(labelCol=label, featuresCol="features").fit(assembled(rows, cols).select(label, "features"))
-
-    def f1(d: DataFrame, feature: str, rep: int) -> DataFrame:
-        pred = model.transform(assembled(d, cols)).select(label, "prediction")
-        return CT.overall_metrics(pred, label, "prediction").select(F.lit(feature).alias("feature"), F.lit(rep).alias("rep"), "macro_f1")
-
-    base = f1(rows, "", -1).select(F.col("macro_f1").alias("_base"))
-    runs = [f1(SM.shuffled_column(rows, key, c, seed + 100 * r), c, r) for c in cols for r in range(repeats)]
-    table = reduce(DataFrame.unionByName, runs).join(F.broadcast(base))  # one row
-    return table.groupBy("feature").agg(
-        F.avg(F.col("_base") - F.col("macro_f1")).alias("importance"), F.stddev_pop(F.col("_base") - F.col("macro_f1")).alias("sd")
-    )
-
-
 def topics(df: DataFrame, vector: str, k: int = 10, components: int = 5, min_size: int = 10, seed: int = 42) -> DataFrame:
     """Clusters of embeddings after reduction; members of clusters below ``min_size`` become −1."""
     data = training_set(df).withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))

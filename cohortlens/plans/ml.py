@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from cohortlens.functions import lexicons as L, text as T
 from cohortlens.functions.hashing import stable_key
-from cohortlens.operators import classify as K, clean as C, demographics as D, rollup as R, scoring as SC
+from cohortlens.functions.scalar import NORMAL_QUANTILE
+from cohortlens.operators import classify as K, clean as C, demographics as D, importances as IMP, rollup as R, scaling as SCALE, scoring as SC
 from cohortlens.plans import roles, sqltext as Q
 from cohortlens.plans.models import design
 from cohortlens.plans.registry import SQL, query, rounded
@@ -163,6 +165,10 @@ def stacked_classifier(spark, sf):
     return K.with_confidence(out, ["adult", "teen"], 0.6).select("author", "label", "predicted", "confidence", "prob_teen")
 
 
+def _hidden():
+    return F.substring(stable_key("author"), 1, 1).isin("0", "1", "2")
+
+
 _HIDDEN = "substr(md5('42:' || CAST(author AS VARCHAR)), 1, 1) IN ('0', '1', '2')"
 
 
@@ -170,7 +176,7 @@ _HIDDEN = "substr(md5('42:' || CAST(author AS VARCHAR)), 1, 1) IN ('0', '1', '2'
 def stacked_predictions(spark, sf):
     """A stack learned from the labelled users predicts all of them, those whose label is hidden too."""
     signals = {"scores": ["score_mean", "score_std", "score_count"], "emotions": roles.USER_EMOTIONS[:4]}
-    users = labelled(spark, sf).withColumn("unlabelled", F.substring(stable_key("author"), 1, 1).isin("0", "1", "2"))
+    users = labelled(spark, sf).withColumn("unlabelled", _hidden())
     stack = K.fit_stack(users.where(~F.col("unlabelled")), signals, "author", "label", k=3, iterations=10)
     out = stack.predict(users.select("author", "unlabelled", *signals["scores"], *signals["emotions"]), ["adult", "teen"], 0.6)
     best = F.when(F.col("prob_teen") > F.col("prob_adult"), "teen").otherwise("adult")
@@ -200,14 +206,70 @@ def standard_scaling(spark, sf):
     return rounded(K.standardised(roles.users(spark, sf).select("author", *_SCALED), _SCALED))
 
 
-@query()
+_MARKS = 1000
+
+
+def _phi_sql(p: str) -> str:
+    """The rational normal quantile as SQL."""
+    def poly(r, c):
+        return "(" * (len(c) - 1) + f"{c[-1]!r}::DOUBLE" + "".join(f" * ({r}) + {x!r}::DOUBLE)" for x in c[-2::-1])
+
+    middle, tail, far = NORMAL_QUANTILE
+    q, t = f"({p} - 0.5::DOUBLE)", f"sqrt(-ln(least({p}, 1 - {p})))"
+    rational = lambda r, cd: f"{poly(r, cd[0])} / {poly(r, cd[1])}"
+    return f"""CASE WHEN abs({q}) <= 0.425 THEN {q} * {rational(f'0.180625::DOUBLE - {q} * {q}', middle)}
+        ELSE sign({q}) * CASE WHEN {t} <= 5 THEN {rational(f'{t} - 1.6::DOUBLE', tail)} ELSE {rational(f'{t} - 5', far)} END END"""
+
+
+@query(
+    f"""WITH {roles.USERS_SQL}, u AS (SELECT author, {_HIDDEN} AS held_out, balance, CAST(score_count AS DOUBLE) AS score_count FROM users),
+    long AS (SELECT author, held_out, unnest(['balance', 'score_count']) AS name, unnest([balance, score_count]) AS x FROM u),
+    marks AS (SELECT name, quantile_cont(x, [{', '.join(f'{i} / {_MARKS - 1}.0::DOUBLE' for i in range(_MARKS))}]) AS m FROM long WHERE NOT held_out GROUP BY name),
+    placed AS (SELECT author, held_out, name, x, m, len(list_filter(m, lambda y: y < x)) AS under, len(list_filter(m, lambda y: y <= x)) AS upto FROM long JOIN marks USING (name)),
+    share AS (SELECT *, greatest(1e-7, least(1 - 1e-7, CASE WHEN upto = 0 THEN 0 WHEN under = {_MARKS} THEN 1 WHEN upto > under THEN (under + upto - 1) / 2.0::DOUBLE / {_MARKS - 1}
+        ELSE (under - 1 + (x - m[under]) / (m[under + 1] - m[under])) / {_MARKS - 1} END)) AS p FROM placed),
+    z AS (SELECT author, held_out, name, {_phi_sql('p')} AS z FROM share)
+    SELECT author, held_out, {rnd("max(z) FILTER (WHERE name = 'balance')")} AS balance, {rnd("max(z) FILTER (WHERE name = 'score_count')")} AS score_count FROM z GROUP BY author, held_out"""
+)
 def quantile_normal_transform(spark, sf):
-    return rounded(K.normal_scores(roles.users(spark, sf).select("author", "balance"), "balance", "z"), 4)
+    """Two columns mapped to normal scores by the marks of the training users; the held-out users take no part in the fit."""
+    users = roles.users(spark, sf).select("author", "balance", F.col("score_count").cast("double").alias("score_count"))
+    users = users.withColumn("held_out", _hidden())
+    columns = ["balance", "score_count"]
+    return rounded(SCALE.to_normal(users, SCALE.quantile_marks(users.where("NOT held_out"), columns, _MARKS), columns, landmarks=_MARKS))
 
 
-@query()
+#: A fixed linear scorer, as a transformer of MLlib.
+_RULE = "1.5 * score_mean + 0.2 * score_std - 0.05 * score_count + balance / 4000.0 - 3.0 * emotion_joy + emotion_fear > 1.0"
+
+
+def _sql_f1() -> str:
+    cases = ", ".join(f"CASE WHEN f.feature = '{c}' THEN o.{c} ELSE t.{c} END AS {c}" for c in FEATURES)
+    return f"""WITH {roles.USERS_SQL}, test AS (SELECT author, CAST(age_predicted = 'teen' AS INTEGER) AS label, {', '.join(FEATURES)},
+        row_number() OVER (ORDER BY md5('42:' || author), author) AS i FROM users WHERE {_HIDDEN}),
+    donor AS (SELECT r.rep, row_number() OVER (PARTITION BY r.rep ORDER BY md5('7961:' || r.rep || ':' || author), author) AS i, test.* EXCLUDE (i) FROM test, range(5) r(rep)),
+    long AS (SELECT f.feature, o.rep, t.label, {cases} FROM test t JOIN donor o USING (i), (SELECT unnest({FEATURES}) AS feature) f
+        UNION ALL SELECT NULL, -1, label, {', '.join(FEATURES)} FROM test),
+    scored AS (SELECT feature, rep, label, CAST({_RULE} AS INTEGER) AS prediction FROM long),
+    part AS (SELECT feature, rep, c, count(*) FILTER (WHERE label = c AND prediction = c) AS hit, count(*) FILTER (WHERE label = c) + count(*) FILTER (WHERE prediction = c) AS either
+        FROM scored, (SELECT unnest([0, 1]) AS c) GROUP BY feature, rep, c),
+    f1 AS (SELECT feature, rep, avg(2 * hit / CAST(either AS DOUBLE)) AS f1 FROM part WHERE either > 0 GROUP BY feature, rep)
+    SELECT feature, {rnd('avg(base.f1 - f1.f1)')} AS importance, {rnd('stddev_pop(base.f1 - f1.f1)')} AS sd FROM f1, (SELECT f1 FROM f1 WHERE feature IS NULL) base WHERE feature IS NOT NULL GROUP BY feature"""
+
+
+@query(_sql_f1())
 def permutation_importance(spark, sf):
-    return rounded(K.permutation_importance(labelled(spark, sf), FEATURES, "author", "label"))
+    """Importance for a fixed linear rule on held-out users, five repeats of every column."""
+    rule = SQLTransformer(statement=f"SELECT *, CAST({_RULE} AS DOUBLE) AS prediction FROM __THIS__")
+    return rounded(IMP.permutation_importance(rule, labelled(spark, sf).where(_hidden()), FEATURES, "author", "label"))
+
+
+@query()
+def trained_model_importance(spark, sf):
+    """Importance for boosted trees fitted on the training users, on the held-out ones."""
+    users = labelled(spark, sf).withColumn("held_out", _hidden())
+    model = K.boosted(users.where("NOT held_out"), FEATURES, "label")
+    return rounded(IMP.permutation_importance(model, users.where("held_out"), FEATURES, "author", "label"))
 
 
 @query()

@@ -323,7 +323,7 @@ def streamed_ingest(spark, sf):
     base = _scratch(spark)
     roles.raw(spark, sf).drop("_file", "_pos").write.mode("overwrite").json(f"{base}/in")
     ST.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "3650 days").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(*C.COMMENT_COLUMNS)
+    return ST.ingested(spark, f"{base}/out").select(*C.COMMENT_COLUMNS)
 
 
 @query(
@@ -335,7 +335,7 @@ def daily_scores(spark, sf):
 
 @query(SQL["daily_scores"])
 def streamed_daily_scores(spark, sf):
-    """The same periods from a stream of the event file: those the watermark closed and those open at its end."""
+    """The same periods from a stream of the event file, saved batch by batch."""
     base = _scratch(spark)
     schema = roles.table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -345,10 +345,5 @@ def streamed_daily_scores(spark, sf):
         F.when(v >= 150, 0).otherwise((1 + F.floor(F.least(v, F.lit(149.99)) / 30)).cast("int")).alias("score"),
     )
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    q = (
-        ST.period_scores(stream, delay="1 hour").writeStream.format("parquet").option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    every = ST.with_open_periods(spark.read.parquet(f"{base}/out"), f"{base}/checkpoint")
-    return rounded(every.withColumn("period", F.col("period").cast("timestamp_ntz")))
+    ST.upsert_periods(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return rounded(ST.periods(spark, f"{base}/out").withColumn("period", F.col("period").cast("timestamp_ntz")))

@@ -131,9 +131,9 @@ def merged(existing: DataFrame, new: DataFrame, keys: Sequence[str] = ("author",
     return first_per_key(both, list(keys), ["_gen", *rest]).drop("_gen")
 
 
-def _generations(spark: SparkSession, path: str) -> list[str]:
-    """Complete merges of a table, oldest first."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__merged")
+def complete_folders(spark: SparkSession, parent: str) -> list[str]:
+    """Folders that Spark has marked complete, by name; none if ``parent`` is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(parent)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(folder):
         return []
@@ -142,6 +142,16 @@ def _generations(spark: SparkSession, path: str) -> list[str]:
     return sorted(p.toString() for p in done)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _generations(spark: SparkSession, path: str) -> list[str]:
+    """Complete merges of a table, oldest first."""
+    return complete_folders(spark, f"{path.rstrip('/')}__merged")
+
+
 def current(spark: SparkSession, path: str) -> str:
     """Folder of the newest complete merge of a table, or the table itself."""
     return ([path] + _generations(spark, path))[-1]

@@ -60,7 +60,7 @@ def test_stream_and_batch_clean_agree_on_repeated_ids(spark, tmp_path):
         for f in (tmp_path / "parts" / str(k)).glob("*.json"):
             f.rename(tmp_path / "in" / f"{k}.json")
         ST.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), "3650 days").awaitTermination()
-    got = {(r.id, r.body) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {(r.id, r.body) for r in ST.ingested(spark, str(tmp_path / "out")).collect()}
     table = spark.createDataFrame([(i, "someone", body, 1000 + k, "s", k) for k, rows in enumerate(batches) for i, body in rows], "id string, author string, body string, created_utc long, subreddit string, _pos int")
     assert got == {(r.id, r.body) for r in C.clean(table, file=None).collect()} == {("b", long), ("c", long)}
     with pytest.raises(ValueError):

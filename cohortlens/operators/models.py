@@ -7,8 +7,6 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortlens.functions import cdf
@@ -18,63 +16,150 @@ from cohortlens.operators.clean import complete_cases
 from cohortlens.session import ensure_checkpoint_dir
 
 
-def logistic(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 100, tol: float = 1e-10) -> DataFrame:
-    """Binomial GLM: coefficients, odds ratios with limits, pseudo R², AIC."""
-    rows = complete_cases(df, [*xs, y]).select(F.col(y).cast("double").alias("label"), *[F.col(x).cast("double").alias(x) for x in xs])
-    data = VectorAssembler(inputCols=list(xs), outputCol="features").transform(rows).select("label", "features")
-    model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, tol=tol).fit(data)
-    s = model.summary
-    b = [model.intercept, *model.coefficients]
-    se = s.coefficientStandardErrors
-    se = [se[-1], *se[:-1]]
+def _exp(x: float) -> float:
+    return math.exp(x) if x < 709 else math.inf
+
+
+def logistic(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
+    """Binomial regression by Newton steps: coefficients, odds ratios with limits, pseudo R², AIC.
+
+    A step is one aggregate over the checkpointed rows: the weighted Gram matrix, the gradient and the likelihood; only the
+    coefficients travel.  Where a combination of columns separates the classes, the likelihood has no maximum: its gain
+    fades out while some coefficients go on growing by about one a step.  These are reported as infinite with ``separated``
+    set, without standard errors; the others keep the values they have settled at.
+    """
+    cols = list(xs)
+    k = len(cols) + 1
+    x = ["1.0D", *[f"CAST(`{c}` AS DOUBLE)" for c in cols]]
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = complete_cases(df, [*cols, y]).select(*cols, F.col(y).cast("double").alias(y)).checkpoint()
+    pairs = M._pairs(k)
+
+    def step(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int, float]:
+        eta = "(" + " + ".join(f"{float(b)!r}D * {c}" for b, c in zip(beta, x)) + ")"
+        e = [f"sum(p * q * {x[i]} * {x[j]})" for i, j in pairs] + [f"sum((`{y}` - p) * {c})" for c in x]
+        log_p = f"sum(`{y}` * eta - greatest(eta, 0.0D) - log1p(exp(-abs(eta))))"
+        r, ll, n, mean = (
+            rows.withColumn("eta", F.expr(eta)).withColumn("p", F.expr("1.0D / (1.0D + exp(-eta))")).withColumn("q", F.expr("1.0D / (1.0D + exp(eta))"))
+            .agg(F.expr(f"array({', '.join(e)})"), F.expr(log_p), F.expr("count(1)"), F.expr(f"avg(`{y}`)")).head()
+        )
+        return M._matrix(r[: len(pairs)], k), np.asarray(r[len(pairs):]), ll, n, mean
+
+    beta = np.zeros(k)
+    moved = np.full(k, np.inf)
+    before = -np.inf
+    for _ in range(max_iter):
+        info, slope, ll, n, mean = step(beta)
+        if np.max(np.abs(moved)) < tol:
+            break
+        if ll < before - 1e-9 * abs(before):  # too far: back by half
+            moved = moved / 2
+            beta = beta - moved
+            continue
+        if ll - before < 1e-8 * (abs(ll) + 1e-3) and np.max(np.abs(moved)) > 0.3 and np.max(np.abs(beta)) > 12:
+            break
+        moved, before = np.linalg.lstsq(info, slope, rcond=None)[0], ll
+        beta = beta + moved
+    separated = bool(np.max(np.abs(moved)) > 0.3)
+    cov = np.linalg.pinv(info)
+    null = n * (mean * math.log(mean) + (1 - mean) * math.log(1 - mean)) if 0 < mean < 1 else 0.0
+    pseudo, aic = (1 - ll / null if null else float("nan")), 2 * k - 2 * ll
     out = []
-    for term, c, e in zip(["Intercept", *xs], b, se):
-        z = c / e
-        out.append((term, float(c), float(e), float(z), min(1.0, 2 * cdf.norm_sf(abs(z))), math.exp(c),
-                    math.exp(c - 1.959963984540054 * e), math.exp(c + 1.959963984540054 * e),
-                    1 - s.deviance / s.nullDeviance, float(s.aic), int(s.numInstances)))
+    for i, term in enumerate(["Intercept", *cols]):
+        c, e = float(beta[i]), math.sqrt(max(cov[i, i], 0.0))
+        if separated and abs(moved[i]) > 0.3:
+            endless = math.copysign(math.inf, c)
+            out.append((term, endless, None, None, None, math.inf if c > 0 else 0.0, None, None, pseudo, aic, int(n), True))
+            continue
+        z = c / e if e else float("nan")
+        out.append((term, c, e, z, min(1.0, 2 * cdf.norm_sf(abs(z))), _exp(c), _exp(c - 1.959963984540054 * e), _exp(c + 1.959963984540054 * e), pseudo, aic, int(n), separated))
     schema = (
         "term string, b double, se double, z double, p double, odds_ratio double, or_low double, or_high double, "
-        "pseudo_r2 double, aic double, n long"
+        "pseudo_r2 double, aic double, n long, separated boolean"
     )
     return df.sparkSession.createDataFrame(out, schema)
 
 
+BINS, HELD = 4096, 100_000
+
+
+def _middle(rows: DataFrame, value: str, low: float, high: float, counts: list | None = None) -> float:
+    """Exact median of an expression: bins between ``low`` and ``high`` are counted, the bin of the middle is read or cut again.
+
+    ``counts`` are the (bin, n, least, most) rows of the first pass if another aggregate has made them.
+    """
+    found = {}
+    counts = counts or rows.groupBy(F.expr(_bin(value, low, high)).alias("bin")).agg(F.count(F.lit(1)), F.expr(f"min({value})"), F.expr(f"max({value})")).collect()
+    n = sum(r[1] for r in counts)
+    for rank in {(n - 1) // 2, n // 2}:
+        here, before = sorted(counts), 0
+        while rank not in found:
+            for _, c, least, most in here:
+                if rank < before + c:
+                    break
+                before += c
+            if least == most:
+                found[rank] = least
+            elif c <= HELD:
+                inside = rows.where(F.expr(f"{value} BETWEEN {least!r}D AND {most!r}D")).select(F.expr(value)).collect()
+                found[rank] = sorted(r[0] for r in inside)[rank - before]
+            else:
+                part = rows.where(F.expr(f"{value} BETWEEN {least!r}D AND {most!r}D")).groupBy(F.expr(_bin(value, least, most)).alias("bin"))
+                here = sorted(part.agg(F.count(F.lit(1)), F.expr(f"min({value})"), F.expr(f"max({value})")).collect())
+    return sum(found.values()) / len(found)
+
+
+def _bin(value: str, low: float, high: float) -> str:
+    """Number of the bin of a value; smaller and larger ones share a bin each."""
+    width = (high - low) / BINS or 1.0
+    return f"CAST(greatest(-1, least({BINS}, floor(({value} - {low!r}D) / {width!r}D))) AS INT)"
+
+
 def huber(df: DataFrame, y: str, xs: Sequence[str], t: float = 1.345, max_iter: int = 50, tol: float = 1e-8) -> DataFrame:
-    """Huber M-estimator by iteratively reweighted least squares, scale from the median absolute residual.
+    """Huber M-estimator by iteratively reweighted least squares, scale from the exact median absolute residual.
 
-    Every iteration is one aggregate over the checkpointed rows: a Gram matrix with the residual's weight in column form,
-    and the median residual that scales the next iteration.  Only the coefficients travel between iterations.
+    An iteration is one aggregate over the checkpointed rows, by bins of the absolute residual around the last median: the
+    Gram matrix with the residual's weight, and the counts that say which bin holds the median, whose few values a second
+    job reads.  Only sums of the bins and the coefficients travel between iterations.
     """
     cols = list(xs)
     k = len(cols) + 1
     x = ["1.0D", *[f"CAST(`{c}` AS DOUBLE)" for c in cols]]
     ensure_checkpoint_dir(df.sparkSession)
     rows = complete_cases(df, [*cols, y]).select(*cols, y).checkpoint()
+    pairs = M._pairs(k)
 
     def resid(beta: np.ndarray) -> str:
         return f"(CAST(`{y}` AS DOUBLE) - (" + " + ".join(f"{float(b)!r}D * {c}" for b, c in zip(beta, x)) + "))"
 
-    def step(beta: np.ndarray | None, scale: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """Gram matrix, moments with y, and the scale of the residuals at ``beta``."""
-        w = "1.0D" if beta is None else f"CASE WHEN abs({resid(beta)}) <= {t * scale!r}D THEN 1.0D ELSE {t * scale!r}D / abs({resid(beta)}) END"
-        middle = "0.0D" if beta is None else f"percentile_approx(abs({resid(beta)}), 0.5D, 100000)"
-        pairs = M._pairs(k)
+    def step(beta: np.ndarray, scale: float | None, around: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Gram matrix, moments with y (weighted by the residuals at ``beta`` if there is a scale), median absolute residual."""
+        size = f"abs({resid(beta)})"
+        w = "1.0D" if scale is None else f"CASE WHEN r <= {t * scale!r}D THEN 1.0D ELSE {t * scale!r}D / r END"
         e = [f"sum(w * {x[i]} * {x[j]})" for i, j in pairs] + [f"sum(w * {c} * CAST(`{y}` AS DOUBLE))" for c in x]
-        r, mid = rows.withColumn("w", F.expr(w)).agg(F.expr(f"array({', '.join(e)})"), F.expr(middle)).head()
-        return M._matrix(r[: len(pairs)], k), np.asarray(r[len(pairs):]), mid / 0.6744897501960817
-
-    xx, xy, _ = step(None, 1.0)
-    plain = xx
-    beta = np.linalg.solve(xx, xy)
-    _, _, scale = step(beta, 1.0)
+        weighted = rows.withColumn("r", F.expr(size)).withColumn("w", F.expr(w))
+        parts = weighted.groupBy(F.expr(_bin("r", *around)).alias("bin")).agg(F.count(F.lit(1)), F.min("r"), F.max("r"), F.expr(f"array({', '.join(e)})")).collect()
+        sums = np.sum(np.array([r[4] for r in sorted(parts, key=lambda r: r[0])]), axis=0)
+        return M._matrix(sums[: len(pairs)], k), sums[len(pairs):], _middle(rows, size, *around, [r[:4] for r in parts])
+
+    zero = np.zeros(k)
+    plain, xy, spread = step(zero, None, (0.0, 1.0))
+    beta = np.linalg.solve(plain, xy)
+    _, _, middle = step(beta, None, (0.0, 2 * spread or 1.0))
+    scale, reach = middle / 0.6744897501960817, 0.5
     for _ in range(max_iter):
-        xx, xy, now = step(beta, scale)
+        if scale == 0:  # more than half of the rows are fitted exactly
+            break
+        xx, xy, now = step(beta, scale, (middle * (1 - reach), middle * (1 + reach)))
         new = np.linalg.solve(xx, xy)
-        done = max(np.max(np.abs(new - beta)), abs(now - scale)) < tol
-        beta, scale = new, now
+        done = max(np.max(np.abs(new - beta)), abs(now - middle)) < tol
+        reach = min(0.5, max(1e-3, 4 * abs(now / middle - 1)))
+        beta, middle, scale = new, now, now / 0.6744897501960817
         if done:
             break
+    if scale == 0:
+        out = [(term, float(b), None, None, None, 0.0, int(rows.count())) for term, b in zip(["Intercept", *cols], beta)]
+        return df.sparkSession.createDataFrame(out, "term string, b double, se double, z double, p double, scale double, n long")
     # covariance: k^2 * [sum psi^2 / (n - p)] s^2 / (mean psi')^2 * (X'X)^-1
     inside = f"(abs({resid(beta)}) <= {t * scale!r}D)"
     psi2 = f"CASE WHEN {inside} THEN pow({resid(beta)} / {scale!r}D, 2) ELSE {t * t!r}D END"

@@ -206,18 +206,57 @@ def residual_normality(spark, sf):
 )
 def logistic_age(spark, sf):
     df = design(spark, sf).withColumn("high", (F.col("n_high") > 0).cast("double"))
-    return rounded(MD.logistic(df, "high", [TEEN]), 5, z=4, p=4, or_low=4, or_high=4, pseudo_r2=6, aic=3)
+    return rounded(MD.logistic(df, "high", [TEEN]).drop("separated"), 5, z=4, p=4, or_low=4, or_high=4, pseudo_r2=6, aic=3)
 
 
-@query()
+_DET = "({m}11 * ({m}22 * {m}33 - {m}23 * {m}23) - {m}12 * ({m}12 * {m}33 - {m}23 * {m}13) + {m}13 * ({m}12 * {m}23 - {m}22 * {m}13))"
+
+
+def _inverse(m: str) -> dict[str, str]:
+    """Entries of the inverse of a symmetric 3x3 matrix with columns ``m``11 to ``m``33, times its determinant."""
+    g = {"m": m}
+    return {k: v.format(**g) for k, v in {
+        "11": "({m}22 * {m}33 - {m}23 * {m}23)", "12": "({m}13 * {m}23 - {m}12 * {m}33)", "13": "({m}12 * {m}23 - {m}13 * {m}22)",
+        "22": "({m}11 * {m}33 - {m}13 * {m}13)", "23": "({m}12 * {m}13 - {m}11 * {m}23)", "33": "({m}11 * {m}22 - {m}12 * {m}12)",
+    }.items()}
+
+
+_INV, _DET3 = _inverse("h"), _DET.format(m="h")
+_SOLVED = [f"({_INV[f'{min(1, i)}{max(1, i)}']} * v1 + {_INV[f'{min(2, i)}{max(2, i)}']} * v2 + {_INV[f'{min(3, i)}{max(3, i)}']} * v3) / {_DET3}" for i in (1, 2, 3)]
+
+
+@query(
+    f"""WITH RECURSIVE {U}, {_D}, cell AS (SELECT is_teen AS x1, is_female AS x2, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE n_high > 0) AS DOUBLE) AS k FROM d GROUP BY ALL),
+    it(i, b0, b1, b2) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT i + 1, b0 + {_SOLVED[0]}, b1 + {_SOLVED[1]}, b2 + {_SOLVED[2]} FROM (
+        SELECT i, b0, b1, b2, sum(w) AS h11, sum(w * x1) AS h12, sum(w * x2) AS h13, sum(w * x1 * x1) AS h22, sum(w * x1 * x2) AS h23, sum(w * x2 * x2) AS h33, sum(k - n * p) AS v1, sum((k - n * p) * x1) AS v2, sum((k - n * p) * x2) AS v3
+        FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p, n * p * (1 - p) AS w FROM it, cell) GROUP BY i, b0, b1, b2) WHERE i < 25),
+    e AS (SELECT b0, b1, b2, sum(w) AS h11, sum(w * x1) AS h12, sum(w * x2) AS h13, sum(w * x1 * x1) AS h22, sum(w * x1 * x2) AS h23, sum(w * x2 * x2) AS h33, sum(k * ln(p) + (n - k) * ln(1 - p)) AS ll, sum(n) AS n, sum(k) AS k
+        FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p, n * p * (1 - p) AS w FROM it, cell WHERE i = 25) GROUP BY b0, b1, b2),
+    r AS ({' UNION ALL '.join(f"SELECT '{t}' AS term, b{i} AS co, sqrt({_INV[f'{i + 1}{i + 1}']} / {_DET3}) AS se, ll, n, k FROM e" for i, t in enumerate(('Intercept', TEEN, FEMALE)))})
+    SELECT term, {rnd('co', 5)} AS b, {rnd('se', 5)} AS se, {rnd('co / se', 4)} AS z, {rnd(Q.p_norm('(co / se)'), 4)} AS p, {rnd('exp(co)', 5)} AS odds_ratio, {rnd('exp(co - 1.959963984540054 * se)', 4)} AS or_low,
+      {rnd('exp(co + 1.959963984540054 * se)', 4)} AS or_high, {rnd('1 - ll / (k * ln(k / n) + (n - k) * ln(1 - k / n))')} AS pseudo_r2, {rnd('6 - 2 * ll', 3)} AS aic, CAST(n AS BIGINT) AS n, false AS separated FROM r"""
+)
 def logistic_demographics(spark, sf):
     df = design(spark, sf).withColumn("high", (F.col("n_high") > 0).cast("double"))
-    return rounded(MD.logistic(df, "high", [TEEN, FEMALE]))
+    return rounded(MD.logistic(df, "high", [TEEN, FEMALE]), 5, z=4, p=4, or_low=4, or_high=4, pseudo_r2=6, aic=3)
 
 
-@query()
+_MOMENTS = "sum(w) AS h11, sum(w * x1) AS h12, sum(w * x2) AS h13, sum(w * x1 * x1) AS h22, sum(w * x1 * x2) AS h23, sum(w * x2 * x2) AS h33, sum(w * y) AS v1, sum(w * x1 * y) AS v2, sum(w * x2 * y) AS v3"
+
+
+@query(
+    f"""WITH RECURSIVE {U}, {_D}, z AS (SELECT is_teen AS x1, is_female AS x2, score_mean AS y FROM d),
+    o AS (SELECT {', '.join(f'{s} AS b{i}' for i, s in enumerate(_SOLVED))} FROM (SELECT {_MOMENTS} FROM (SELECT *, 1.0::DOUBLE AS w FROM z))),
+    it(i, b0, b1, b2, s) AS (SELECT 0, b0, b1, b2, median(abs(y - b0 - b1 * x1 - b2 * x2)) / 0.6744897501960817::DOUBLE FROM o, z GROUP BY b0, b1, b2 UNION ALL
+        SELECT i + 1, {', '.join(_SOLVED)}, m / 0.6744897501960817::DOUBLE FROM (SELECT i, b0, b1, b2, median(r) AS m, {_MOMENTS} FROM (
+            SELECT *, abs(y - b0 - b1 * x1 - b2 * x2) AS r, CASE WHEN r <= 1.345 * s THEN 1.0::DOUBLE ELSE 1.345 * s / r END AS w FROM it, z) GROUP BY i, b0, b1, b2) WHERE i < 50),
+    l AS (SELECT b0, b1, b2, s, CAST(count(*) AS DOUBLE) AS n, avg(CAST(r <= 1.345 * s AS DOUBLE)) AS m, sum(CASE WHEN r <= 1.345 * s THEN r * r / (s * s) ELSE 1.345 * 1.345 END) AS psi2, {_MOMENTS}
+        FROM (SELECT *, abs(y - b0 - b1 * x1 - b2 * x2) AS r, 1.0::DOUBLE AS w FROM it, z WHERE i = 50) GROUP BY b0, b1, b2, s),
+    t AS ({' UNION ALL '.join(f"SELECT '{t}' AS term, b{i} AS b, sqrt(pow(1 + 3 / n * (1 - m) / m, 2) * (psi2 * s * s / (n - 3)) / (m * m) * {_INV[f'{i + 1}{i + 1}']} / {_DET3}) AS se, s, n FROM l" for i, t in enumerate(('Intercept', TEEN, FEMALE)))})
+    SELECT term, {rnd('b', 5)} AS b, {rnd('se', 5)} AS se, {rnd('b / se', 3)} AS z, {rnd(Q.p_norm('(b / se)'), 4)} AS p, {rnd('s', 5)} AS scale, CAST(n AS BIGINT) AS n FROM t"""
+)
 def huber_regression(spark, sf):
-    return rounded(MD.huber(design(spark, sf), "score_mean", [TEEN, FEMALE]))
+    return rounded(MD.huber(design(spark, sf), "score_mean", [TEEN, FEMALE]), 5, z=3, p=4)
 
 
 @query(

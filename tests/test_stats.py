@@ -217,7 +217,7 @@ def test_huber_against_numpy(people):
         w = np.minimum(1, 1.345 * s / np.maximum(np.abs(e), 1e-300))
         beta = np.linalg.solve((x.T * w) @ x, (x.T * w) @ y)
     got = {r.term: r.b for r in MD.huber(people, "y", ["a", "b"]).collect()}
-    assert np.allclose([got[t] for t in ("Intercept", "a", "b")], beta, atol=2e-3)
+    assert np.allclose([got[t] for t in ("Intercept", "a", "b")], beta, atol=1e-6)
 
 
 def test_logistic_against_newton(people):
@@ -233,6 +233,28 @@ def test_logistic_against_newton(people):
     assert np.allclose([got[k].se for k in ("Intercept", "a", "b")], se, atol=1e-5)
 
 
+def test_logistic_finds_separation(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(x), float(z), float(x > 0.2)) for x, z in rng.normal(size=(200, 2))]
+    got = {r.term: r for r in MD.logistic(spark.createDataFrame(rows, "x double, z double, y double"), "y", ["x", "z"]).collect()}
+    assert all(r.separated for r in got.values()) and got["x"].b == math.inf and got["x"].se is None
+    # one level of a column without a single 1: only its coefficient (and what it is compared with) has no value
+    rows = [(float(i % 2), float(z), float(i % 2 == 1 and rng.random() < 1 / (1 + np.exp(-z)))) for i, z in enumerate(rng.normal(size=400))]
+    got = {r.term: r for r in MD.logistic(spark.createDataFrame(rows, "x double, z double, y double"), "y", ["x", "z"]).collect()}
+    assert got["x"].b == math.inf and got["Intercept"].b == -math.inf and got["z"].separated and 0.5 < got["z"].b < 1.6 and got["z"].se > 0
+    alike = spark.createDataFrame([(float(i % 3), 1.0) for i in range(30)], "x double, y double")
+    assert all(r.separated for r in MD.logistic(alike, "y", ["x"]).where("term = 'Intercept'").collect())
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0] * 40 + [7.0] * 40, list(np.random.default_rng(1).exponential(size=501)), [0.0] * 9 + [1e12, 1e-12]])
+def test_exact_middle(spark, values, monkeypatch):
+    monkeypatch.setattr(MD, "BINS", 4)
+    monkeypatch.setattr(MD, "HELD", 3)
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
+    for around in ((0.0, 1.0), (0.9, 1.1), (100.0, 100.0)):
+        assert MD._middle(rows, "v", *around) == np.median(values)
+
+
 def test_power_grows_with_n(spark):
     rows = spark.createDataFrame([("s",)] * 60 + [("l",)] * 400, "seg string")
     got = {(r.seg, r.f2): r for r in MD.power_table(rows, ["seg"], reliability=0.7).collect()}

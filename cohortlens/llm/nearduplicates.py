@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortlens.llm import words as W
 from cohortlens.llm.components import components
-from cohortlens.llm.shared import written
+from cohortlens.llm.shared import with_fields, written
 
 BANDS, ROWS, SKETCH_BITS = 32, 5, 512
 SMALL, BLOCK = 16, 2048
@@ -222,7 +222,7 @@ def links_in_tasks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, hot: int = 20000, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(rows with doc_id, n_shingles and class; class with component: the smallest doc_id of all linked classes)."""
+    """(rows with doc_id, n_shingles and class; class with component, the smallest doc_id of all linked classes, and its root)."""
     signed = written(signatures(docs, text, key, size), "signatures")
     classes = signed.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
@@ -261,7 +261,7 @@ def duplicate_classes(docs: DataFrame, text: str = "text", key: str = "doc_id",
     joined = classes.select("class", "doc_id").join(roots.select(F.col("id").alias("class"), "root"), "class", "left")
     joined = joined.withColumn("root", F.coalesce("root", "class"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return signed.select("doc_id", "n_shingles", "class"), joined.join(least, "root").select("class", "component_id")
+    return signed.select("doc_id", "n_shingles", "class"), joined.join(least, "root").select("class", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -273,17 +273,39 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def classed(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """``docs`` with ``_class``, the class of each row's set (null for an empty one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, block in W.blocks(batches, text, lower=True):
+            values, bounds = shingle_sets(block, size)
+            kind = pa.array(set_class(values, bounds), mask=np.diff(bounds) == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, kind], names=[*batch.schema.names, "_class"])
+
+    return docs.mapInArrow(run, with_fields(docs, "_class long"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, **options) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, and every row without words.
 
-    Rows that repeat an id are one document, its shortest text stays; rows without id cannot be named and all stay.
+    Rows that repeat an id with one set of shingles are one document, its shortest text stays.  Under an id with several sets
+    each row is judged by its own set, so that a text of its own is not lost to another under the same id; of those in one
+    component the shortest stays.  Rows without id cannot be named and all stay.
     """
-    rows, component = duplicate_classes(docs, **options)
+    rows, component = duplicate_classes(docs, size=size, **options)
     kept = component.select("component_id").union(rows.where("class is null").select("doc_id")).toDF("_kept").distinct()
+    sets = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("class").alias("n"), F.count(F.lit(1)).alias("rows"))
+    several = written(sets.where("a <> b OR (n > 0 AND n < rows)").select(F.col("doc_id").alias("_several")), "several")
     names = docs.columns
     hidden = docs.toDF(*[f"_{i}_{c}" for i, c in enumerate(names)])
     key, body = hidden.columns[names.index("doc_id")], hidden.columns[names.index("text")]
+
+    def shortest(df: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.length(body), body)
+        return df.withColumn("_number", F.row_number().over(order)).where("_number = 1").select(*hidden.columns)
+
     named = hidden.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("_kept"), "left_semi")
-    order = Window.partitionBy(key).orderBy(F.length(body), body)
-    named = named.withColumn("_number", F.row_number().over(order)).where("_number = 1").drop("_number")
-    return named.unionByName(hidden.where(F.col(key).isNull())).toDF(*names)
+    one = shortest(named.join(several, F.col(key) == F.col("_several"), "left_anti"), key)
+    own = classed(named.join(several, F.col(key) == F.col("_several"), "left_semi"), body, size)
+    own = own.join(component.withColumnRenamed("class", "_class"), "_class", "left").where((F.col("component_id") == F.col(key)) | F.col("_class").isNull())
+    return one.unionByName(shortest(own, key, "root")).unionByName(hidden.where(F.col(key).isNull())).toDF(*names)

@@ -153,7 +153,7 @@ LICENCE_SQL = f"""
 WITH known(sentence, id) AS (VALUES {_SENTENCES}), rule(k, licence, kind) AS (VALUES {_RULES}),
 docs AS (SELECT doc_id, text, row_number() OVER () AS r FROM documents),
 cut AS (SELECT r, list_filter(string_split(regexp_replace(text, {_text(licences.SENTENCE_END)}, chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS s
-    FROM docs WHERE regexp_matches(lower(text), {_text(licences.SIGNS)})),
+    FROM docs),
 seg AS (SELECT r, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM cut),
 norm AS (SELECT *, {_normalised('s')} AS n, regexp_matches({_normalised('s')}, {_text(licences.COPYRIGHT)}) AS copyright FROM seg),
 lists AS (SELECT r, i, {_LINES} AS lines FROM norm LEFT JOIN known k ON k.sentence = n),

@@ -82,6 +82,18 @@ def test_one_of_each_keeps_columns_and_wordless_rows(frame, prose, odd):
     assert N.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_texts_under_one_id_are_judged_each(frame, prose):
+    a, b, c, d = (prose(60) for _ in range(4))
+    docs = frame([(7, a), (7, b + " much longer"), (7, a), (2, c), (8, c), (8, d), (9, ""), (9, prose(40)), (3, d + " end"), (4, b), (4, b + " x")])
+    got = sorted((r.doc_id, r.text) for r in N.one_of_each(docs).collect())
+    texts = {t: i for i, t in got}
+    # 7 has two texts: a stays, the long one is a copy of 4's; 8 has a copy of 2's and of 3's; 9 has an empty one and its own
+    assert texts[a] == 7 and texts[c] == 2 and texts[d + " end"] == 3 and texts[b] == 4 and len([1 for i, _ in got if i == 9]) == 2
+    assert len(got) == 6
+    only = frame([(1, a), (1, b), (1, c), (1, a + " tail")])
+    assert sorted(r.text for r in N.one_of_each(only).collect()) == sorted([a, b, c])
+
+
 def test_components_of_a_long_chain(spark):
     from cohortlens.llm.components import components
 

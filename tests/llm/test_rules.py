@@ -78,6 +78,31 @@ def test_languages_on_held_out_rows(frame, odd):
     assert kept.columns == docs.columns and kept.where("doc_id < 400").count() == 400 and kept.where("doc_id in (900, 901, 902, 908)").count() == 0
 
 
+def test_letter_junk_is_no_language(frame):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    make = lambda k, n: " ".join(rng.choice(LANGS[k]) for _ in range(n))
+    rows = [(i, make(k, rng.randrange(2, 100)), k) for i in range(400) for k in [sorted(LANGS)[i % 3]]]
+    junk = [(1000 + i, " ".join("".join(rng.choice("qxwvjzkyfpg") for _ in range(rng.randrange(3, 9))) for _ in range(80)), None) for i in range(30)]
+    kept = {r.doc_id for r in language.keep_identified(frame(rows + junk)).collect()}
+    assert set(range(400)) <= kept and not kept & {j[0] for j in junk}
+    assert letters == "".join(sorted(language._ORDER[1])) and language.keep_identified(frame(junk)).count() == 0
+
+
+def test_licence_sql_on_wrapped_texts(spark, frame):
+    """Signs that line ends cut in two: the SQL, which has no signs, finds what the operator finds."""
+    import duckdb
+
+    from cohortlens.llm.queries import LICENCE_SQL
+
+    texts = ["Released under the\nMIT License.", "All rights\nreserved.", "This work is in the public\ndomain.", "Copyright (c)\n2020 A. Name", "Provided under\nCC BY 4.0.", "plain text", "", None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = licences.scan(frame(list(enumerate(texts)))).select("doc_id", "n_known", "licences", "category").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(LICENCE_SQL).fetchall())
+
+
 def test_grams_against_counting():
     texts = ["Ab, cd", "", "a\nb", "12 ñÑ!", "漢 x"]
     owner, gram, n = language.counted_grams(pa.array(texts))

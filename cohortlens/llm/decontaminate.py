@@ -3,7 +3,7 @@
 Items and texts are sequences of lower-case words without punctuation.  A text is looked at through windows as long as an
 item.  The embedding (CGK) walks over a window three times as many steps as it has words: a step copies the word under the
 pointer, and a random bit of (step, word) moves the pointer on; two sequences at small edit distance give outputs that
-agree in most places.  Repeated bit sampling then looks up windows: each of the ``tables`` holds the
+agree in most places.  Repeated bit sampling then looks up windows: each of the ``tables``, as many as the wanted recall takes, holds the
 items by ``SAMPLES`` random places of their output.  What collides is verified by exact word edit distance.
 
 A window is embedded only if it can hold an item: within e = ``share`` x n edits an occurrence keeps n - 2 - 3 e of the
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortlens.llm import words as W
 
-EMBEDDINGS, TABLES, SAMPLES = 8, 4, 3
+EMBEDDINGS, SAMPLES = 8, 3
+#: Share of edits, the recall that decides the number of tables, and the most tables an embedding gets (over 1,000 words).
+SHARE, RECALL, MOST_TABLES = 0.2, 0.98, 64
 STRETCH = 3
 #: Places are sampled where most walks are still inside the window; a walk moves every other step.
 REACH = 2
@@ -51,9 +54,42 @@ def embed(sequences: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def tables(n: int) -> int:
-    """Tables of items of n words: longer ones need more at the same share of edits."""
-    return EMBEDDINGS * TABLES * (1 + n // 100)
+@lru_cache(maxsize=None)
+def tables(n: int, share: float = SHARE) -> int:
+    """Tables for items of n words, a multiple of ``EMBEDDINGS``: as many as the wanted recall takes at the full ``share`` of edits.
+
+    Measured on random items with edits evenly spread and at random places, with and without insertions and deletions: an
+    embedding with a share p of places that agree finds its item in one of t tables with probability 1 - (1 - p^SAMPLES)^t.
+    The worst kind of edits decides.
+    """
+    rng = np.random.default_rng(n)
+    e, trials = int(share * n), max(8, min(48, 6000 // n))
+    if e == 0:
+        return EMBEDDINGS
+    items = rng.integers(1, 2**63, (trials, n + e), dtype=np.uint64)
+    kinds = []
+    for even in (True, False):
+        for shifting in (False, True):
+            rows = []
+            for item in items:
+                places = ((np.arange(e) + 0.5) * n / e).astype(int) if even else np.sort(rng.choice(n, e, replace=False))
+                words, done = item[:n].tolist(), 0
+                for k, at in enumerate(places):
+                    kind = (0, 1, 2)[k % 3] if shifting else 0
+                    at = at + done
+                    words[at : at + 1] = [[7 + k], [], [words[at], 7 + k]][kind]
+                    done += (0, -1, 1)[kind]
+                rows.append((words + item[n:].tolist())[:n])
+            kinds.append(np.array(rows, np.uint64))
+    odds = np.zeros((len(kinds), trials, EMBEDDINGS))
+    for j in range(EMBEDDINGS):
+        own = embed(items[:, :n], j)[:, : REACH * n]
+        for k, rows in enumerate(kinds):
+            odds[k, :, j] = (embed(rows, j)[:, : REACH * n] == own).mean(axis=1) ** SAMPLES
+    own = 2
+    while own < MOST_TABLES and (1 - np.prod((1 - odds) ** own, axis=2)).mean(axis=1).min() < RECALL:
+        own = own + max(1, own // 4)
+    return EMBEDDINGS * own
 
 
 def sampled_keys(sequences: np.ndarray) -> np.ndarray:

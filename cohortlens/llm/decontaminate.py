@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlens.llm import words as W
 
 EMBEDDINGS, SAMPLES = 8, 3
-#: Share of edits, the recall that decides the number of tables, and the most tables an embedding gets (over 1,000 words).
-SHARE, RECALL, MOST_TABLES = 0.2, 0.98, 64
+#: Share of edits, the recall that decides the number of tables, and the least and most tables an embedding gets.
+SHARE, RECALL, LEAST_TABLES, MOST_TABLES = 0.2, 0.99, 4, 64
 STRETCH = 3
 #: Places are sampled where most walks are still inside the window; a walk moves every other step.
 REACH = 2
@@ -65,7 +65,7 @@ def tables(n: int, share: float = SHARE) -> int:
     rng = np.random.default_rng(n)
     e, trials = int(share * n), max(8, min(48, 6000 // n))
     if e == 0:
-        return EMBEDDINGS
+        return EMBEDDINGS * LEAST_TABLES
     items = rng.integers(1, 2**63, (trials, n + e), dtype=np.uint64)
     kinds = []
     for even in (True, False):
@@ -86,7 +86,7 @@ def tables(n: int, share: float = SHARE) -> int:
         own = embed(items[:, :n], j)[:, : REACH * n]
         for k, rows in enumerate(kinds):
             odds[k, :, j] = (embed(rows, j)[:, : REACH * n] == own).mean(axis=1) ** SAMPLES
-    own = 2
+    own = LEAST_TABLES
     while own < MOST_TABLES and (1 - np.prod((1 - odds) ** own, axis=2)).mean(axis=1).min() < RECALL:
         own = own + max(1, own // 4)
     return EMBEDDINGS * own

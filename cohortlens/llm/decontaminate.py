@@ -92,17 +92,19 @@ def tables(n: int, share: float = SHARE) -> int:
     return EMBEDDINGS * own
 
 
-def sampled_keys(sequences: np.ndarray) -> np.ndarray:
-    """(rows, ``tables``) keys: table number and the words at its sampled places."""
+def sampled_keys(sequences: np.ndarray, number: int | None = None) -> np.ndarray:
+    """(rows, ``number`` of tables) keys: table number and the words at its sampled places."""
     rows, n = sequences.shape
     rng = np.random.default_rng(n)
-    own = tables(n) // EMBEDDINGS
-    out = np.empty((rows, tables(n)), np.uint64)
+    number = number or tables(n)
+    own = number // EMBEDDINGS
+    out = np.empty((rows, number), np.uint64)
     for e in range(EMBEDDINGS):
         output = embed(sequences, e)
         for t in range(own):
             key = np.full(rows, W.mix(np.array([n * 2**32 + e * own + t], np.uint64))[0])
-            for place in rng.integers(0, REACH * n, SAMPLES):
+            # one place where no walk has ended: ends agree with each other, whatever the words
+            for place in [rng.integers(0, n), *rng.integers(0, REACH * n, SAMPLES - 1)]:
                 key = W.mix(key ^ output[:, place])
             out[:, e * own + t] = key
     return out
@@ -142,10 +144,13 @@ class Benchmark:
         self.by_size: dict[int, np.ndarray] = {}
         for n in sorted({len(s) for s in self.sequence}):
             self.by_size[n] = np.array([i for i, s in enumerate(self.sequence) if len(s) == n])
+        self.tables: dict[int, int] = {}
         keys, owners = [], []
         for which in self.by_size.values():
-            keys.append(sampled_keys(np.stack([self.sequence[i] for i in which])).ravel())
-            owners.append(np.repeat(which, tables(len(self.sequence[which[0]]))))
+            n = len(self.sequence[which[0]])
+            self.tables[n] = tables(n)
+            keys.append(sampled_keys(np.stack([self.sequence[i] for i in which]), self.tables[n]).ravel())
+            owners.append(np.repeat(which, self.tables[n]))
         keys, owners = (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         order = np.argsort(keys, kind="stable")
         self.keys, self.owners = keys[order], owners[order]
@@ -191,13 +196,13 @@ class Benchmark:
     def _verified(self, h: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int, starts: np.ndarray) -> Iterator[tuple[tuple[int, int], tuple[int, int, int]]]:
         places = starts[:, None] + np.arange(n)[None, :]
         windows = np.where(places < end[starts][:, None], h[np.minimum(places, len(h) - 1)], np.uint64(0))
-        keys = sampled_keys(windows).ravel()
+        keys = sampled_keys(windows, self.tables[n]).ravel()
         low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
         some = np.flatnonzero(high > low)
         count = (high - low)[some]
         if not len(some):
             return
-        window = np.repeat(some // tables(n), count)
+        window = np.repeat(some // self.tables[n], count)
         offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         item = self.owners[np.repeat(low[some], count) + offset]
         pairs = np.unique(window * len(self.item) + item)

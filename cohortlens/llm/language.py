@@ -124,7 +124,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 5000, top: int = TOP) -> dict[str, list[int]]:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 5000, top: int = TOP, block_bytes: int = W.BLOCK_BYTES) -> dict[str, list[int]]:
     """Profiles of the languages in ``labelled``: their ``top`` n-grams by rank.  ``per_language`` bounds the sample."""
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit(11), F.col(key)).alias("_h"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
@@ -135,7 +135,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     sample = rows.where(point < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block in W.blocks(batches, "text"):
+        for batch, block in W.blocks(batches, "text", limit=block_bytes):
             names = np.asarray(batch.column(0).to_pylist(), dtype=object)
             kinds, kind = np.unique(names, return_inverse=True)
             k, g, n = counted_grams(batch.column(1), kind)
@@ -177,14 +177,14 @@ def distances(texts: pa.Array, every: np.ndarray, rank: np.ndarray, top: int) ->
     return out, ranked
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", top: int = TOP) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", top: int = TOP, block_bytes: int = W.BLOCK_BYTES) -> DataFrame:
     """``docs`` with lang_pred and score: 1 minus the distance's share of the largest possible distance."""
     docs = docs.drop("lang_pred", "score")
     names, every, rank = _ranks(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = np.array([*names, UNKNOWN], dtype=object)
-        for batch, _ in W.blocks(batches, text):
+        for batch, _ in W.blocks(batches, text, limit=block_bytes):
             column = batch.column(batch.schema.get_field_index(text))
             far, ranked = distances(column, every, rank, top) if names else (np.zeros((1, len(column)), np.int64), np.zeros(len(column), np.int64))
             best = np.where(ranked > 0, np.argmin(far, axis=0), len(names))
@@ -226,13 +226,15 @@ def least_score(docs: DataFrame, profiles: dict[str, list[int]], sample: int = 2
 
 #: Below the lowest score of texts in a language of the profiles (0.42 in 10,000 documents), above that of random letters (0.29).
 LEAST = 0.33
+#: Text that the stage ranks at once: it carries whole documents, so its workers have less room than those of a query.
+STAGE_BLOCK = 1 << 20
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST, per_language: int = 5000) -> DataFrame:
     """Documents whose language is known with at least the score ``least`` (``least_score`` measures one); columns as in ``docs``."""
-    profiles = learn(docs.where(~held_out(F.col("doc_id"))), per_language=per_language)
+    profiles = learn(docs.where(~held_out(F.col("doc_id"))), per_language=per_language, block_bytes=STAGE_BLOCK)
     names = docs.columns
     hidden = docs.withColumnsRenamed({c: f"_{i}_{c}" for i, c in enumerate(names)})
     body = hidden.columns[names.index("text")]
-    found = predict(hidden, profiles, body).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    found = predict(hidden, profiles, body, block_bytes=STAGE_BLOCK).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.select(*[F.col(f"_{i}_{c}").alias(c) for i, c in enumerate(names)])

@@ -37,6 +37,8 @@ STRETCH = 3
 #: Places are sampled where most walks are still inside the window; a walk moves every other step.
 REACH = 2
 _BLOOM_BITS = 22
+#: Text looked at together, and words of windows embedded together: what an executor's workers have room for.
+BLOCK_BYTES, WINDOW_WORDS = 2 << 20, 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -187,8 +189,9 @@ class Benchmark:
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n in self.by_size:
             starts = self._candidates(n, place[np.searchsorted(size, n) : np.searchsorted(size, n, "right")], begin, end)
-            for low in range(0, len(starts), 20_000):
-                for key, value in self._verified(h, text, begin, end, n, starts[low : low + 20_000]):
+            at_once = max(1, WINDOW_WORDS // n)
+            for low in range(0, len(starts), at_once):
+                for key, value in self._verified(h, text, begin, end, n, starts[low : low + at_once]):
                     if key not in found or value < found[key]:
                         found[key] = value
         return [(t, i, first, size, d) for (t, i), (d, first, size) in found.items()]
@@ -209,8 +212,9 @@ class Benchmark:
         window, item = pairs // len(self.item), pairs % len(self.item)
         d = self.edits(n)
         side = d + 4
-        for a in range(0, len(window), 4096):
-            w, it = window[a : a + 4096], item[a : a + 4096]
+        at_once = max(1, WINDOW_WORDS // (n + 2 * side))
+        for a in range(0, len(window), at_once):
+            w, it = window[a : a + at_once], item[a : a + at_once]
             p = starts[w][:, None] - side + np.arange(n + 2 * side)[None, :]
             inside = (p >= begin[starts[w]][:, None]) & (p < end[starts[w]][:, None])
             regions = np.where(inside, h[np.clip(p, 0, len(h) - 1)], np.uint64(0))
@@ -247,7 +251,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, min_words
 
     def finder(index: Benchmark):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, block in W.blocks(batches, "text", plain=True, limit=3 * W.BLOCK_BYTES):
+            for batch, block in W.blocks(batches, "text", plain=True, limit=BLOCK_BYTES):
                 found = sorted(index.matches(block))
                 ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
                 columns = [pa.array([index.item[x[1]] for x in found]), *[pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4)]]
@@ -272,7 +276,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, m
 
     def flagger(index: Benchmark):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, block in W.blocks(batches, "_lower", plain=True, limit=3 * W.BLOCK_BYTES):
+            for batch, block in W.blocks(batches, "_lower", plain=True, limit=BLOCK_BYTES):
                 found = np.zeros(batch.num_rows, bool)
                 found[[x[0] for x in index.matches(block)]] = True
                 yield batch.select(batch.schema.names[:-1]).filter(pa.array(~found))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cohortlens.llm.shared import words_of
+from cohortlens.llm.shared import words_of, written
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> DataFrame:
@@ -86,15 +86,18 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, seed: int = 42, slices: int = 4096) -> DataFrame:
     """How often each (source, doc_id) is taken: source, doc_id, copies, first_served."""
-    sizes = sized(docs)
+    return _taken(written(sized(docs), "sizes"), weights, epochs, seed, slices)
+
+
+def _taken(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, seed: int = 42, slices: int = 4096) -> DataFrame:
     served = schedule(queue(sizes, seed, slices), source_targets(sizes, weights, epochs), epochs, slices)
     return served.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("copies"), F.min("served").alias("first_served"))
 
 
 def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
     """Every document with its size, its source's size and target, and the words the mix takes of it."""
-    sizes = sized(docs)
-    taken = mix(docs, **options).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), "copies", "first_served")
+    sizes = written(sized(docs), "sizes")  # the texts are read once
+    taken = _taken(sizes, **options).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), "copies", "first_served")
     targets = source_targets(sizes, options.get("weights", (1, 2, 3)), options.get("epochs", 3)).withColumnRenamed("source", "_t")
     out = sizes.join(taken, F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     out = out.join(targets, F.col("source").eqNullSafe(F.col("_t")))
@@ -103,6 +106,10 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    names = docs.columns
+    hidden = docs.toDF(*[f"_{i}_{c}" for i, c in enumerate(names)])
+    source, key = (F.col(hidden.columns[names.index(c)]) for c in ("source", "doc_id"))
     taken = mix(docs, **options).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("copies").alias("_copies"))
-    out = docs.join(taken, docs["source"].eqNullSafe(F.col("_s")) & docs["doc_id"].eqNullSafe(F.col("_d")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    out = hidden.join(taken, source.eqNullSafe(F.col("_s")) & key.eqNullSafe(F.col("_d")))
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return out.select(*hidden.columns).toDF(*names)

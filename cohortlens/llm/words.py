@@ -122,6 +122,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", lower: bool
             part = batch.slice(at, end - at)
             yield part, of_texts(texts.slice(at, end - at), lower, plain)
             at = end
+        del batch, texts
+        pa.default_memory_pool().release_unused()  # a worker lives on between tasks and stages
 
 
 def group_starts(sorted_keys: np.ndarray) -> np.ndarray:

@@ -166,6 +166,9 @@ def test_mix_meets_targets(frame, prose, rng, odd):
     mixed = mixing.mixed_documents(frame(rows))
     assert mixed.columns == frame(rows).columns and mixed.where("source = 'tiny'").count() == 9
     assert mixing.mixed_sizes(frame([])).count() == 0
+    clash = frame(rows).selectExpr("*", "size as _s", "size as _d", "size as _copies", "size as _copy", "size as _slice")
+    again = mixing.mixed_documents(clash)
+    assert again.columns == clash.columns and again.count() == mixed.count()
 
 
 def test_signs_over_line_ends_and_hyphens(frame, prose):

@@ -4,19 +4,27 @@ The network predicts a word from two words on either side: each neighbour positi
 through tanh into a two-level softmax (class of the word, word in the class).  A document's score is the sum of the
 log-probabilities of all its words, each masked in turn.
 
-Word counts cover all documents.  Training covers all documents too: they fall into rounds by a hash of the id; in a
-round every task trains on its documents in numpy (every ``stride``-th word is a target) and the tasks' weights, weighted
-by their targets, are averaged in groups of ``GROUP``; only the averages, whose size the network fixes, reach the driver.
+Word counts and training cover all documents, and every word is a target once.  Documents fall into rounds and shards by a
+hash; the number of shards follows the number of words.  A shard is trained in numpy from the weights of the round's start,
+its documents in the order of their hash, and the weights of all shards, weighted by their targets, are averaged in groups
+of ``GROUP``; only the averages, whose size the network fixes, reach the driver.  Neither partitions nor the
+order of rows have an influence.
 
-Words outside the vocabulary share ``BUCKETS`` hash buckets, which are predicted like words.
+The network predicts the ``VOCABULARY`` most frequent words and, for all others, one of ``BUCKETS`` hash buckets.  A word of
+a bucket has the bucket's probability times its smoothed share of the bucket's words.  Words that make up ``LISTED``
+of all words or more (so at most 1 / ``LISTED`` of them) are listed with their own counts; the rarer words
+of a bucket and one unseen word share their part alike.
 
 Defined results: null and empty texts have no word, score 0.0 and a null mean; on a table without words every score is
-0.0; repeated rows get the same score; training does not depend on other columns.
+0.0; repeated rows get the same score; rows equal in id and text are trained in one shard; a long text is read in blocks of
+words of its own; other columns have no influence.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,6 +37,8 @@ from cohortlens.llm.shared import written
 VOCABULARY, BUCKETS, HIDDEN, SIDE = 2048, 512, 32, 2
 CLASS_SIZE = 52
 GROUP, CHUNK = 32, 4096
+#: Least share of all words that gives a word a count of its own, and what is added to every count.
+LISTED, SMOOTHING = 2.0**-22, 0.5
 _OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -128,12 +138,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    def __init__(self, words: list[int]):
-        """``words``: hashes, most frequent first."""
-        ids = np.array(words, np.int64).view(np.uint64)
-        self.order = np.argsort(ids)
-        self.known = ids[self.order]
+    """Numbers of the words, and the share of a rarer word in its bucket."""
+
+    def __init__(self, words: np.ndarray, listed: np.ndarray, counts: np.ndarray, tail: np.ndarray, tail_words: np.ndarray):
+        """``words``: hashes, most frequent first; ``listed`` with ``counts``: rarer words; ``tail``: total and number, by bucket, of the rest."""
+        self.order = np.argsort(words)
+        self.known = words[self.order]
         self.symbols = len(words) + BUCKETS
+        by_hash = np.argsort(listed)
+        self.listed = listed[by_hash]
+        bucket = (listed % np.uint64(BUCKETS)).astype(np.int64)
+        whole = tail + np.bincount(bucket, counts, BUCKETS) + SMOOTHING * (tail_words + np.bincount(bucket, minlength=BUCKETS) + 1)
+        self.listed_share = (np.log(counts + SMOOTHING) - np.log(whole)[bucket])[by_hash]
+        self.tail_share = np.log(tail / (tail_words + 1) + SMOOTHING) - np.log(whole)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         rare = len(self.known) + (hashes % np.uint64(BUCKETS)).astype(np.int64)
@@ -142,89 +159,147 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, self.order[at], rare)
 
-    def contexts(self, block: W.Words, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(words, positions) neighbours and the words themselves, of all words or those at ``at``."""
-        ids = self.ids(block.hashes())
+    def log_shares(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Log of each word's share of its bucket; 0 for words with a number of their own."""
+        out = np.zeros(len(ids))
+        rare = np.flatnonzero(ids >= len(self.known))
+        h, bucket = hashes[rare], ids[rare] - len(self.known)
+        out[rare] = self.tail_share[bucket]
+        if len(self.listed):
+            at = np.minimum(np.searchsorted(self.listed, h), len(self.listed) - 1)
+            found = self.listed[at] == h
+            out[rare[found]] = self.listed_share[at[found]]
+        return out
+
+    def contexts(self, block: W.Words, ids: np.ndarray) -> np.ndarray:
+        """(words, positions): the neighbours of every word of a block whose words are ``ids``."""
         text = block.text_of_word()
-        at = np.arange(len(ids)) if at is None else at
-        low, high = block.first[:-1][text[at]], block.first[1:][text[at]]
-        context = np.empty((len(at), len(_OFFSETS)), np.int64)
+        at, low, high = np.arange(len(ids)), block.first[:-1][text], block.first[1:][text]
+        context = np.empty((len(at), len(_OFFSETS)), np.min_scalar_type(self.symbols))
         for p, k in enumerate(_OFFSETS):
             x = at + k
             context[:, p] = np.where((x >= low) & (x < high), ids[np.clip(x, 0, max(len(ids) - 1, 0))], self.symbols)
-        return context, ids[at]
-
-
-def _trained(texts: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, stride: int, batch_words: int, rate: float) -> np.ndarray:
-    """Weights after one round: each task trains from ``weights`` on its documents, the results are averaged."""
+        return context
+
+
+def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
+    """The vocabulary of a table (word, n), and the number of all words."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(1, math.ceil(total * LISTED))
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toArrow()
+    words = top["word"].to_numpy().astype(np.int64).view(np.uint64)
+    rows = counts.where(F.col("n") >= least).toArrow()  # at most 1 / LISTED rows
+    listed, n = rows["word"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy()
+    own = ~np.isin(listed, words)
+    tail, tail_words = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    rest = counts.where(F.col("n") < least).groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("bucket"))
+    for r in rest.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():  # one row per bucket
+        tail[r["bucket"]], tail_words[r["bucket"]] = r["n"], r["words"]
+    few = top["n"].to_numpy() < least  # frequent enough for a number, too rare for the list
+    bucket = (words[few] % np.uint64(BUCKETS)).astype(np.int64)
+    tail -= np.bincount(bucket, top["n"].to_numpy()[few], BUCKETS)
+    tail_words -= np.bincount(bucket, minlength=BUCKETS)
+    return Vocabulary(words, listed[own], n[own], tail, tail_words), total
+
+
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    weights: np.ndarray
+
+
+class Trainer:
+    """One shard's network, trained in batches of ``batch_words`` whatever the blocks its words come in."""
+
+    def __init__(self, symbols: int, weights: np.ndarray, batch_words: int, rate: float):
+        self.net, self.batch_words, self.rate = Network(symbols), batch_words, rate
+        self.net.load(weights)
+        self.memory = [np.full(s, 1e-8, np.float32) for s in self.net.shapes]
+        self.context, self.target, self.seen = [], [], 0
+
+    def add(self, context: np.ndarray, target: np.ndarray) -> None:
+        self.seen += len(target)
+        context, target = np.concatenate([*self.context, context]), np.concatenate([*self.target, target])
+        whole = len(target) - len(target) % self.batch_words
+        for low in range(0, whole, self.batch_words):
+            self.net.train(context[low : low + self.batch_words], target[low : low + self.batch_words], self.memory, self.rate)
+        self.context, self.target = [context[whole:]], [target[whole:]]
+
+    def chunks(self, shard: int) -> Iterator[pa.RecordBatch]:
+        if self.target and len(self.target[0]):
+            self.net.train(self.context[0], self.target[0], self.memory, self.rate)
+        if self.seen:
+            flat = self.net.flat()
+            parts = [flat[k : k + CHUNK].tobytes() for k in range(0, len(flat), CHUNK)]
+            columns = [np.arange(len(parts)), np.full(len(parts), shard, np.int64), np.full(len(parts), float(self.seen))]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(parts, pa.binary())], names=["chunk", "shard", "weight", "values"])
+
+
+def _trained(texts: DataFrame, known: Vocabulary, weights: np.ndarray, shards: int, batch_words: int, rate: float) -> np.ndarray:
+    """Weights after one round: every shard of ``texts`` trains from ``weights``, the results are averaged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        net = Network(vocabulary.symbols)
-        net.load(weights)
-        memory = [np.full(s, 1e-8, np.float32) for s in net.shapes]
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = seen = 0
-        for _, block in W.blocks(batches, "text", lower=True):
-            held.append(vocabulary.contexts(block, np.arange(0, len(block.starts), stride)))
-            size += len(held[-1][1])
-            while size >= batch_words:
-                context, target = (np.concatenate(x) for x in zip(*held, strict=True))
-                net.train(context[:batch_words], target[:batch_words], memory, rate)
-                held, size, seen = [(context[batch_words:], target[batch_words:])], size - batch_words, seen + batch_words
-        if size:
-            net.train(*(np.concatenate(x) for x in zip(*held, strict=True)), memory, rate)
-            seen += size
-        if seen:
-            flat = net.flat()
-            chunks = [flat[k : k + CHUNK] for k in range(0, len(flat), CHUNK)]
-            own = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(chunks))), pa.array(np.full(len(chunks), own, np.int64)), pa.array(np.full(len(chunks), float(seen))), pa.array([c.tobytes() for c in chunks], pa.binary())],
-                names=["chunk", "task", "weight", "values"],
-            )
+        shard, trainer = -1, None
+        for batch, block in W.blocks(batches, "text", lower=True):
+            ids = known.ids(block.hashes())
+            context, ids = known.contexts(block, ids), ids.astype(np.min_scalar_type(known.symbols))
+            of_text = np.asarray(batch.column(0))
+            heads = W.group_starts(of_text)
+            for low, high in zip(heads, np.append(heads[1:], len(of_text)), strict=True):
+                if of_text[low] != shard:
+                    if trainer:
+                        yield from trainer.chunks(shard)
+                    shard, trainer = int(of_text[low]), Trainer(known.symbols, weights, batch_words, rate)
+                words = slice(block.first[low], block.first[high])
+                trainer.add(context[words], ids[words])
+        if trainer:
+            yield from trainer.chunks(shard)
 
     def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("shard")
         weight = rows["weight"].to_numpy()
-        values = np.stack([np.frombuffer(v, np.float32) for v in rows["values"]]).astype(np.float64)
-        total = (values * weight[:, None]).sum(axis=0) / weight.sum()
-        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "task": rows["task"].iloc[:1], "weight": [weight.sum()], "values": [total.astype(np.float32).tobytes()]})
-
-    schema = "chunk long, task long, weight double, values binary"
-    parts = written(texts.select("text").mapInArrow(run, schema), "weights")
-    tasks = parts.agg(F.max("task")).first()[0]
-    while tasks:
-        tasks //= GROUP
-        parts = parts.withColumn("task", F.floor(F.col("task") / GROUP).cast("long")).groupBy("chunk", "task").applyInPandas(mean, schema)
-    rows = sorted(parts.select("chunk", "values").collect())
+        total = np.zeros(len(rows["values"].iloc[0]) // 4)
+        for w, v in zip(weight, rows["values"], strict=True):
+            total += w * np.frombuffer(v, np.float32)
+        total /= weight.sum()
+        return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "shard": rows["shard"].iloc[:1] // GROUP, "weight": [weight.sum()], "values": [total.astype(np.float32).tobytes()]})
+
+    schema = "chunk long, shard long, weight double, values binary"
+    dealt = texts.repartition("_shard").sortWithinPartitions("_shard", "_key", "text", "doc_id").select("_shard", "text")
+    parts = written(dealt.mapInArrow(run, schema), "weights")
+    while shards > 1:
+        shards = -(-shards // GROUP)
+        parts = parts.groupBy("chunk", F.floor(F.col("shard") / GROUP).alias("_group")).applyInPandas(mean, schema)
+    rows = sorted(parts.select("chunk", "values").collect())  # one set of weights
     return np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows]) if rows else weights
 
 
-def fit(docs: DataFrame, rounds: int = 3, stride: int = 8, batch_words: int = 4096, rate: float = 0.1) -> tuple[list[int], np.ndarray]:
-    """(vocabulary, weights) learned from all documents."""
-    texts = docs.select(F.col("text"), F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(rounds)).alias("_round"))
-    top = word_counts(texts).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    words = [r["word"] for r in top]
-    vocabulary = Vocabulary(words)
-    weights = Network(vocabulary.symbols).flat()
-    for k in range(rounds if words else 0):
-        weights = _trained(texts.where(F.col("_round") == k), vocabulary, weights, stride, batch_words, rate)
-    return words, weights
+def fit(docs: DataFrame, rounds: int = 3, batch_words: int = 4096, rate: float = 0.1, shard_words: int = 2_000_000) -> Model:
+    """Vocabulary and weights learned from all documents; a shard has about ``shard_words`` words."""
+    known, total = vocabulary(written(word_counts(docs), "counts"))
+    weights = Network(known.symbols).flat()
+    shards = max(1, -(-total // (rounds * shard_words)))
+    key = F.xxhash64(F.lit(5), F.col("doc_id").cast("string"), "text")
+    texts = docs.select("doc_id", "text", key.alias("_key"), F.pmod(key, F.lit(rounds)).alias("_round"))
+    texts = texts.withColumn("_shard", F.pmod(F.xxhash64(F.lit(6), "_key"), F.lit(shards)))
+    for k in range(rounds if total else 0):
+        weights = _trained(texts.where(F.col("_round") == k), known, weights, shards, batch_words, rate)
+    return Model(known, weights)
 
 
-def score(docs: DataFrame, words: list[int], weights: np.ndarray, at_once: int = 1 << 15) -> DataFrame:
+def score(docs: DataFrame, model: Model, at_once: int = 1 << 15) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum over the words) and its mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(words)
-        net = Network(vocabulary.symbols)
-        net.load(weights)
+        known = model.vocabulary
+        net = Network(known.symbols)
+        net.load(model.weights)
         for batch, block in W.blocks(batches, "text", lower=True):
-            context, target = vocabulary.contexts(block)
-            logs = np.zeros(len(target))
+            hashes = block.hashes()
+            target = known.ids(hashes)
+            context, logs = known.contexts(block, target), known.log_shares(hashes, target)
             for low in range(0, len(target), at_once):
-                logs[low : low + at_once] = net.log_probability(context[low : low + at_once], target[low : low + at_once])
+                logs[low : low + at_once] += net.log_probability(context[low : low + at_once], target[low : low + at_once])
             total = np.concatenate([[0.0], np.cumsum(logs)])
             total = total[block.first[1:]] - total[block.first[:-1]]
             n = block.counts
@@ -237,4 +312,4 @@ def score(docs: DataFrame, words: list[int], weights: np.ndarray, at_once: int =
 
 def pseudo_likelihood(docs: DataFrame, **options) -> DataFrame:
     """Every document scored by the network learned from all of them."""
-    return score(docs, *fit(docs, **options))
+    return score(docs, fit(docs, **options))

@@ -167,7 +167,7 @@ def primary_communities(spark, sf):
 
 _VOCAB = """pairs AS (SELECT DISTINCT o_custkey % 97 AS author, CAST(l_suppkey AS VARCHAR) AS subreddit FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     vocab AS (SELECT subreddit, count(*) AS n_users, row_number() OVER (ORDER BY count(*) DESC, subreddit) - 1 AS position FROM pairs
-              GROUP BY subreddit HAVING count(*) >= 10 ORDER BY n_users DESC, subreddit LIMIT 50)"""
+              GROUP BY subreddit HAVING count(*) >= 10 ORDER BY n_users DESC, subreddit LIMIT 500)"""
 
 
 def _memberships(spark, sf):
@@ -179,9 +179,9 @@ def _memberships(spark, sf):
 
 @query(f"WITH {_VOCAB} SELECT p.author, v.subreddit, CAST(v.position AS INTEGER) AS position FROM pairs p JOIN vocab v USING (subreddit)")
 def community_matrix(spark, sf):
-    """Binary user × community matrix over the 50 most common communities, long form."""
+    """Binary user × community matrix over the 500 most common communities, long form."""
     df = _memberships(spark, sf)
-    return R.community_membership(df, R.community_vocabulary(df, 50))
+    return R.community_membership(df, R.community_vocabulary(df, 500))
 
 
 @query(
@@ -397,12 +397,12 @@ def analysis_dataset(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT user_id AS author, CAST(count(*) AS DOUBLE) AS n_events FROM events WHERE event_type = 'click' GROUP BY ALL),
+    """WITH a AS (SELECT user_id AS author, CAST(count(*) AS DOUBLE) AS n_events FROM events GROUP BY ALL),
     b AS (SELECT o_custkey % 300 AS author, CAST(count(*) AS DOUBLE) AS n_orders FROM orders GROUP BY ALL)
     SELECT author, coalesce(n_events, 0) AS n_events, coalesce(n_orders, 0) AS n_orders FROM a FULL JOIN b USING (author)"""
 )
 def feature_blocks(spark, sf):
-    a = roles.table(spark, sf, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("author")).agg(
+    a = roles.table(spark, sf, "events").groupBy(F.col("user_id").alias("author")).agg(
         F.count(F.lit(1)).cast("double").alias("n_events")
     )
     b = roles.table(spark, sf, "orders").groupBy((F.col("o_custkey") % 300).alias("author")).agg(
@@ -443,13 +443,13 @@ def first_five_comments(spark, sf):
 
 @query(
     f"""WITH u AS (SELECT author, n, row_number() OVER (PARTITION BY author ORDER BY g) AS rn FROM (
-        SELECT user_id AS author, count(*) AS n, 0 AS g FROM events WHERE event_type = 'view' GROUP BY ALL
+        SELECT user_id AS author, count(*) AS n, 0 AS g FROM events GROUP BY ALL
         UNION ALL SELECT o_custkey AS author, count(*) AS n, 1 AS g FROM orders GROUP BY ALL))
     SELECT author, n FROM u WHERE rn = 1"""
 )
 def merged_interactions(spark, sf):
     """Union with the existing row winning over the new one."""
-    old = roles.table(spark, sf, "events").where("event_type = 'view'").groupBy(F.col("user_id").alias("author")).agg(F.count(F.lit(1)).alias("n"))
+    old = roles.table(spark, sf, "events").groupBy(F.col("user_id").alias("author")).agg(F.count(F.lit(1)).alias("n"))
     new = roles.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("author")).agg(F.count(F.lit(1)).alias("n"))
     return IO.merged(old, new, ["author"])
 

@@ -65,44 +65,53 @@ class Network:
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.weights[0][0][context[:, 0]]
         for p in range(1, len(_OFFSETS)):
-            total = total + self.weights[0][p][context[:, p]]
-        return np.tanh(total)
+            total += self.weights[0][p][context[:, p]]
+        return np.tanh(total, out=total)
+
+    def _within(self, h: np.ndarray, group: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Scores of the words of each row's class; rows are sorted by class, whose rows begin at ``heads``."""
+        out = self.weights[4].reshape(self.classes, CLASS_SIZE)[group]
+        words = self.weights[3].reshape(self.classes, CLASS_SIZE, HIDDEN)
+        for low, high in zip(heads, np.append(heads[1:], len(group)), strict=True):
+            out[low:high] += h[low:high] @ words[group[low]].T
+        return out
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, class_out, class_bias, word_out, word_bias = self.weights
-        h, group = self.hidden(context), target // CLASS_SIZE
-        out = _log_softmax_at(h @ class_out.T + class_bias, group)
-        order = np.argsort(group, kind="stable")
-        heads = W.group_starts(group[order])
-        for low, high in zip(heads, np.append(heads[1:], len(order)), strict=True):
-            rows = order[low:high]
-            first = int(group[rows[0]]) * CLASS_SIZE
-            out[rows] += _log_softmax_at(h[rows] @ word_out[first : first + CLASS_SIZE].T + word_bias[first : first + CLASS_SIZE], target[rows] - first)
+        _, class_out, class_bias, _, _ = self.weights
+        order = np.argsort(target // CLASS_SIZE, kind="stable")
+        target, group = target[order], target[order] // CLASS_SIZE
+        h = self.hidden(context[order])
+        logs = _log_softmax_at(h @ class_out.T + class_bias, group)
+        logs += _log_softmax_at(self._within(h, group, W.group_starts(group)), target - group * CLASS_SIZE)
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def train(self, context: np.ndarray, target: np.ndarray, memory: list[np.ndarray], rate: float) -> None:
         """One Adagrad step on the mean log-probability of a batch."""
         tables, class_out, class_bias, word_out, word_bias = self.weights
-        n = np.float32(len(target))
-        h, group = self.hidden(context), target // CLASS_SIZE
+        order = np.argsort(target // CLASS_SIZE, kind="stable")
+        context, target, group = context[order], target[order], target[order] // CLASS_SIZE
+        n, every, heads = np.float32(len(target)), np.arange(len(target)), W.group_starts(group)
+        h = self.hidden(context)
         d = _softmax(h @ class_out.T + class_bias)
-        d[np.arange(len(target)), group] -= 1
+        d[every, group] -= 1
         d /= n
         dh = d @ class_out
-        _adagrad(class_out, memory[1], slice(None), d.T @ h, rate)
-        _adagrad(class_bias, memory[2], slice(None), d.sum(axis=0), rate)
-        order = np.argsort(group, kind="stable")
-        heads = W.group_starts(group[order])
-        for low, high in zip(heads, np.append(heads[1:], len(order)), strict=True):
-            rows = order[low:high]
-            first = int(group[rows[0]]) * CLASS_SIZE
-            part = slice(first, first + CLASS_SIZE)
-            d = _softmax(h[rows] @ word_out[part].T + word_bias[part])
-            d[np.arange(len(rows)), target[rows] - first] -= 1
-            d /= n
-            dh[rows] += d @ word_out[part]
-            _adagrad(word_out, memory[3], part, d.T @ h[rows], rate)
-            _adagrad(word_bias, memory[4], part, d.sum(axis=0), rate)
+        steps = [(class_out, memory[1], d.T @ h), (class_bias, memory[2], d.sum(axis=0))]
+        d = _softmax(self._within(h, group, heads))
+        d[every, target - group * CLASS_SIZE] -= 1
+        d /= n
+        words, by_word = word_out.reshape(self.classes, CLASS_SIZE, HIDDEN), np.zeros((self.classes, CLASS_SIZE, HIDDEN), np.float32)
+        by_bias = np.zeros((self.classes, CLASS_SIZE), np.float32)
+        for low, high in zip(heads, np.append(heads[1:], len(target)), strict=True):
+            k, part = group[low], d[low:high]
+            dh[low:high] += part @ words[k]
+            by_word[k], by_bias[k] = part.T @ h[low:high], part.sum(axis=0)
+        # a class without a target has a gradient of 0 and stays as it is
+        steps += [(word_out, memory[3], by_word.reshape(word_out.shape)), (word_bias, memory[4], by_bias.ravel())]
+        for weight, seen, gradient in steps:
+            _adagrad(weight, seen, slice(None), gradient, rate)
         dh *= 1 - h * h
         for p in range(len(_OFFSETS)):
             order = np.argsort(context[:, p], kind="stable")
@@ -112,18 +121,30 @@ class Network:
 
 
 def _adagrad(weight: np.ndarray, memory: np.ndarray, place, gradient: np.ndarray, rate: float) -> None:
-    memory[place] += gradient * gradient
-    weight[place] -= rate * gradient / (np.sqrt(memory[place]) + 1e-6)
+    total = memory[place] + gradient * gradient
+    memory[place] = total
+    np.sqrt(total, out=total)
+    total += 1e-6
+    weight[place] -= rate * gradient / total
+
+
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``exp(x - largest of the row)``, in place, and the largest."""
+    top = x.max(axis=1)
+    x -= top[:, None]
+    return np.exp(x, out=x), top
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    x, _ = _exp(x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return x[np.arange(len(x)), at] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+    own = x[np.arange(len(x)), at]
+    x, top = _exp(x)
+    return own - top - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from cohortlens.llm import rans, words as W
 from cohortlens.llm.shared import new_path, written
 
-MEMORY_WORDS = 400_000
+MEMORY_WORDS, AT_ONCE = 400_000, 4096
 _OTHER, _LETTER, _MARK = 0, 1, 2
 _KIND = np.array([_LETTER if b >= 0x80 or chr(b).isalpha() else _MARK if 0x20 < b < 0x7F and not chr(b).isdigit() else _OTHER for b in range(256)], np.int8)
 _workers: dict[str, WordEncoder] = {}
@@ -88,8 +88,8 @@ class WordEncoder:
         """Little-endian 32-bit ids of each word."""
         found = self.words.get(words)
         missing = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
+        for at in range(0, len(missing), AT_ONCE):
+            part = missing[at : at + AT_ONCE]
             texts = [words[i].decode("utf-8", "replace") for i in part]
             for i, x in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 found[i] = np.array(x.ids, "<u4").tobytes()
@@ -108,15 +108,14 @@ class WordEncoder:
                     continue
             missing.append(i)
             texts.append(text)
-        if not missing:
-            return found
-        ids = np.array(self.letters.encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(missing):
-            raise ValueError("the tokenizer does not end each run of letters with a word end")
-        raw = ids.tobytes()
-        for i, a, b in zip(missing, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            found[i] = raw[4 * a : 4 * b]
+        for low in range(0, len(missing), AT_ONCE):  # the tokenizer's own record of a text is many times its size
+            ids = np.array(self.letters.encode(" ".join(texts[low : low + AT_ONCE]), add_special_tokens=False).ids, "<u4")
+            part, ends = missing[low : low + AT_ONCE], np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end each run of letters with a word end")
+            raw = ids.tobytes()
+            for i, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                found[i] = raw[4 * a : 4 * b]
         self.runs.put([runs[i] for i in missing], [found[i] for i in missing])
         return found
 

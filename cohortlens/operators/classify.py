@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier,
+    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
 )
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -87,13 +87,54 @@ def with_confidence(predictions: DataFrame, labels: Sequence[str], threshold: fl
     ).drop("_p")
 
 
-def _tree(n_classes: int, seed: int, iterations: int, depth: int, label: str, features: str, weight: str | None):
-    kw = dict(labelCol=label, featuresCol=features, seed=seed, maxDepth=depth)
-    if weight:
-        kw["weightCol"] = weight
-    if n_classes == 2:
-        return GBTClassifier(maxIter=iterations, **kw)
-    return RandomForestClassifier(numTrees=max(10, iterations), **kw)
+class BoostedClasses:
+    """One boosted model per class against the rest; their probabilities, brought to a sum of 1, are the classes'."""
+
+    def __init__(self, models: Sequence[GBTClassificationModel]):
+        self.models = list(models)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``probability`` (a vector) and ``prediction``, the first class of the largest one."""
+        out = df
+        for i, model in enumerate(self.models):
+            out = model.transform(out).withColumn(f"_share{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+        shares = [F.col(f"_share{i}") for i in range(len(self.models))]
+        total = reduce(lambda x, y: x + y, shares)
+        out = out.withColumn("_shares", F.array(*[x / total for x in shares]))
+        best = (F.array_position("_shares", F.array_max("_shares")) - 1).cast("double")
+        return out.withColumns({"probability": array_to_vector("_shares"), "prediction": best}).drop("_shares", *[f"_share{i}" for i in range(len(shares))])
+
+    @property
+    def featureImportances(self) -> list[float]:  # noqa: N802 - the name of MLlib's models
+        """Mean over the classes."""
+        parts = [m.featureImportances.toArray() for m in self.models]
+        return [float(x) for x in sum(parts) / len(parts)]
+
+    def save(self, path: str) -> None:
+        for i, model in enumerate(self.models):
+            model.write().overwrite().save(f"{path}/{i}")
+
+    @classmethod
+    def load(cls, path: str, n_classes: int) -> BoostedClasses:
+        return cls([GBTClassificationModel.load(f"{path}/{i}") for i in range(n_classes)])
+
+
+class Boosted:
+    """Estimator of boosted trees for two classes or, one against the rest, for more; ``weight`` names a column."""
+
+    def __init__(self, n_classes: int, label: str, features: str = "features", weight: str | None = None, **trees):
+        self.n_classes, self.label = n_classes, label
+        self.trees = GBTClassifier(labelCol=label, featuresCol=features, **trees, **({"weightCol": weight} if weight else {}))
+
+    def fit(self, df: DataFrame) -> GBTClassificationModel | BoostedClasses:
+        if self.n_classes == 2:
+            return self.trees.fit(df)
+        against = lambda c: df.withColumn(self.label, (F.col(self.label) == c).cast("double"))
+        return BoostedClasses([self.trees.fit(against(c)) for c in range(self.n_classes)])
+
+
+def _tree(n_classes: int, seed: int, iterations: int, depth: int, label: str, features: str, weight: str | None) -> Boosted:
+    return Boosted(n_classes, label, features, weight, seed=seed, maxDepth=depth, maxIter=iterations)
 
 
 def _probabilities(model, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
@@ -161,13 +202,16 @@ class Stack:
     def save(self, path: str) -> None:
         """All models under ``path``, in MLlib's format."""
         for name, model in self.models.items():
-            model.write().overwrite().save(f"{path}/{name}")
+            if isinstance(model, BoostedClasses):
+                model.save(f"{path}/{name}")
+            else:
+                model.write().overwrite().save(f"{path}/{name}")
         self.meta.write().overwrite().save(f"{path}/meta")
 
     @classmethod
     def load(cls, path: str, signals: Mapping[str, Sequence[str]], n_classes: int = 2) -> Stack:
-        kind = GBTClassificationModel if n_classes == 2 else RandomForestClassificationModel
-        return cls(signals, {name: kind.load(f"{path}/{name}") for name in signals}, LogisticRegressionModel.load(f"{path}/meta"), n_classes)
+        load = GBTClassificationModel.load if n_classes == 2 else lambda x: BoostedClasses.load(x, n_classes)
+        return cls(signals, {name: load(f"{path}/{name}") for name in signals}, LogisticRegressionModel.load(f"{path}/meta"), n_classes)
 
 
 def fit_stack(df: DataFrame, signals: Mapping[str, Sequence[str]], key: str, label: str, n_classes: int = 2, k: int = 5,
@@ -182,18 +226,22 @@ def fit_stack(df: DataFrame, signals: Mapping[str, Sequence[str]], key: str, lab
 
 
 def weight_search(df: DataFrame, cols: Sequence[str], key: str, label: str, weights: Sequence[float], guarded: float = 0.0,
-                  max_accuracy_loss: float = 0.03, max_recall_loss: float = 0.05, k: int = 3, seed: int = 42) -> DataFrame:
+                  max_accuracy_loss: float = 0.03, max_recall_loss: float = 0.05, k: int = 3, seed: int = 42,
+                  estimator: Callable[[str], object] | None = None) -> DataFrame:
     """Class weight that maximises macro F1 without losing too much accuracy or recall of one class.
 
-    When no weight keeps both limits, the smallest penalised loss wins.  One row per weight.
+    Every weight is judged on rows that its models have not seen.  When no weight keeps both limits, the smallest penalised
+    loss wins.  One row per weight.  ``estimator`` makes the estimator from the name of the weight column: logistic
+    regression without it, ``boosted_estimator(label)`` for boosted trees.
     """
+    estimator = estimator or (lambda weight: LogisticRegression(labelCol=label, featuresCol="features", weightCol=weight))
     data = training_set(assembled(SM.folds(df, key, label, k, seed), cols).select(key, label, "fold", "features"))
     rows = []
     for w in weights:
         weighted = data.withColumn("_w", F.when(F.col(label) == guarded, 1.0).otherwise(float(w)))
         parts = []
         for f in range(k):
-            model = LogisticRegression(labelCol=label, featuresCol="features", weightCol="_w").fit(weighted.where(F.col("fold") != f))
+            model = estimator("_w").fit(weighted.where(F.col("fold") != f))
             parts.append(model.transform(weighted.where(F.col("fold") == f)).select(label, "prediction"))
         pred = reduce(DataFrame.unionByName, parts)
         m = CT.class_metrics(pred, label, "prediction")
@@ -234,8 +282,28 @@ def grid_search(df: DataFrame, cols: Sequence[str], key: str, label: str, grid:
     return df.sparkSession.createDataFrame([(g, m, g == best[0]) for g, m in out], f"reg_param double, {metric} double, chosen boolean")
 
 
+def boosted_estimator(label: str, n_classes: int = 2, iterations: int = 20, depth: int = 4, seed: int = 42) -> Callable[[str], Boosted]:
+    """Maker of boosted trees for ``weight_search``."""
+    return lambda weight: _tree(n_classes, seed, iterations, depth, label, "features", weight)
+
+
+def boosted_grid(df: DataFrame, cols: Sequence[str], key: str, label: str, depths: Sequence[int], rates: Sequence[float], iterations: int = 20,
+                 k: int = 3, metric: str = "f1", seed: int = 42, parallelism: int = 2) -> DataFrame:
+    """Cross-validated metric of each depth and learning rate of boosted trees, on hash folds; ties go to the smaller model."""
+    data = assembled(SM.folds(df, key, label, k, seed), cols).select("features", label, F.col("fold").cast("int").alias("fold"))
+    tree = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, seed=seed)
+    maps = ParamGridBuilder().addGrid(tree.maxDepth, [int(d) for d in depths]).addGrid(tree.stepSize, [float(r) for r in rates]).build()
+    cv = CrossValidator(
+        estimator=tree, estimatorParamMaps=maps, numFolds=k, foldCol="fold", parallelism=parallelism,
+        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName=metric),
+    ).fit(training_set(data))
+    out = [(m[tree.maxDepth], m[tree.stepSize], float(v)) for m, v in zip(maps, cv.avgMetrics, strict=True)]
+    best = max(out, key=lambda r: (r[2], -r[0], -r[1]))
+    return df.sparkSession.createDataFrame([(*r, r == best) for r in out], f"depth int, rate double, {metric} double, chosen boolean")
+
+
 def boosted(df: DataFrame, cols: Sequence[str], label: str, n_classes: int = 2, iterations: int = 20, depth: int = 4, seed: int = 42):
-    """Trees fitted on the columns of ``df``, boosted for two classes."""
+    """Boosted trees fitted on the columns of ``df``, one model per class for more than two."""
     return _tree(n_classes, seed, iterations, depth, label, "features", None).fit(training_set(assembled(df, cols).select(label, "features")))
 
 

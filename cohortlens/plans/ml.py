@@ -177,7 +177,7 @@ def stacked_predictions(spark, sf):
     """A stack learned from the labelled users predicts all of them, those whose label is hidden too."""
     signals = {"scores": ["score_mean", "score_std", "score_count"], "emotions": roles.USER_EMOTIONS[:4]}
     users = labelled(spark, sf).withColumn("unlabelled", _hidden())
-    stack = K.fit_stack(users.where(~F.col("unlabelled")), signals, "author", "label", k=3, iterations=10)
+    stack = K.fit_stack(users.where(~F.col("unlabelled")), signals, "author", "label", k=5)
     out = stack.predict(users.select("author", "unlabelled", *signals["scores"], *signals["emotions"]), ["adult", "teen"], 0.6)
     best = F.when(F.col("prob_teen") > F.col("prob_adult"), "teen").otherwise("adult")
     right = F.col("predicted").eqNullSafe(F.when(F.col("confidence") >= 0.6, best))
@@ -194,6 +194,31 @@ def regularisation_grid(spark, sf):
     return rounded(K.grid_search(labelled(spark, sf), FEATURES, "author", "label", [0.0, 0.01, 0.1], k=5))
 
 
+@query()
+def boosted_weight_search(spark, sf):
+    """Class weight of boosted trees under the limits on accuracy and recall."""
+    trees = K.boosted_estimator("label", depth=3)
+    return rounded(K.weight_search(labelled(spark, sf), FEATURES, "author", "label", [1.0, 1.1, 1.2, 1.3, 1.4, 1.5], k=3, estimator=trees))
+
+
+@query()
+def boosted_grid(spark, sf):
+    """Depth and learning rate of boosted trees by cross-validation."""
+    return rounded(K.boosted_grid(labelled(spark, sf), FEATURES, "author", "label", [2, 4], [0.05, 0.1], k=3))
+
+
+@query()
+def boosted_groups(spark, sf):
+    """Age and gender as four classes: boosted one against the rest on the training users, predicted for the held-out ones."""
+    users = roles.users(spark, sf).withColumn("group", F.concat_ws("-", "age_predicted", "gender_predicted"))
+    users = users.where("age_predicted IS NOT NULL AND gender_predicted IS NOT NULL").na.drop(subset=FEATURES)
+    names = [r[0] for r in users.select("group").distinct().orderBy("group").collect()]  # one row per class
+    users = K.indexed(users, "group").withColumn("held_out", _hidden())
+    model = K.boosted(users.where("NOT held_out"), FEATURES, "label", n_classes=len(names))
+    out = K.with_confidence(model.transform(K.assembled(users.where("held_out"), FEATURES)), names)
+    return rounded(out.select("author", "group", "predicted", "confidence"))
+
+
 _SCALED = ["score_mean", "balance"]
 
 

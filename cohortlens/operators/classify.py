@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, StringIndexer, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import PCA, CountVectorizerModel, StringIndexer, StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
@@ -46,9 +46,14 @@ def community_vectors(lists: DataFrame, column: str = "communities", size: int =
 
 
 def membership_vectors(lists: DataFrame, column: str = "communities", size: int = 500, min_users: int = 10, out: str = "features") -> DataFrame:
-    """Sparse 0/1 vector over the most common communities."""
-    model = CountVectorizer(inputCol=column, outputCol=out, vocabSize=size, minDF=float(min_users), binary=True).fit(lists)
-    return model.transform(lists)
+    """Sparse 0/1 vector over the communities in most lists (at least ``min_users``), ties to the smaller community."""
+    users = lists.select(F.explode(F.array_distinct(column)).alias("_c")).groupBy("_c").agg(F.count(F.lit(1)).alias("_n"))
+    top = users.where(F.col("_n") >= min_users).orderBy(F.desc("_n"), "_c").limit(size)
+    names = [str(r[0]) for r in top.select("_c").collect()]  # at most ``size``
+    if not names:
+        return lists.withColumn(out, array_to_vector(F.array().cast("array<double>")))
+    model = CountVectorizerModel.from_vocabulary(names, inputCol="_names", outputCol=out, binary=True)
+    return model.transform(lists.withColumn("_names", F.coalesce(F.col(column).cast("array<string>"), F.array().cast("array<string>")))).drop("_names")
 
 
 # ---- scaling --------------------------------------------------------------------------------

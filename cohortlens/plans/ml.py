@@ -153,7 +153,7 @@ def community_word_vectors(spark, sf):
     SELECT author, CAST(count(known.c) AS INTEGER) AS n_known FROM mem LEFT JOIN known USING (c) GROUP BY author"""
 )
 def community_count_vectors(spark, sf):
-    lists = R.participation(_memberships(spark, sf).withColumn("c", F.col("community").cast("string")), community="c", min_count=1)
+    lists = R.participation(_memberships(spark, sf), community="community", min_count=1, lower=False)
     out = K.membership_vectors(lists)
     return out.select("author", F.size(F.filter(K.vector_to_array("features"), lambda x: x > 0)).alias("n_known"))
 

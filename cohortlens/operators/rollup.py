@@ -74,8 +74,9 @@ def aggregation_table(users: DataFrame, columns: Mapping[str, str]) -> DataFrame
 
 def user_emotions(df: DataFrame, author: str = "author", prefix: str = "emotion_", bot: str | None = "bot_emotion_",
                   weight: str | None = "bot_attribution_score") -> DataFrame:
+    """Mean emotions per user and the largest; means that are equal to 12 digits tie, whatever the order of their sums."""
     cols = [f"{p}{e}" for p in (prefix, bot) if p for e in L.EMOTIONS] + ([weight] if weight else [])
-    out = df.groupBy(author).agg(*[F.avg(c).alias(c) for c in cols])
+    out = df.groupBy(author).agg(*[F.round(F.avg(c), 12).alias(c) for c in cols])
     out = out.withColumns({"dominant_emotion": T.dominant(prefix), "dominant_emotion_score": T.dominant_score(prefix)})
     return out.withColumn("bot_dominant_emotion", T.dominant(bot, "")) if bot else out
 

@@ -99,7 +99,7 @@ def comment_dominant_emotions(spark, sf):
 
 @query(
     f"""WITH {_EMO}, w AS (SELECT *, {', '.join(f'emotion_{e} * bot_attribution_score AS bot_emotion_{e}' for e in L.EMOTIONS)} FROM emo),
-    u AS (SELECT author, {', '.join(f'avg({p}{e}) AS {p}{e}' for p in ('emotion_', 'bot_emotion_') for e in L.EMOTIONS)},
+    u AS (SELECT author, {', '.join(f'round(avg({p}{e}), 12) AS {p}{e}' for p in ('emotion_', 'bot_emotion_') for e in L.EMOTIONS)},
           avg(bot_attribution_score) AS bot_attribution_score FROM w GROUP BY author)
     SELECT author, {', '.join(f'{rnd(p + e, 12)} AS {p}{e}' for p in ('emotion_', 'bot_emotion_') for e in L.EMOTIONS)},
       {rnd('bot_attribution_score', 12)} AS bot_attribution_score, {_argmax_sql('emotion_')} AS dominant_emotion,
@@ -107,6 +107,7 @@ def comment_dominant_emotions(spark, sf):
       {_argmax_sql('bot_emotion_', '')} AS bot_dominant_emotion FROM u"""
 )
 def user_emotions(spark, sf):
+    """Means of emotions and the largest one, ties (to 12 digits) to the first label."""
     df = _emotion_rows(spark, sf)
     return rounded(R.user_emotions(df.select("*", *[c.alias(k) for k, c in T.weighted_emotions().items()])), 12)
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cohortlens.operators import classify as K
+from cohortlens.functions import lexicons as L
+from cohortlens.operators import classify as K, rollup as R
 
 
 def test_vocabulary_ties_go_to_the_smaller_community(spark):
@@ -14,3 +15,17 @@ def test_vocabulary_ties_go_to_the_smaller_community(spark):
         assert got[0] == [1.0, 1.0, 1.0] and got[20] == got[21] == [1.0, 0.0, 0.0] and got[22] == got[23] == [0.0] * 3
     few = K.membership_vectors(lists, min_users=1000).select(F.size(K.vector_to_array("features"))).distinct().collect()
     assert few == [(0,)]
+
+
+def test_equal_mean_emotions_tie_in_any_order(spark):
+    """Six times 0.1 and three times 0.2: the first label wins, though the floating sums differ."""
+    rows = [(1, "surprise")] * 6 + [(1, "disgust")] * 3
+    assert 0.1 + 0.1 + 0.1 + 0.1 + 0.1 + 0.1 != 0.2 + 0.2 + 0.2
+    value = {"surprise": 0.1, "disgust": 0.2}
+    cols = [f"{p}{e}" for p in ("emotion_", "bot_emotion_") for e in L.EMOTIONS]
+    data = [(a, *[value[k] if e == k else 0.0 for _ in range(2) for e in L.EMOTIONS], 0.4) for a, k in rows]
+    df = spark.createDataFrame(data, "author long, " + ", ".join(f"{c} double" for c in cols) + ", bot_attribution_score double")
+    first = next(e for e in L.EMOTIONS if e in value)
+    for parts in (1, 2, 4, 9):
+        (r,) = R.user_emotions(df.repartition(parts)).collect()
+        assert r.dominant_emotion == r.bot_dominant_emotion == first and r.emotion_surprise == r.emotion_disgust

@@ -342,12 +342,15 @@ _MID = "rank() OVER ({part}ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}{c})
 
 
 @query(
-    f"""WITH {U}, k AS (SELECT community, {_MID.format(part='PARTITION BY community ', c='score_mean', by='community, ')} AS rx, {_MID.format(part='PARTITION BY community ', c='emotion_joy', by='community, ')} AS ry FROM users),
+    f"""WITH {U}, ur AS (SELECT community, round(score_mean, 12) AS score_mean, round(emotion_joy, 12) AS emotion_joy FROM users),
+    k AS (SELECT community, {_MID.format(part='PARTITION BY community ', c='score_mean', by='community, ')} AS rx, {_MID.format(part='PARTITION BY community ', c='emotion_joy', by='community, ')} AS ry FROM ur),
     c AS (SELECT community, count(*) AS n, corr(rx, ry) AS r FROM k GROUP BY community)
     SELECT community, n, {rnd('r')} AS r, {rnd(_RT)} AS t, {rnd(Q.p_t(_RT, '(n - 2.0::DOUBLE)'), 5)} AS p FROM c"""
 )
 def spearman_by_community(spark, sf):
-    return rounded(G.spearman(roles.users(spark, sf), "score_mean", "emotion_joy", ["community"]), p=5)
+    """Means of equal parts tie up to the order of their sums; rounding makes the ties exact."""
+    users = roles.users(spark, sf).withColumns({c: F.round(c, 12) for c in ("score_mean", "emotion_joy")})
+    return rounded(G.spearman(users, "score_mean", "emotion_joy", ["community"]), p=5)
 
 
 @query(

@@ -11,6 +11,7 @@ Equal vectors are one point with a weight, so copies never fill a leaf.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,16 @@ LEVELS = 64  # room for the level in the number of a (point, level) pair
 
 
 def kept(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows as a table in the checkpoint folder, read again.
+
+    ``checkpoint()`` keeps the estimated size of the plan; a join multiplies those of its sides, so in loops the number doubles its
+    digits each round until the driver does nothing but multiply it.  A table has its own size.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/density-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _projection(vector: Column, size: int, seed: int) -> Column:

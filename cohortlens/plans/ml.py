@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import lexicons as L, text as T
 from cohortlens.functions.hashing import stable_key
+from cohortlens.functions.letters import letter_shares
 from cohortlens.functions.scalar import NORMAL_QUANTILE
 from cohortlens.operators import classify as K, clean as C, demographics as D, density as DE, importances as IMP, rollup as R, scaling as SCALE, scoring as SC
 from cohortlens.plans import roles, sqltext as Q
@@ -314,11 +315,8 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêàçñóí"
 @query()
 def topic_density_clusters(spark, sf):
     """Comments by the shares of their letters, clustered by density: languages stand apart, odd texts are -1; no number is given."""
-    body = F.lower("body")
-    size = F.greatest(F.length("body"), F.lit(1)).cast("double")
-    shares = F.array(*[(F.length(body) - F.length(F.replace(body, F.lit(x), F.lit("")))) / size for x in _LETTERS])
     comments = roles.comments(spark, sf).where("body IS NOT NULL")
-    return DE.topics(comments.select("id", shares.alias("shares")), "id", "shares")
+    return DE.topics(comments.select("id", letter_shares(F.lower("body"), _LETTERS).alias("shares")), "id", "shares")
 
 
 # ---- scoring --------------------------------------------------------------------------------

@@ -95,3 +95,38 @@ def test_nested_parts_and_choice(spark):
     assert {(r.level, r.part) for r in DE.chosen_parts(parts, cuts, 12, single=True).collect()} == {(4, 0)}
     assert DE.chosen_parts(parts, cuts, 12).count() == 0
     assert math.isclose(sum(by[4].values()), 13)
+
+
+def test_letter_shares_are_those_of_the_column_functions(spark):
+    from cohortlens.functions.letters import counts, letter_shares
+
+    letters = "aezäßéñ"
+    texts = ["", "a", "Ää AZ ßß é́ ñ", None, "日本 a 😀 e", "x" * 50, "é" * 7 + "a", "\x00\x7f\u0080߿"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(3)
+    low, size = F.lower("body"), F.greatest(F.length("body"), F.lit(1)).cast("double")
+    want = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(x), F.lit("")))) / size for x in letters])
+    rows = df.select(letter_shares(low, letters).alias("got"), F.when(F.col("body").isNotNull(), want).alias("want")).collect()
+    assert all(r.got == r.want for r in rows) and sum(r.got is None for r in rows) == 5
+
+    import pyarrow as pa
+    from cohortlens.functions import letters as LE
+
+    part = pa.array(texts)[3:17]
+    whole = counts(part, letters)
+    LE._BLOCK, kept = 8, LE._BLOCK
+    try:
+        small = counts(part, letters)
+    finally:
+        LE._BLOCK = kept
+    assert all((a == b).all() for a, b in zip(whole, small)) and whole[1].tolist() == [len(x or "") for x in texts[3:17]]
+    with pytest.raises(ValueError):
+        counts(part, "日")
+
+
+def test_kept_rows_have_their_own_size(spark):
+    """Each round joins what the last one kept; the estimated size must not be squared every time."""
+    at = spark.createDataFrame([(i, (i + 1) % 20) for i in range(20)], "c long, to long")
+    for _ in range(6):
+        nxt = at.select(F.col("c").alias("to"), F.col("to").alias("further"))
+        at = DE.kept(at.join(nxt, "to", "left").select("c", F.col("further").alias("to")))
+    assert int(str(at._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000 and at.count() == 20

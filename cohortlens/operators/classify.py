@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -15,6 +16,7 @@ from pyspark.ml.feature import PCA, CountVectorizerModel, StringIndexer, Standar
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
+from pyspark.util import inheritable_thread_target
 
 from cohortlens.operators import contingency as CT, sampling as SM, scaling
 from cohortlens.session import ensure_checkpoint_dir
@@ -293,18 +295,29 @@ def boosted_estimator(label: str, n_classes: int = 2, iterations: int = 20, dept
 
 
 def boosted_grid(df: DataFrame, cols: Sequence[str], key: str, label: str, depths: Sequence[int], rates: Sequence[float], iterations: int = 20,
-                 k: int = 3, metric: str = "f1", seed: int = 42, parallelism: int = 2) -> DataFrame:
-    """Cross-validated metric of each depth and learning rate of boosted trees, on hash folds; ties go to the smaller model."""
-    data = assembled(SM.folds(df, key, label, k, seed), cols).select("features", label, F.col("fold").cast("int").alias("fold"))
-    tree = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, seed=seed)
-    maps = ParamGridBuilder().addGrid(tree.maxDepth, [int(d) for d in depths]).addGrid(tree.stepSize, [float(r) for r in rates]).build()
-    cv = CrossValidator(
-        estimator=tree, estimatorParamMaps=maps, numFolds=k, foldCol="fold", parallelism=parallelism,
-        evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName=metric),
-    ).fit(training_set(data))
-    out = [(m[tree.maxDepth], m[tree.stepSize], float(v)) for m, v in zip(maps, cv.avgMetrics, strict=True)]
+                 k: int = 3, metric: str = "f1", seed: int = 42, parallelism: int = 4) -> DataFrame:
+    """Cross-validated metric of each depth and learning rate of boosted trees, on hash folds; ties go to the smaller model.
+
+    ``parallelism`` models are fitted at a time; no model is fitted on all folds.  The rows are dealt to all cores, as a small
+    table of many fits would otherwise stay in the few partitions of its last join.
+    """
+    spark = df.sparkSession
+    rows = SM.folds(df, key, label, k, seed).repartition(spark.sparkContext.defaultParallelism, key)
+    data = training_set(assembled(rows, cols).select("features", label, F.col("fold").cast("int").alias("fold")))
+    evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
+    grid = [(int(d), float(r)) for d in depths for r in rates]
+
+    def judged(task: tuple[int, tuple[int, float]]) -> float:
+        fold, (depth, rate) = task
+        tree = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, stepSize=rate, seed=seed)
+        return evaluator.evaluate(tree.fit(data.where(F.col("fold") != fold)).transform(data.where(F.col("fold") == fold)))
+
+    tasks = [(fold, point) for point in grid for fold in range(k)]
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        found = pool.map(inheritable_thread_target(spark)(judged), tasks, chunksize=1)
+    out = [(*point, sum(found[i * k : i * k + k]) / k) for i, point in enumerate(grid)]
     best = max(out, key=lambda r: (r[2], -r[0], -r[1]))
-    return df.sparkSession.createDataFrame([(*r, r == best) for r in out], f"depth int, rate double, {metric} double, chosen boolean")
+    return spark.createDataFrame([(*r, r == best) for r in out], f"depth int, rate double, {metric} double, chosen boolean")
 
 
 def boosted(df: DataFrame, cols: Sequence[str], label: str, n_classes: int = 2, iterations: int = 20, depth: int = 4, seed: int = 42):

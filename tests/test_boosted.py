@@ -58,3 +58,13 @@ def test_grid_chooses_the_depth_that_an_interaction_needs(spark):
     df = spark.createDataFrame(rows, "author int, label double, a double, b double")
     out = {(r.depth, r.rate): r for r in K.boosted_grid(df, ["a", "b"], "author", "label", [1, 4], [0.3], iterations=4, k=2).collect()}
     assert out[(4, 0.3)].chosen and out[(4, 0.3)].f1 > out[(1, 0.3)].f1 + 0.1 and not out[(1, 0.3)].chosen
+
+
+def test_grid_fits_no_model_beyond_the_folds(spark, monkeypatch):
+    """One fit per fold and point, on rows that lie in all of the session's partitions."""
+    seen, fit = [], K.GBTClassifier.fit
+    monkeypatch.setattr(K.GBTClassifier, "fit", lambda self, rows, *more: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows, *more))
+    df = spark.range(400).selectExpr("id AS author", "double(id % 7) AS a", "double(id % 7 > 3) AS label").coalesce(1)
+    out = K.boosted_grid(df, ["a"], "author", "label", [1, 2], [0.3], iterations=2, k=2).collect()
+    assert len(out) == 2 and len(seen) == 4 and set(seen) == {spark.sparkContext.defaultParallelism}
+    assert [r.depth for r in out if r.chosen] == [1] and all(r.f1 == 1.0 for r in out)

@@ -33,14 +33,15 @@ def assembled(df: DataFrame, cols: Sequence[str], out: str = "features") -> Data
 
 
 def community_vectors(lists: DataFrame, column: str = "communities", size: int = 100, window: int = 5, min_count: int = 3,
-                      epochs: int = 10, seed: int = 42, users_per_partition: int = 20000) -> DataFrame:
+                      epochs: int = 10, seed: int = 42, users_per_partition: int = 20000, most_partitions: int = 8) -> DataFrame:
     """Skip-gram vectors of communities from every user's list.
 
-    Training runs in as many partitions as there are ``users_per_partition`` users; their vectors are averaged after
-    each epoch.
+    Training runs in as many partitions as there are ``users_per_partition`` users, at most ``most_partitions``; their vectors
+    are averaged after each epoch.  A partition hands over the vectors of all communities it met, so partitions that grew with
+    the users would move users times communities.
     """
     lists = training_set(lists.select(column))
-    partitions = -(-lists.count() // users_per_partition) or 1
+    partitions = min(-(-lists.count() // users_per_partition) or 1, most_partitions)
     model = Word2Vec(
         vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions, inputCol=column, outputCol="_o"
     ).fit(lists)

@@ -253,6 +253,17 @@ def trigrams(toks: Column, pairs: Column | None = None) -> Column:
     return _joined(F.slice(bigrams(toks) if pairs is None else pairs, F.lit(1), n), F.slice(toks, F.lit(3), n))
 
 
+def _branches(terms: Iterable[str]) -> str:
+    """Pattern of the terms that shares their common starts, so that a place costs one try per first letter, not per term."""
+    heads: dict[str, set[str]] = {}
+    for t in terms:
+        heads.setdefault(t[:1], set()).add(t[1:])
+    ends = "" in heads
+    parts = [_quoted(h) + _branches(rest) for h, rest in sorted(heads.items()) if h]
+    body = "|".join(parts)
+    return f"(?:{body})?" if ends and parts else f"(?:{body})" if len(parts) > 1 else body
+
+
 def _known(joined: Column, side: int) -> Column:
     """The few n-grams that are in any category, later counts run over these only.
 
@@ -260,7 +271,7 @@ def _known(joined: Column, side: int) -> Column:
     overlap are all found; at most one of a length starts at a token.
     """
     union = sorted({t for group in (L.HUMANISING_NGRAMS, L.TOOL_NGRAMS) for pair in group.values() for t in pair[side]})
-    return F.regexp_extract_all(joined, F.lit(f"(?<= )(?=({'|'.join(map(_quoted, union))}) )"), F.lit(1))
+    return F.regexp_extract_all(joined, F.lit(f"(?<= )(?=({_branches(union)}) )"), F.lit(1))
 
 
 def with_ngram_features(df, text: str = "body"):

@@ -243,3 +243,14 @@ def test_samples_do_not_depend_on_partitions(spark, parts):
     assert max(sizes) - min(sizes) <= 1 and sum(sizes) == 2000
     shuffled = SM.shuffled_column(rows.select("id", F.col("id").alias("v")), "id", "v")
     assert sorted(r.v for r in shuffled.collect()) == list(range(2000))
+
+
+def test_branches_share_common_starts():
+    """The pattern of n-grams has one branch per next letter and fits the terms alone, longest or shortest."""
+    terms = sorted({t for group in (L.HUMANISING_NGRAMS, L.TOOL_NGRAMS) for pair in group.values() for side in pair for t in side})
+    for side in (2, 3):  # at most one of a length starts at a word
+        some = [t for t in terms if len(t.split()) == side]
+        flat, shared = (re.compile(rf"(?<= )(?=({p}) )") for p in ("|".join(map(re.escape, some)), T._branches(some)))
+        for text in (f" {x} " for t in terms for x in (t, t + "s", t[:-1], t[1:], f"{t} {t}")):
+            assert shared.findall(text) == flat.findall(text)
+    assert re.findall(rf"(?=({T._branches(['a', 'ab', 'b', 'abc d'])}) )", "abc d ") == ["abc d"] and T._branches(["me", "my"]) == "m(?:e|y)"

@@ -35,6 +35,8 @@ RUN = re.compile(rb"(?:[a-z]+|\xc3[\x80-\xbf])+")
 CHUNK = 1 << 18
 #: A task sends its counts on when it holds this many words.
 HELD = 400_000
+#: States of at most so many letters, and 16 a state, are sent to the edges; more of them meet in a shuffle.
+SENT = 1 << 20
 
 
 def word_counts(docs: DataFrame, least_points: int, typo_every: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,6 +86,12 @@ def _letter(spelled: Column, at: Column) -> Column:
     return F.substring(spelled, at + 1, F.lit(1))
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by shuffle: Spark takes an exploded table for as small as its words, and a written one for its packed size,
+    and would send either through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def both_ways(words: DataFrame) -> DataFrame:
     """(id, side, spelled): every word forwards (side 0) and backwards (1)."""
     ids = words.select(F.xxhash64("word").alias("id"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("word").alias("spelled")), F.struct(F.lit(1).alias("side"), F.reverse("word").alias("spelled")))).alias("way"))
@@ -111,7 +119,7 @@ def neighbours(words: DataFrame, least_points: int) -> DataFrame:
     at = F.explode(F.sequence(F.floor(F.length("spelled") / 2).cast("int"), F.length("spelled"))).alias("at")
     start = start.select("id", "side", "spelled", at).select(
         F.col("id").alias("origin"), "side", "spelled", "at", _node(F.col("side"), F.substring("spelled", F.lit(1), F.col("at"))).alias("node"))
-    branch = start.join(edges, "node").select("origin", "side", "spelled", "at", F.explode("edges").alias("edge")).select("origin", "side", "spelled", "at", "edge.*")
+    branch = _met(start, edges, "node").select("origin", "side", "spelled", "at", F.explode("edges").alias("edge")).select("origin", "side", "spelled", "at", "edge.*")
     own = _letter(F.col("spelled"), F.col("at"))
     kept, rest = F.substring("spelled", F.lit(1), F.col("at")), F.substring(F.col("spelled"), F.col("at") + 1, F.length("spelled"))
     edits = F.array(
@@ -121,9 +129,10 @@ def neighbours(words: DataFrame, least_points: int) -> DataFrame:
     branch = branch.where((F.col("letter") != "") & (F.col("letter") != own)).select("origin", "side", (F.col("at") + 1).alias("at"), F.explode(F.filter(edits, lambda x: x.isNotNull())).alias("way"), "n", "id")
     frontier = written(_ended(branch), "frontier")
     finds = [frontier]
-    while not frontier.where("n > 1").isEmpty():
+    while (states := frontier.where("n > 1").agg(F.count(F.lit(1)), F.sum(F.length("way") + 16)).first())[0]:
         state = frontier.where("n > 1").select("origin", "side", "way", "at", _node(F.col("side"), F.substring("way", F.lit(1), F.col("at"))).alias("node"))
-        step = state.join(edges, "node").withColumn("edge", F.get(F.filter("edges", lambda e: e["letter"] == _letter(F.col("way"), F.col("at"))), F.lit(0)))
+        joined = edges.join(F.broadcast(state), "node") if states[1] <= SENT else _met(state, edges, "node")
+        step = joined.withColumn("edge", F.get(F.filter("edges", lambda e: e["letter"] == _letter(F.col("way"), F.col("at"))), F.lit(0)))
         step = step.where("edge IS NOT NULL").select("origin", "side", "way", (F.col("at") + 1).alias("at"), F.col("edge.n").alias("n"), F.col("edge.id").alias("id"))
         frontier = written(_ended(step), "frontier")
         finds.append(frontier)
@@ -148,16 +157,16 @@ def spelling_variants(docs: DataFrame, least_points: int = 6, least_n: int = 5,
     """
     words = written(word_counts(docs, least_points, typo_every, key, text).where(F.col("n") >= least_n), "words")
     ids = words.withColumn("a", F.xxhash64("word"))
-    near = neighbours(words, least_points).join(ids.select(F.col("a").alias("b"), F.struct((-F.col("n")).alias("less"), "word").alias("other")), "b")
+    near = _met(neighbours(words, least_points), ids.select(F.col("a").alias("b"), F.struct((-F.col("n")).alias("less"), "word").alias("other")), "b")
     best = near.groupBy("a").agg(F.count(F.lit(1)).alias("n_near"), F.min("other").alias("best"))
-    joined = ids.join(best, "a", "left")
+    joined = _met(ids, best, "a", "left")
     is_form = -F.col("best.less") >= times * F.col("n")
     formed = written(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, F.col("best.word")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n")), "forms")
     step = formed.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:  # each round doubles the part of the chain that is known
         onward = step.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        longer = written(step.join(onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        longer = written(_met(step, onward, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         step = longer.select("word", "root")
         if longer.where("moved").isEmpty():
             break
-    return formed.join(step, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return _met(formed, step, "word", "left").withColumn("root", F.coalesce("root", "word"))

@@ -170,5 +170,20 @@ def test_spelling_equals_brute_force(spark, frame, odd, rng, every, monkeypatch)
     assert sum(w[2] for w in want) > 100 and any(w[5] not in (w[0], w[3]) for w in want)
 
 
+def test_spelling_sends_no_table_through_the_driver(spark, frame, rng, monkeypatch):
+    """Spark takes exploded words for as small as the words; only few states may be broadcast, by their own sum."""
+    monkeypatch.setattr(spelling, "SENT", 0, raising=False)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, write = [], spelling.written
+    monkeypatch.setattr(spelling, "written", lambda df, what: plans.append((what, plan(df))) or write(df, what))
+    stems = ["".join(rng.choice("abc") for _ in range(rng.randrange(6, 10))) for _ in range(60)]
+    docs = [(i, " ".join(rng.choice(stems) for _ in range(60))) for i in range(20)]
+    out = spelling.spelling_variants(frame(docs), typo_every=None)
+    plans.append(("result", plan(out)))
+    assert {what for what, _ in plans} >= {"trie", "frontier", "forms", "roots", "result"}
+    assert [what for what, text in plans if "Broadcast" in text] == []
+    assert sorted(map(str, map(tuple, out.select("word", "n").collect()))) == sorted(str((w, n)) for w, n in Counter(" ".join(t for _, t in docs).split()).items() if n >= 5)
+
+
 def test_spelling_of_nothing(spark, frame, odd):
     assert spelling.spelling_variants(frame(odd).limit(0)).count() == 0

@@ -12,13 +12,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, CountVectorizerModel, StringIndexer, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import PCA, CountVectorizerModel, StringIndexer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 from pyspark.util import inheritable_thread_target
 
 from cohortlens.operators import contingency as CT, sampling as SM, scaling
+from cohortlens.operators.skipgram import Word2Vec
 from cohortlens.session import ensure_checkpoint_dir
 
 
@@ -38,14 +39,15 @@ def community_vectors(lists: DataFrame, column: str = "communities", size: int =
 
     Training runs in as many partitions as there are ``users_per_partition`` users, at most ``most_partitions``; their vectors
     are averaged after each epoch.  A partition hands over the vectors of all communities it met, so partitions that grew with
-    the users would move users times communities.
+    the users would move users times communities.  Where there are more cores than ``most_partitions`` (up to 32), it takes those.
     """
     lists = training_set(lists.select(column))
+    most_partitions = max(most_partitions, min(lists.sparkSession.sparkContext.defaultParallelism, 32))
     partitions = min(-(-lists.count() // users_per_partition) or 1, most_partitions)
     model = Word2Vec(
         vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions, inputCol=column, outputCol="_o"
     ).fit(lists)
-    return model.getVectors().select(F.col("word").alias("community"), vector_to_array("vector").alias("vector"))
+    return model.getVectors().select(F.col("word").alias("community"), "vector")
 
 
 def membership_vectors(lists: DataFrame, column: str = "communities", size: int = 500, min_users: int = 10, out: str = "features") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
 
 from cohortlens.functions.scalar import normal_quantile
-from cohortlens.operators import classify as K, importances as IMP, scaling as SCALE
+from cohortlens.operators import classify as K, importances as IMP, scaling as SCALE, skipgram as SG
 
 
 def test_normal_quantile_has_sixteen_digits(spark):
@@ -114,3 +114,39 @@ def test_partitions_of_community_vectors_are_bounded(spark, monkeypatch):
         out = K.community_vectors(lists, size=4, epochs=1, users_per_partition=users)
         assert {r.community for r in out.collect()} == {"a0", "a1", "a2", "b0", "b1", "b2", "b3", "c"}
     assert seen == [1, 4, 8]
+
+
+def test_a_training_step_is_that_of_the_pairs_one_by_one():
+    """Lists longer than a group of centres lose no pair at its edges, and lists do not run into each other."""
+    rng = np.random.default_rng(3)
+    owner = np.repeat(np.arange(4), [3, 90, 1, 40])
+    items = rng.integers(0, 50, len(owner))
+    shares = np.cumsum(np.full(50, 0.02))
+    inner, outer = rng.normal(0, 0.3, (50, 6)).astype(np.float32), rng.normal(0, 0.3, (50, 6)).astype(np.float32)
+    want = [inner.astype(float), outer.astype(float)]
+    draws = np.random.default_rng(5)
+    for at in range(0, len(items), SG.CENTRES):  # 50 items: one group a step
+        a, b = (w.copy() for w in want)
+        change, met = [np.zeros((50, 6)), np.zeros((50, 6))], [np.zeros(50), np.zeros(50)]
+        reach = draws.integers(1, 6, (1, SG.CENTRES))[0]
+        drawn = np.searchsorted(shares, draws.random((1, SG.SAMPLES)), side="right")[0]
+        for i in range(at, min(at + SG.CENTRES, len(items))):
+            others = [j for j in range(len(items)) if j != i and owner[j] == owner[i] and abs(i - j) <= reach[i - at]]
+            terms = [(items[j], 1.0, 1.0) for j in others] + [(k, 0.0, len(others) * SG.NEGATIVE / SG.SAMPLES) for k in drawn]
+            for k, right, weight in terms:
+                pull = weight * (right - 1 / (1 + np.exp(-a[items[i]] @ b[k])))
+                for side, row, by in ((0, items[i], b[k]), (1, k, a[items[i]])):
+                    change[side][row] += pull * by
+                    met[side][row] += weight
+        for side in (0, 1):
+            want[side] += change[side] * (0.1 * np.minimum(1, SG.TERMS / np.maximum(met[side], 1)))[:, None]
+    SG.train(inner, outer, items, owner, 5, 0.1, shares, np.random.default_rng(5))
+    assert np.allclose(inner, want[0], atol=1e-4) and np.allclose(outer, want[1], atol=1e-4)
+
+
+def test_word_vectors_take_nulls_rare_words_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(SG, "BLOCK", 4)
+    lists = spark.createDataFrame([(["a", "b", None, "c"],), (None,), ([],), (["z"],)] + [([f"w{i % 9}", "a", "b"],) for i in range(30)], "communities array<string>")
+    got = {r.community: r.vector for r in K.community_vectors(lists, size=5, epochs=2, users_per_partition=10).collect()}
+    assert set(got) == {"a", "b", *(f"w{i}" for i in range(9))} and all(len(v) == 5 and np.isfinite(v).all() for v in got.values())
+    assert K.community_vectors(lists.limit(0), size=5, epochs=1).count() == 0
